@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mixing, sharding
+from strandloom.llm import mixing, packing, quality, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
+    "op7_quality": quality.op7_quality,
+    "op9_pack": packing.op9_pack,
     "op10_shards": sharding.op10_shards,
 }
-ORACLE_SQL = {"op2_mix": mixing.OP2_SQL}
+ORACLE_SQL = {"op2_mix": mixing.OP2_SQL, "op7_quality": quality.OP7_SQL}

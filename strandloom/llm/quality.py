@@ -42,8 +42,9 @@ def line_fails(line: Column) -> Column:
     """The verdict on one line; blank lines pass."""
     n = F.regexp_count(line, F.lit(WORD))
     symbols = _chars(line, SYMBOLS)
-    upper = F.regexp_count(line, F.lit(r"\p{Lu}"))
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
+    letters = F.regexp_replace(line, r"\P{L}+", "")
+    upper = F.char_length(F.regexp_replace(letters, r"\P{Lu}+", ""))
+    letters = F.char_length(letters)
     return (n > 0) & (
         (symbols * 10 > n * 3)  # also rows of links set apart by bars
         | ((letters >= 20) & (upper * 10 > letters * 6))
@@ -59,12 +60,13 @@ def measure(docs: DataFrame, id_cols: list[Column], text: Column) -> DataFrame:
     rows = docs.select(*id_cols, F.coalesce(text, F.lit("")).alias("_text"))
     names = [c for c in rows.columns if c != "_text"]
     rows = rows.select(*names, "_text", words(F.col("_text")).alias("_words"), F.split("_text", "\n", -1).alias("_lines"))
-    starts = F.when(F.size("_words") >= WINDOW, F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+    # get() reads one element in place; slice() would copy the whole array for every window
+    starts = F.when(F.size("_words") >= WINDOW, F.sequence(F.lit(0), F.size("_words") - WINDOW)).otherwise(F.array().cast("array<int>"))
     rows = rows.select(
         *names,
         "_text",
         F.size("_words").alias("n_words"),
-        F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, WINDOW))).alias("_h"),
+        F.transform(starts, lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(WINDOW)))).alias("_h"),
         F.transform("_lines", lambda s: F.struct(s.alias("s"), line_fails(s).alias("bad"))).alias("_judged"),
         F.filter("_lines", lambda s: s.rlike(WORD)).alias("_full"),
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mixing, packing, quality, sharding
+from strandloom.llm import langid, media, mixing, packing, qda, quality, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
+    "op3_langid": langid.op3_langid,
+    "op5_media": media.op5_media,
     "op7_quality": quality.op7_quality,
+    "op8_quality_score": qda.op8_quality_score,
     "op9_pack": packing.op9_pack,
     "op10_shards": sharding.op10_shards,
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import langid, media, mixing, packing, qda, quality, sharding
+from strandloom.llm import langid, media, mixing, neardup, packing, qda, quality, sharding, suffix
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
     "op3_langid": langid.op3_langid,
+    "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_media": media.op5_media,
+    "op6_near_dedup": neardup.op6_near_dedup,
     "op7_quality": quality.op7_quality,
     "op8_quality_score": qda.op8_quality_score,
     "op9_pack": packing.op9_pack,

@@ -4,15 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import mixing
+from strandloom.llm import linededup, mixing, neardup, packing, quality
 from strandloom.llm.common import stage
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the rules keep, without their failed lines."""
+    return quality.clean(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents; of each group of like lines one occurrence stays."""
+    return linededup.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Tokenisers and similarity verification have no SQL form.
 ORACLE_SQL = None

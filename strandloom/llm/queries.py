@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.llm import langid, media, mixing, neardup, packing, qda, quality, sharding, suffix
+from strandloom.llm import langid, linededup, media, mixing, neardup, packing, qda, quality, sharding, suffix
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op2_mix": mixing.op2_mix,
     "op3_langid": langid.op3_langid,
     "op4_suffix_dedup": suffix.op4_suffix_dedup,

@@ -105,7 +105,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def clean(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """The documents that are kept, without their failed lines; columns as in ``docs``."""
-    rows = measure(docs, [F.struct("*").alias("_row")], F.col(text_col)).where("kept")
+    rows = measure(docs, [F.struct("*").alias("_row")], F.col(text_col))
+    # a filter would be pushed below all the projections, each of which would then be computed many times
+    rows = rows.select("_row", "cleaned", F.explode(F.when(F.col("kept"), F.array(F.lit(0)))))
     out = []
     for c in docs.columns:
         if c == text_col:

@@ -10,9 +10,10 @@ their normalised characters (1 - distance / longer length) is at least
 
 Equal normalised lines are one node from the start, so the most common line
 costs what any other does.  Within a bucket every line is compared with the
-smallest; those that fail are then compared with all others.  Two that match the
-smallest are connected already, so no bucket emits all its pairs, none has a
-cap, and no link that could join two groups is lost.
+smallest; those that are then still in another group than it are compared with
+all lines of the bucket that are not in their own group.  Pairs within one group
+could join nothing, so no bucket emits all its pairs, none has a cap, and no
+link that could join two groups is lost.
 
 SimHash counts are packed, two of 32 bits in a long, and added up by codegen.
 
@@ -150,18 +151,26 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = stage(texts, "line-texts")
     linked = stage(_verified(first, texts), "line-first")
     good = linked.where("linked").select(F.col("a").alias("line_id"), F.col("b").alias("leader"))
-    more = members.where("c > 2")
-    failed = more.join(good, ["line_id", "leader"], "left_anti").select("key", F.col("line_id").alias("f"), F.col("size").alias("f_size"))
+    # what a bucket still has to settle: lines that are in another group than its smallest line
+    roots = stage(components(good.select(F.col("line_id").alias("a"), F.col("leader").alias("b"))), "line-first-roots")
+    of = lambda c, r: roots.select(F.col("id").alias(c), F.col("root").alias(r))
+    more = (
+        members.where("c > 2")
+        .join(of("line_id", "r"), "line_id", "left")
+        .join(of("leader", "lr"), "leader", "left")
+        .select("key", "line_id", "size", F.coalesce("r", "line_id").alias("root"), F.coalesce("lr", "leader").alias("lead_root"))
+    )
+    more = stage(more, "line-more")
+    apart = more.where("root <> lead_root").select("key", F.col("line_id").alias("f"), F.col("size").alias("f_size"), F.col("root").alias("f_root"))
     second = (
-        more.join(failed, "key")
-        .where((F.col("f") != F.col("line_id")) & _may("size", "f_size"))
+        more.join(apart, "key")
+        .where((F.col("f_root") != F.col("root")) & _may("size", "f_size"))
         .select(F.greatest("f", "line_id").alias("a"), F.least("f", "line_id").alias("b"))
         .distinct()
-        .join(linked.select("a", "b"), ["a", "b"], "left_anti")
+        .join(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    second = stage(_verified(stage(second, "line-second"), texts), "line-rest")
-    edges = linked.where("linked").unionByName(second.where("linked")).select("a", "b")
-    roots = stage(components(edges), "line-roots")
+    second = _verified(stage(second, "line-second"), texts).where("linked").select("a", "b")
+    roots = stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second)), "line-roots")
     grouped = nodes.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").where("c > 1 or root is not null")
     grouped = stage(grouped.select("line_id", "first", F.coalesce("root", "line_id").alias("root")), "line-grouped")
     keep = grouped.groupBy("root").agg(F.min("first").alias("keep"))

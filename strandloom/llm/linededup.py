@@ -1,12 +1,12 @@
 """Fuzzy line dedup. DataFrame operations only.
 
 Lines are normalised (lower case, letters and digits only).  Each gets a 64-bit
-SimHash of its words: per bit, the majority of the words' hash bits.  The bits
+SimHash of its words: per bit, the majority of the words' hash bits, longer words
+weighing more.  The bits
 are cut into ``BLOCKS`` blocks; lines that agree in any ``AGREE`` blocks are
 candidates, so all pairs that differ in up to ``BLOCKS - AGREE`` bits are found,
 and many that differ in more.  Candidates are linked if the edit similarity of
-their normalised characters (1 - distance / longer length) is at least
-``SIMILAR``.  Of each connected group the first line, by id and place, stays.
+their words (1 - distance / longer length) is at least ``SIMILAR``.  Of each connected group the first line, by id and place, stays.
 
 Equal normalised lines are one node from the start, so the most common line
 costs what any other does.  Within a bucket every line is compared with the
@@ -38,6 +38,8 @@ BLOCKS = 5
 AGREE = 2
 SIMILAR = 0.8
 BITS = 64
+#: Letters beyond the first plane.
+LETTERS = 0xF0000
 
 
 def normalised(line: Column) -> Column:
@@ -48,22 +50,34 @@ def _bit(i: int) -> int:
     return (1 << i) - (1 << 64 if i == 63 else 0)
 
 
-def _packed_sums(h: Column) -> list[Column]:
+def _packed_sums(h: Column, weight: Column) -> list[Column]:
     pair = F.lit((1 << 32) | 1)
-    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(pair)).alias(f"s{i}") for i in range(32)]
+    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(pair) * weight).alias(f"s{i}") for i in range(32)]
 
 
 def _majority(n: Column, first: Column) -> Column:
-    """The SimHash from packed sums; where a bit is tied the first word's bit holds."""
-    bits = []
-    for i in range(BITS):
-        count = F.col(f"s{i % 32}")
-        count = F.shiftrightunsigned(count, 32) if i >= 32 else count.bitwiseAND(F.lit(0xFFFFFFFF))
-        tied = F.when(count * 2 == n, first.bitwiseAND(F.lit(_bit(i)))).otherwise(F.lit(0).cast("long"))
-        bits.append(F.when(count * 2 > n, F.lit(_bit(i)).cast("long")).otherwise(tied))
-    while len(bits) > 1:
-        bits = [reduce(lambda a, b: a.bitwiseOR(b), bits[i : i + 2]) for i in range(0, len(bits), 2)]
-    return bits[0]
+    """The SimHash from packed sums; where a bit is tied the first word's bit holds.
+
+    A loop over an array: written out, 64 cases make a method that takes the
+    compiler gigabytes.
+    """
+    sums = F.array(*(F.col(f"s{i}") for i in range(32)))
+    counts = F.concat(F.transform(sums, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))), F.transform(sums, lambda x: F.shiftrightunsigned(x, 32)))
+    bits = F.array(*(F.lit(_bit(i)) for i in range(BITS)))
+    none = F.lit(0).cast("long")
+    held = F.zip_with(
+        counts, bits, lambda c, bit: F.when(c * 2 > n, bit).otherwise(F.when(c * 2 == n, first.bitwiseAND(bit)).otherwise(none))
+    )
+    return F.aggregate(held, none, lambda acc, x: acc.bitwiseOR(x))
+
+
+def word_code(norm: Column) -> Column:
+    """A text of one letter per word, by hash: its letters' edit distance is that of the words.
+
+    Two words share a letter with a chance of one in ``LETTERS``.
+    """
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(LETTERS)) + 0x10000), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-32")
 
 
 def _keys(sim: Column) -> Column:
@@ -93,14 +107,14 @@ def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "id",
         "pos",
         F.xxhash64("norm").alias("line_id"),
-        F.char_length("norm").alias("size"),
         F.posexplode(F.split("norm", " ")).alias("at", "word"),
     ).where("word <> ''")
-    words = words.withColumn("h", F.xxhash64("word"))
-    sums = words.groupBy("row", "id", "pos", "line_id", "size").agg(
-        F.count("*").alias("n"), F.max(F.when(F.col("at") == 0, F.col("h"))).alias("first"), *_packed_sums(F.col("h"))
+    # short words are the common ones: with equal weights they would make all lines of a language alike
+    words = words.withColumns({"h": F.xxhash64("word"), "w": F.greatest(F.char_length("word") - 2, F.lit(1)).cast("long")})
+    sums = words.groupBy("row", "id", "pos", "line_id").agg(
+        F.count("*").alias("n_words"), F.sum("w").alias("n"), F.max(F.when(F.col("at") == 0, F.col("h"))).alias("first"), *_packed_sums(F.col("h"), F.col("w"))
     )
-    return sums.select("row", "id", "pos", "line_id", "size", _majority(F.col("n"), F.col("first")).alias("sim"))
+    return sums.select("row", "id", "pos", "line_id", F.col("n_words").cast("int").alias("size"), _majority(F.col("n"), F.col("first")).alias("sim"))
 
 
 def _may(a: str, b: str) -> Column:
@@ -112,8 +126,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, linked`` for pairs of lines."""
     far = f"cast(floor(greatest(char_length(ta), char_length(tb)) * {1 - SIMILAR:.4f} + 1e-9) as int)"
     return (
-        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("ta")), "a")
-        .join(texts.select(F.col("line_id").alias("b"), F.col("norm").alias("tb")), "b")
+        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("code").alias("ta")), "a")
+        .join(texts.select(F.col("line_id").alias("b"), F.col("code").alias("tb")), "b")
         .select("a", "b", F.expr(f"levenshtein(ta, tb, {far}) >= 0").alias("linked"))
     )
 
@@ -145,7 +159,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .join(places, "row")
         .select(F.explode("wanted").alias("pos"), F.split("text", "\n", -1).alias("lines"))
         .select(normalised(F.get("lines", F.col("pos"))).alias("norm"))
-        .select(F.xxhash64("norm").alias("line_id"), "norm")
+        .select(F.xxhash64("norm").alias("line_id"), word_code(F.col("norm")).alias("code"))
         .dropDuplicates(["line_id"])
     )
     texts = stage(texts, "line-texts")

@@ -105,7 +105,7 @@ def digest_column(data: Column, method: str = "md5", fmt: str = "hex") -> Column
     if fmt == "HEX":
         return F.upper(h)
     if fmt == "base64":
-        out = F.rtrim(F.base64(F.unhex(h)), F.lit("="))
+        out = F.translate(F.base64(F.unhex(h)), "=\r\n", "")  # it breaks long lines
         return out if n % 3 else F.concat(out, F.lit("A"))
     if fmt in ("double", "uint8"):
         kind = "double" if fmt == "double" else "int"

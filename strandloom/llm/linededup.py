@@ -157,8 +157,10 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = (
         docs.select(_row(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text"))
         .join(places, "row")
-        .select(F.explode("wanted").alias("pos"), F.split("text", "\n", -1).alias("lines"))
-        .select(normalised(F.get("lines", F.col("pos"))).alias("norm"))
+        .select("wanted", F.split("text", "\n", -1).alias("lines"))
+        # a text is cut once, not once for each line that is wanted of it
+        .select(F.explode(F.transform("wanted", lambda p: F.get("lines", p))).alias("line"))
+        .select(normalised(F.col("line")).alias("norm"))
         .select(F.xxhash64("norm").alias("line_id"), word_code(F.col("norm")).alias("code"))
         .dropDuplicates(["line_id"])
     )

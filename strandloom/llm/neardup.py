@@ -8,10 +8,11 @@ are linked if a banded alignment of their words finds an edit similarity
 (1 - distance / longer length) of at least 0.8.  A class is a connected group.
 
 Texts with equal words are one node from the start.  Within a bucket of equal
-sketches every node is compared with the smallest one, and those that fail are
-then compared with all others of the bucket: two nodes that both match the
-smallest are connected already, so no bucket emits all its pairs and yet no link
-that could join two groups is lost.  Buckets have no cap.
+sketches every node is compared with the smallest one.  Those that are then still
+in another group than it are compared with all nodes of the bucket that are not
+in their own group.  Pairs within one group could join nothing, so no bucket
+emits all its pairs and yet no link that could join two groups is lost.  Buckets
+have no cap.
 
 Defined results: a null text counts as empty, and texts without words form one
 class; rows with equal ids are kept or removed together; rows with null ids are
@@ -36,6 +37,8 @@ PICK = 3
 SKETCHES = 24
 #: An edit similarity of at least 1 - 1/PART.
 PART = 5
+#: Longs of a text's word bits.
+BAG = 64
 CHUNK = 2_000_000
 
 
@@ -117,6 +120,33 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int = SKETCHES, pic
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, node long, node2 long, n_words int, marks array<long>")
 
 
+def bag_bits(words: np.ndarray) -> np.ndarray:
+    """A bit set of the words, each labelled with its occurrence, as ``BAG`` longs.
+
+    A bit that one text has and another lacks stands for a word that the other
+    lacks, so the number of such bits is a lower bound of the edit distance.
+    """
+    at = (labelled_kmers(words, 1) if len(words) else words) % np.uint64(64 * BAG)
+    out = np.zeros(BAG, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """``node, bag`` of texts."""
+
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            raw = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            for a, b in _chunks(raw, CHUNK):
+                hashes, bounds = word_hashes(raw[a:b], powers)
+                made = [bag_bits(hashes[bounds[i] : bounds[i + 1]]) for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made, pa.list_(pa.int64()))], names=["node", "bag"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, bag array<long>")
+
+
 def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the edit distance: words of one that the other lacks."""
     both = np.concatenate([a, b])
@@ -231,53 +261,82 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SKETCHES, pick: int = PICK) -> DataFrame:
-    """Per row of ``docs``: ``id_col, class_id, n_links``.
+    """Per row of ``docs``: ``id_col, class_id, n_texts``.
 
-    ``class_id`` is the smallest id of the row's class, ``n_links`` the number of
-    verified links of its text to other texts.
+    ``class_id`` is the smallest id of the row's class, ``n_texts`` the number of
+    different texts in it.
     """
     rows = stage(sketches(docs, id_col, text_col, n, pick), "near-sketches")
     nodes = stage(
         rows.groupBy("node", "node2").agg(F.min("id").alias("first"), F.first("n_words").alias("n_words"), F.first("marks").alias("marks")),
         "near-nodes",
     )
-    buckets = nodes.select("node", "n_words", F.posexplode("marks").alias("i", "mark")).select("mark", "node", "n_words")
+    buckets = nodes.select("node", "n_words", F.posexplode("marks").alias("i", "mark")).select("mark", "i", "node", "n_words")
     leaders = buckets.groupBy("mark").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1")
-    shared = stage(buckets.join(leaders, "mark").select("mark", "node", "n_words", "leader", "c"), "near-buckets")
+    shared = stage(buckets.join(leaders, "mark").select("mark", "i", "node", "n_words", "leader", "c"), "near-buckets")
 
     def fits(x: str, y: str):
         return F.least(x, y) * PART >= F.greatest(x, y) * (PART - 1)
 
     heads = shared.where("node = leader").select("mark", F.col("n_words").alias("lead_words"))
-    members = shared.where("node <> leader").join(heads, "mark").select("mark", "node", "n_words", "leader", "lead_words", "c")
+    members = shared.where("node <> leader").join(heads, "mark").select("mark", "i", "node", "n_words", "leader", "lead_words", "c")
     first = members.where(fits("n_words", "lead_words")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     named = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias(id_col))
     texts = stage(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(named, id_col).select("node", "text").dropDuplicates(["node"]), "near-texts")
     linked = stage(verify(first, texts), "near-first")
     good = linked.where("linked").select(F.col("a").alias("node"), F.col("b").alias("leader"))
-    failed = members.where("c > 2").join(good, ["node", "leader"], "left_anti").select("mark", F.col("node").alias("f"), F.col("n_words").alias("f_words"))
-    second = (
+    # what a bucket still has to settle: nodes that are in another group than its smallest node
+    roots = stage(components(good.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "near-first-roots")
+    of = lambda c, r: roots.select(F.col("id").alias(c), F.col("root").alias(r))
+    members = (
         members.where("c > 2")
-        .join(failed, "mark")
-        .where((F.col("f") != F.col("node")) & fits("n_words", "f_words"))
+        .join(of("node", "r"), "node", "left")
+        .join(of("leader", "lr"), "leader", "left")
+        .select("mark", "i", "node", "n_words", F.coalesce("r", "node").alias("root"), F.coalesce("lr", "leader").alias("lead_root"))
+    )
+    members = stage(members, "near-members")
+    open_marks = members.where("root <> lead_root").select("mark").distinct()
+    members = members.join(open_marks, "mark", "left_semi")
+    word_bits = stage(bags(texts.join(members.select("node").distinct(), "node", "left_semi")), "near-bags")
+    members = stage(members.join(word_bits, "node").join(nodes.select("node", "marks"), "node"), "near-open")
+    apart = members.where("root <> lead_root").select(
+        "mark", F.col("node").alias("f"), F.col("n_words").alias("f_words"), F.col("root").alias("f_root"), F.col("bag").alias("f_bag"), F.col("marks").alias("f_marks")
+    )
+
+    def lacks(x: str, y: str):
+        differ = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(differ, F.lit(0), lambda acc, d: acc + d)
+
+    far = F.floor(F.greatest("n_words", "f_words") / PART)
+    # a pair comes up once: in the first bucket it shares, and from one side
+    first_shared = F.array_position(F.zip_with("marks", "f_marks", lambda x, y: x == y), True) - 1 == F.col("i")
+    one_side = (F.col("root") == F.col("lead_root")) | (F.col("f") > F.col("node"))
+    second = (
+        members.join(apart, "mark")
+        # exact bounds, the cheap ones first: a pair that fails one can't be similar
+        .where(
+            (F.col("f_root") != F.col("root"))
+            & one_side
+            & fits("n_words", "f_words")
+            & first_shared
+            & (lacks("bag", "f_bag") <= far)
+            & (lacks("f_bag", "bag") <= far)
+        )
         .select(F.greatest("f", "node").alias("a"), F.least("f", "node").alias("b"))
         .distinct()
         .join(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    second = stage(verify(stage(second, "near-second"), texts), "near-rest")
-    edges = stage(linked.where("linked").unionByName(second.where("linked")).select("a", "b"), "near-edges")
-    roots = stage(components(edges), "near-roots")
-    degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    second = verify(stage(second, "near-second"), texts).where("linked").select("a", "b")
+    roots = stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second)), "near-roots")
     of_node = (
         nodes.select("node", "first")
         .join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
-        .join(degree, "node", "left")
-        .select("node", "first", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .select("node", "first", F.coalesce("root", "node").alias("root"))
     )
     of_node = stage(of_node, "near-node-roots")
-    of_root = of_node.groupBy("root").agg(F.min("first").alias("class_id"))
-    of_node = of_node.join(of_root, "root").select("node", "class_id", "n_links")
-    return rows.select("id", "node").join(of_node, "node").select(F.col("id").alias(id_col), "class_id", "n_links")
+    of_root = of_node.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))
+    of_node = of_node.join(of_root, "root").select("node", "class_id", "n_texts")
+    return rows.select("id", "node").join(of_node, "node").select(F.col("id").alias(id_col), "class_id", "n_texts")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

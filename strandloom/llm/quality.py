@@ -1,7 +1,7 @@
 """Line-first quality rules. DataFrame operations only.
 
 Each line is judged by itself: symbols, navigation, shouting, boilerplate and
-missing end punctuation.  Lines that fail are removed.  A document is rejected
+missing punctuation (a line that merely ends without a stop is left alone).  Lines that fail are removed.  A document is rejected
 if it fails the base rules (too few words, too much repetition) or if removed
 lines held more than ``max_lost`` of its word characters.
 
@@ -49,7 +49,7 @@ def line_fails(line: Column) -> Column:
         (symbols * 10 > n * 3)  # also rows of links set apart by bars
         | ((letters >= 20) & (upper * 10 > letters * 6))
         | ((n <= 12) & F.lower(line).rlike(BOILERPLATE))
-        | ((n >= 5) & ~line.rlike(r"[\p{P}]\s*$"))
+        | ((n >= 8) & ~line.rlike(r"\p{P}"))
     )
 
 
@@ -139,7 +139,7 @@ lf AS (SELECT doc_id, s, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS n,
          len(regexp_extract_all(s, '\p{Lu}')) AS up, len(regexp_extract_all(s, '\p{L}')) AS le FROM l),
 lj AS (SELECT doc_id, s, n, n > 0 AND (sy * 10 > n * 3 OR (le >= 20 AND up * 10 > le * 6)
          OR (n <= 12 AND regexp_matches(lower(s), 'cookie policy|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|enable javascript|sign up|log ?in|subscribe|click here|read more|share this|skip to content'))
-         OR (n >= 5 AND NOT regexp_matches(s, '[\p{P}][ \t\n\x0B\f\r]*$'))) AS bad FROM lf),
+         OR (n >= 8 AND NOT regexp_matches(s, '\p{P}'))) AS bad FROM lf),
 la AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT s) FILTER (n > 0) AS n_dup_lines,
          COALESCE(sum(len(regexp_replace(s, '[\x20\x09-\x0D]', '', 'g'))) FILTER (bad), 0) AS lost_chars FROM lj GROUP BY doc_id),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

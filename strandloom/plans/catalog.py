@@ -516,10 +516,10 @@ def q44_header_format(fx):
     return sinks.numbered(fx.uni).select("sample", "r1", "r2", "header")
 
 
-@query("SELECT concat_ws(chr(9), path, " + ", ".join(f"printf('%.6f', round(coalesce(sum(freq) FILTER (sample = '{s}'), 0), 7))" for s in _SAMPLES) + ") AS line FROM tx GROUP BY path")
+@query("SELECT concat_ws(chr(9), path, " + ", ".join(f"printf('%.6f', round(coalesce(sum(freq) FILTER (sample = '{s}'), 0), 6))" for s in _SAMPLES) + ") AS line FROM tx GROUP BY path")
 def q45_tsv_render(fx):
     wide = report.pivot(report.taxa(fx.top, ReportConfig()), _SAMPLES)
-    cols = [_path(), *(F.round(s, 7) for s in _SAMPLES)]
+    cols = [_path(), *(F.round(s, 6) for s in _SAMPLES)]
     return wide.select(report.line_column(cols, ["string"] + ["double"] * 4).alias("line"))
 
 
@@ -542,10 +542,11 @@ def q48_odd_support(fx):
     return solve.odd_supports(solve.supports(fx.lik, fx.groups))
 
 
-@query("""SELECT sample, representative, list_transform(amp, a -> a) AS amplified FROM (SELECT DISTINCT sample, representative FROM grp) g
-JOIN (SELECT bact_id, list(kmer IS NOT NULL ORDER BY region) AS amp FROM fx_ref GROUP BY bact_id) r ON r.bact_id = representative""")
+@query("""SELECT sample, representative, amplified FROM (SELECT DISTINCT sample, representative FROM grp) g
+JOIN (SELECT bact_id, string_agg(CASE WHEN kmer IS NULL THEN '0' ELSE '1' END, '' ORDER BY region) AS amplified FROM fx_ref GROUP BY bact_id) r ON r.bact_id = representative""")
 def q49_group_regions(fx):
-    return solve.amplified_regions(fx.groups, fx.ref)
+    flags = F.array_join(F.transform("amplified", lambda a: a.cast("int").cast("string")), "")
+    return solve.amplified_regions(fx.groups, fx.ref).withColumn("amplified", flags)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,9 +337,9 @@ def q23_division_filter(fx):
 
 
 @query("""SELECT sb.sample, sb.bact_id, any_value(norm) AS norm FROM sb JOIN nrm USING (bact_id) LEFT JOIN (SELECT bact_id, region FROM fx_ref WHERE is_perfect_match) pm USING (bact_id)
-LEFT JOIN ev ON ev.sample = sb.sample AND ev.bact_id = sb.bact_id AND ev.region = pm.region WHERE norm > 0 GROUP BY sb.sample, sb.bact_id HAVING bool_and(pm.region IS NULL OR coalesce(perfect, 0) >= 2)""")
+LEFT JOIN ev ON ev.sample = sb.sample AND ev.bact_id = sb.bact_id AND ev.region = pm.region WHERE norm > 0 GROUP BY sb.sample, sb.bact_id HAVING bool_and(pm.region IS NULL OR coalesce(perfect, 0) >= 1)""")
 def q24_do_filter2(fx):
-    return fx.kept(fx.lik, AlgoConfig(do_filter=2, num_reads_matched=2))
+    return fx.kept(fx.lik, AlgoConfig(do_filter=2, num_reads_matched=1))
 
 
 @query("SELECT sample, representative, count(*)::BIGINT AS n_members, md5(string_agg(bact_id, ',' ORDER BY bact_id)) AS hash FROM grp GROUP BY ALL")
@@ -347,7 +347,7 @@ def q25_ambiguity_groups(fx):
     return fx.groups.groupBy("sample", "representative").agg(F.count("*").alias("n_members"), hashing.members_hash(F.collect_list("bact_id")).alias("hash"))
 
 
-_PARTS = "SELECT concat('S', p_partkey % 3) AS sample, p_size % 5 AS region, p_brand AS seq, p_partkey % 40 AS col FROM part"
+_PARTS = "SELECT concat('S', p_partkey % 3) AS sample, p_size % 5 AS region, p_brand AS seq, p_partkey % 400 AS col FROM part"
 
 
 @query(f"""WITH s AS (SELECT DISTINCT * FROM ({_PARTS})), nz AS (SELECT sample, col, count(*) AS nnz FROM s GROUP BY ALL)
@@ -356,7 +356,7 @@ JOIN nz x ON x.sample = p.sample AND x.col = p.i JOIN nz y ON y.sample = p.sampl
 def q26_inclusion_filter(fx):
     p = F.col("p_partkey")
     rows = fx.table("part").select(
-        F.concat(F.lit("S"), (p % 3).cast("string")).alias("sample"), (F.col("p_size") % 5).alias("region"), F.col("p_brand").alias("seq"), (p % 40).alias("col")
+        F.concat(F.lit("S"), (p % 3).cast("string")).alias("sample"), (F.col("p_size") % 5).alias("region"), F.col("p_brand").alias("seq"), (p % 400).alias("col")
     )
     return solve.included(rows.distinct())
 

@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.bytehash import Powers, mix, word_hashes
@@ -93,8 +93,16 @@ def sketch(kmers: np.ndarray, seeds: np.ndarray, pick: int = PICK) -> np.ndarray
     return out
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    """Finds a text again where ids are null or repeat."""
+    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int = SKETCHES, pick: int = PICK) -> DataFrame:
-    """``id, node, node2, n_words, marks``: ``node`` is a hash of the words, ``marks`` the sketches."""
+    """``id, row, node, node2, n_words, marks``.
+
+    ``row`` is a hash of id and text, ``node`` one of the words, ``marks`` the sketches.
+    """
     seeds = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
 
     def run(batches):
@@ -112,12 +120,19 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int = SKETCHES, pic
                     size.append(len(w))
                     marks.append(sketch(labelled_kmers(w), seeds, pick).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(node, pa.int64()), pa.array(node2, pa.int64()), pa.array(size, pa.int32()), pa.array(marks, pa.list_(pa.int64()))],
-                    names=["id", "node", "node2", "n_words", "marks"],
+                    [
+                        batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
+                        pa.array(node, pa.int64()),
+                        pa.array(node2, pa.int64()),
+                        pa.array(size, pa.int32()),
+                        pa.array(marks, pa.list_(pa.int64())),
+                    ],
+                    names=["id", "row", "node", "node2", "n_words", "marks"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, node long, node2 long, n_words int, marks array<long>")
+    return docs.select(id_col, text_col, _row(id_col, text_col)).mapInArrow(run, f"id {kind}, row long, node long, node2 long, n_words int, marks array<long>")
 
 
 def bag_bits(words: np.ndarray) -> np.ndarray:
@@ -268,7 +283,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     rows = stage(sketches(docs, id_col, text_col, n, pick), "near-sketches")
     nodes = stage(
-        rows.groupBy("node", "node2").agg(F.min("id").alias("first"), F.first("n_words").alias("n_words"), F.first("marks").alias("marks")),
+        rows.groupBy("node", "node2").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.first("n_words").alias("n_words"), F.first("marks").alias("marks")),
         "near-nodes",
     )
     buckets = nodes.select("node", "n_words", F.posexplode("marks").alias("i", "mark")).select("mark", "i", "node", "n_words")
@@ -281,8 +296,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     heads = shared.where("node = leader").select("mark", F.col("n_words").alias("lead_words"))
     members = shared.where("node <> leader").join(heads, "mark").select("mark", "i", "node", "n_words", "leader", "lead_words", "c")
     first = members.where(fits("n_words", "lead_words")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    named = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias(id_col))
-    texts = stage(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(named, id_col).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    named = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "row")
+    texts = stage(docs.select(_row(id_col, text_col), F.coalesce(text_col, F.lit("")).alias("text")).join(named, "row").select("node", "text").dropDuplicates(["node"]), "near-texts")
     linked = stage(verify(first, texts), "near-first")
     good = linked.where("linked").select(F.col("a").alias("node"), F.col("b").alias("leader"))
     # what a bucket still has to settle: nodes that are in another group than its smallest node

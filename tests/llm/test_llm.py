@@ -183,6 +183,13 @@ def test_near_copies_are_found_and_others_left(spark):
     assert got == group
 
 
+def test_near_copies_without_own_ids(spark):
+    a, b = (" ".join(f"{name}{k}" for k in range(40)) for name in ("left", "right"))
+    rows = [(None, a), (1, a.replace("left7 ", "other ")), (2, b), (2, a.replace("left30 ", "more ")), (3, b.replace("right5 ", "some "))]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.n_texts) for r in got) == [(0, 1, 3), (1, 1, 3), (2, 1, 3), (2, 2, 2), (3, 2, 2)]
+
+
 def test_lines_like_and_unlike(spark):
     rng = random.Random(8)
     say = lambda n: [f"word{rng.randrange(5000)}" for _ in range(n)]

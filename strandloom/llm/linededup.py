@@ -84,7 +84,12 @@ def _keys(sim: Column) -> Column:
     """A key for each choice of ``AGREE`` blocks."""
     cuts = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
     block = [F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return F.array(*(F.xxhash64(F.lit(i), *(block[j] for j in own)) for i, own in enumerate(combinations(range(BLOCKS), AGREE))))
+    wide = max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def key(i: int, own: tuple[int, ...]) -> Column:
+        return reduce(lambda acc, j: F.shiftleft(acc, wide).bitwiseOR(block[j]), own, F.lit(i).cast("long"))
+
+    return F.array(*(key(i, own) for i, own in enumerate(combinations(range(BLOCKS), AGREE))))
 
 
 def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -100,7 +105,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, id, pos, line_id, size, sim`` of every line with a word."""
+    """``row, id, pos, line_id, meta, sim`` of every line with a word.
+
+    ``meta`` has the number of words above and, in its low 32 bits, a bit set of them.
+    """
     lines = _lines(docs, id_col, text_col)
     words = lines.select(
         "row",
@@ -112,14 +120,25 @@ def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # short words are the common ones: with equal weights they would make all lines of a language alike
     words = words.withColumns({"h": F.xxhash64("word"), "w": F.greatest(F.char_length("word") - 2, F.lit(1)).cast("long")})
     sums = words.groupBy("row", "id", "pos", "line_id").agg(
-        F.count("*").alias("n_words"), F.sum("w").alias("n"), F.max(F.when(F.col("at") == 0, F.col("h"))).alias("first"), *_packed_sums(F.col("h"), F.col("w"))
+        F.count("*").alias("n_words"), F.sum("w").alias("n"), F.max(F.when(F.col("at") == 0, F.col("h"))).alias("first"), F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *_packed_sums(F.col("h"), F.col("w"))
     )
-    return sums.select("row", "id", "pos", "line_id", F.col("n_words").cast("int").alias("size"), _majority(F.col("n"), F.col("first")).alias("sim"))
+    meta = F.shiftleft("n_words", 32).bitwiseOR(F.col("bits"))
+    return sums.select("row", "id", "pos", "line_id", meta.alias("meta"), _majority(F.col("n"), F.col("first")).alias("sim"))
 
 
 def _may(a: str, b: str) -> Column:
-    """Whether sizes allow the similarity; the distance is at least their difference."""
-    return F.least(a, b) >= F.greatest(a, b) * SIMILAR
+    """Whether the words' numbers and bits allow the similarity.
+
+    Both bounds are exact.  The distance is at least the difference of the
+    numbers, and at least the number of bits that one line has and the other
+    lacks: each stands for a word, and letter of its code, that the other lacks.
+    """
+    size = lambda c: F.shiftrightunsigned(c, 32)
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    lacks = lambda x, y: F.bit_count(low(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    longer = F.greatest(size(a), size(b))
+    far = F.floor(longer * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9))
+    return (longer - F.least(size(a), size(b)) <= far) & (lacks(a, b) <= far) & (lacks(b, a) <= far)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -139,19 +158,20 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     lines = stage(simhashes(docs, id_col, text_col), "line-sims")
     nodes = lines.groupBy("line_id").agg(
-        F.min(F.struct("id", "pos", "row")).alias("first"), F.count("*").alias("c"), F.min("sim").alias("sim"), F.min("size").alias("size")
+        F.min(F.struct("id", "pos", "row")).alias("first"), F.count("*").alias("c"), F.min("sim").alias("sim"), F.min("meta").alias("meta")
     )
     nodes = stage(nodes, "line-nodes")
     bucket = Window.partitionBy("key")
     members = (
-        nodes.select("line_id", "size", F.explode(_keys(F.col("sim"))).alias("key"))
-        .withColumn("lead", F.min(F.struct("line_id", "size")).over(bucket))
+        nodes.select("line_id", "meta", F.explode(_keys(F.col("sim"))).alias("key"))
+        .withColumn("lead", F.min(F.struct("line_id", "meta")).over(bucket))
         .withColumn("c", F.count("*").over(bucket))
         .where((F.col("c") > 1) & (F.col("line_id") != F.col("lead.line_id")))
-        .select("key", "line_id", "size", F.col("lead.line_id").alias("leader"), F.col("lead.size").alias("lead_size"), "c")
+        .select("key", "line_id", "meta", F.col("lead.line_id").alias("leader"), F.col("lead.meta").alias("lead_meta"), "c")
+        .where((F.col("c") > 2) | _may("meta", "lead_meta"))
     )
     members = stage(members, "line-members")
-    first = members.where(_may("size", "lead_size")).select(F.col("line_id").alias("a"), F.col("leader").alias("b")).distinct()
+    first = members.where(_may("meta", "lead_meta")).select(F.col("line_id").alias("a"), F.col("leader").alias("b")).distinct()
     wanted = members.select("line_id").unionByName(members.select(F.col("leader").alias("line_id"))).distinct()
     places = nodes.join(wanted, "line_id").select("first.row", "first.pos").groupBy("row").agg(F.collect_list("pos").alias("wanted"))
     texts = (
@@ -174,13 +194,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         members.where("c > 2")
         .join(of("line_id", "r"), "line_id", "left")
         .join(of("leader", "lr"), "leader", "left")
-        .select("key", "line_id", "size", F.coalesce("r", "line_id").alias("root"), F.coalesce("lr", "leader").alias("lead_root"))
+        .select("key", "line_id", "meta", F.coalesce("r", "line_id").alias("root"), F.coalesce("lr", "leader").alias("lead_root"))
     )
     more = stage(more, "line-more")
-    apart = more.where("root <> lead_root").select("key", F.col("line_id").alias("f"), F.col("size").alias("f_size"), F.col("root").alias("f_root"))
+    apart = more.where("root <> lead_root").select("key", F.col("line_id").alias("f"), F.col("meta").alias("f_meta"), F.col("root").alias("f_root"))
     second = (
         more.join(apart, "key")
-        .where((F.col("f_root") != F.col("root")) & _may("size", "f_size"))
+        .where((F.col("f_root") != F.col("root")) & _may("meta", "f_meta"))
         .select(F.greatest("f", "line_id").alias("a"), F.least("f", "line_id").alias("b"))
         .distinct()
         .join(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")

@@ -201,6 +201,23 @@ def test_lines_like_and_unlike(spark):
     assert got == {1: rows[0][1], 2: "---", 3: "own line here", 4: "---"}
 
 
+def test_line_bounds_lose_no_similar_pair(spark):
+    rng, rows = random.Random(7), []
+    for k in range(300):
+        one = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 40))]
+        other = list(one)
+        for _ in range(rng.randrange(0, 1 + len(one) // 3)):
+            other[rng.randrange(len(other))] = f"w{rng.randrange(60)}"
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other + ["end"] * rng.randrange(2)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sims = linededup.simhashes(docs, "doc_id", "text").join(docs.withColumnRenamed("doc_id", "id"), "id").select("id", "meta", linededup.word_code(F.col("text")).alias("code"))
+    left, right = sims.where("id % 2 = 0"), sims.where("id % 2 = 1").toDF("id2", "meta2", "code2")
+    far = F.floor(F.greatest(F.char_length("code"), F.char_length("code2")) * 0.2 + 1e-9)
+    pairs = left.join(right, F.col("id") + 1 == F.col("id2")).select((F.levenshtein("code", "code2") <= far).alias("like"), linededup._may("meta", "meta2").alias("may"))
+    found = [(r.like, r.may) for r in pairs.collect()]
+    assert len(found) == 300 and (True, False) not in found and (False, False) in found and sum(x for x, _ in found) > 50
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(1, 60), rng.choice("aaaaaabbbc")) for i in range(3000)] + [(3000 + i, "w", "d") for i in range(5)]

@@ -100,7 +100,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         _row(docs, id_col, text_col).alias("row"),
         F.col(id_col).alias("id"),
-        F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("pos", "line"),
+        F.posexplode_outer(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("pos", "line"),
     ).select("row", "id", "pos", normalised(F.col("line")).alias("norm"))
 
 
@@ -115,7 +115,7 @@ def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "id",
         "pos",
         F.xxhash64("norm").alias("line_id"),
-        F.posexplode(F.split("norm", " ")).alias("at", "word"),
+        F.posexplode_outer(F.split("norm", " ")).alias("at", "word"),
     ).where("word <> ''")
     # short words are the common ones: with equal weights they would make all lines of a language alike
     words = words.withColumns({"h": F.xxhash64("word"), "w": F.greatest(F.char_length("word") - 2, F.lit(1)).cast("long")})

@@ -1,12 +1,12 @@
 """Fuzzy line dedup. DataFrame operations only.
 
-Lines are normalised (lower case, letters and digits only).  Each gets a 64-bit
-SimHash of its words: per bit, the majority of the words' hash bits, longer words
-weighing more.  The bits
-are cut into ``BLOCKS`` blocks; lines that agree in any ``AGREE`` blocks are
-candidates, so all pairs that differ in up to ``BLOCKS - AGREE`` bits are found,
-and many that differ in more.  Candidates are linked if the edit similarity of
-their words (1 - distance / longer length) is at least ``SIMILAR``.  Of each connected group the first line, by id and place, stays.
+Lines are normalised (lower case, letters and digits only).  Each gets ``MINS``
+MinHashes of its words, where longer words count for more: a MinHash of two lines
+agrees with a chance near the share of words they have in common, two thirds at
+edit similarity 0.8.  Lines that agree in all three MinHashes of any of ``TRIPLES``
+are candidates; lines of few words also by ``MORE_TRIPLES``.  They are linked if the edit similarity of their words (1 -
+distance / longer length) is at least ``SIMILAR``.  Of each connected group the
+first line, by id and place, stays.
 
 Equal normalised lines are one node from the start, so the most common line
 costs what any other does.  Within a bucket every line is compared with the
@@ -15,8 +15,6 @@ all lines of the bucket that are not in their own group.  Pairs within one group
 could join nothing, so no bucket emits all its pairs, none has a cap, and no
 link that could join two groups is lost.
 
-SimHash counts are packed, two of 32 bits in a long, and added up by codegen.
-
 Defined results: a null text counts as empty; lines without a letter or digit
 are never removed; rows with equal id and text keep and lose the same lines;
 null ids come first in order; an empty table gives no rows; other columns are
@@ -25,7 +23,6 @@ only carried.  Lines and rows are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +31,13 @@ from pyspark.sql.window import Window
 
 from strandloom.llm.common import components, stage, table
 
-BLOCKS = 5
-AGREE = 2
 SIMILAR = 0.8
-BITS = 64
+MINS = 24
+#: MinHashes that make a key: each is in two triples, and no two triples share more than one.
+TRIPLES = tuple((i, 8 + (i + a) % 8, 16 + (i + b) % 8) for a, b in ((0, 0), (1, 3)) for i in range(8))
+#: Lines of fewer words also get these: one changed word can be a large part of what they have.
+FEW_WORDS = 10
+MORE_TRIPLES = tuple(combinations(range(MINS), 3))[::31]
 #: Letters beyond the first plane.
 LETTERS = 0xF0000
 
@@ -46,31 +46,6 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _bit(i: int) -> int:
-    return (1 << i) - (1 << 64 if i == 63 else 0)
-
-
-def _packed_sums(h: Column, weight: Column) -> list[Column]:
-    pair = F.lit((1 << 32) | 1)
-    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(pair) * weight).alias(f"s{i}") for i in range(32)]
-
-
-def _majority(n: Column, first: Column) -> Column:
-    """The SimHash from packed sums; where a bit is tied the first word's bit holds.
-
-    A loop over an array: written out, 64 cases make a method that takes the
-    compiler gigabytes.
-    """
-    sums = F.array(*(F.col(f"s{i}") for i in range(32)))
-    counts = F.concat(F.transform(sums, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))), F.transform(sums, lambda x: F.shiftrightunsigned(x, 32)))
-    bits = F.array(*(F.lit(_bit(i)) for i in range(BITS)))
-    none = F.lit(0).cast("long")
-    held = F.zip_with(
-        counts, bits, lambda c, bit: F.when(c * 2 > n, bit).otherwise(F.when(c * 2 == n, first.bitwiseAND(bit)).otherwise(none))
-    )
-    return F.aggregate(held, none, lambda acc, x: acc.bitwiseOR(x))
-
-
 def word_code(norm: Column) -> Column:
     """A text of one letter per word, by hash: its letters' edit distance is that of the words.
 
@@ -80,16 +55,16 @@ def word_code(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-32")
 
 
-def _keys(sim: Column) -> Column:
-    """A key for each choice of ``AGREE`` blocks."""
-    cuts = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
-    block = [F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    wide = max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+def _keys(marks: str, triples: tuple[tuple[int, int, int], ...] = TRIPLES) -> Column:
+    """A key for each triple of MinHashes."""
+    return F.array(*(F.xxhash64(F.lit("-".join(map(str, own))), *(F.get(marks, F.lit(i)) for i in own)) for own in triples))
 
-    def key(i: int, own: tuple[int, ...]) -> Column:
-        return reduce(lambda acc, j: F.shiftleft(acc, wide).bitwiseOR(block[j]), own, F.lit(i).cast("long"))
 
-    return F.array(*(key(i, own) for i, own in enumerate(combinations(range(BLOCKS), AGREE))))
+def line_keys(nodes: DataFrame) -> DataFrame:
+    """``line_id, key`` from ``line_id, meta, marks``: lines that share a key are candidates."""
+    few = nodes.where(F.shiftrightunsigned("meta", 32) < FEW_WORDS)
+    keys = nodes.select("line_id", F.explode(_keys("marks")).alias("key"))
+    return keys.unionByName(few.select("line_id", F.explode(_keys("marks", MORE_TRIPLES)).alias("key")))
 
 
 def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -105,9 +80,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, id, pos, line_id, meta, sim`` of every line with a word.
+    """``row, id, pos, line_id, meta, marks`` of every line with a word.
 
-    ``meta`` has the number of words above and, in its low 32 bits, a bit set of them.
+    ``meta`` has the number of words above and, in its low 32 bits, a bit set of them;
+    ``marks`` has the MinHashes.
     """
     lines = _lines(docs, id_col, text_col)
     words = lines.select(
@@ -117,13 +93,16 @@ def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64("norm").alias("line_id"),
         F.posexplode(F.split("norm", " ")).alias("at", "word"),
     ).where("word <> ''")
-    # short words are the common ones: with equal weights they would make all lines of a language alike
-    words = words.withColumns({"h": F.xxhash64("word"), "w": F.greatest(F.char_length("word") - 2, F.lit(1)).cast("long")})
-    sums = words.groupBy("row", "id", "pos", "line_id").agg(
-        F.count("*").alias("n_words"), F.sum("w").alias("n"), F.max(F.when(F.col("at") == 0, F.col("h"))).alias("first"), F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *_packed_sums(F.col("h"), F.col("w"))
+    # short words are the common ones: with equal weights their triples would make large buckets of unlike lines;
+    # a rank shifted by w bits is the least 2^w times as often
+    weight = F.when(F.char_length("word") <= 3, 0).when(F.char_length("word") <= 5, 2).otherwise(3)
+    words = words.withColumns({"h": F.xxhash64("word"), "w": weight + 1})
+    ranks = (F.expr(f"min(shiftrightunsigned(hash(h, {i}), w))").alias(f"m{i}") for i in range(MINS))
+    found = words.groupBy("row", "id", "pos", "line_id").agg(
+        F.count("*").alias("n_words"), F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *ranks
     )
-    meta = F.shiftleft("n_words", 32).bitwiseOR(F.col("bits"))
-    return sums.select("row", "id", "pos", "line_id", meta.alias("meta"), _majority(F.col("n"), F.col("first")).alias("sim"))
+    meta = F.shiftleft(F.col("n_words").cast("long"), 32).bitwiseOR(F.col("bits"))
+    return found.select("row", "id", "pos", "line_id", meta.alias("meta"), F.array(*(f"m{i}" for i in range(MINS))).alias("marks"))
 
 
 def _may(a: str, b: str) -> Column:
@@ -158,16 +137,21 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     lines = stage(simhashes(docs, id_col, text_col), "line-sims")
     nodes = lines.groupBy("line_id").agg(
-        F.min(F.struct("id", "pos", "row")).alias("first"), F.count("*").alias("c"), F.min("sim").alias("sim"), F.min("meta").alias("meta")
+        F.min(F.struct("id", "pos", "row")).alias("first"), F.count("*").alias("c"), F.min("meta").alias("meta"), F.first("marks").alias("marks")
     )
     nodes = stage(nodes, "line-nodes")
     bucket = Window.partitionBy("key")
-    members = (
-        nodes.select("line_id", "meta", F.explode(_keys(F.col("sim"))).alias("key"))
-        .withColumn("lead", F.min(F.struct("line_id", "meta")).over(bucket))
+    shared = (
+        line_keys(nodes)
+        .withColumn("leader", F.min("line_id").over(bucket))
         .withColumn("c", F.count("*").over(bucket))
-        .where((F.col("c") > 1) & (F.col("line_id") != F.col("lead.line_id")))
-        .select("key", "line_id", "meta", F.col("lead.line_id").alias("leader"), F.col("lead.meta").alias("lead_meta"), "c")
+        .where("c > 1 and line_id <> leader")
+    )
+    bounds = nodes.select("line_id", "meta")
+    members = (
+        stage(shared, "line-shared")
+        .join(bounds, "line_id")
+        .join(bounds.toDF("leader", "lead_meta"), "leader")
         .where((F.col("c") > 2) | _may("meta", "lead_meta"))
     )
     members = stage(members, "line-members")

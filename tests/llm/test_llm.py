@@ -218,6 +218,25 @@ def test_line_bounds_lose_no_similar_pair(spark):
     assert len(found) == 300 and (True, False) not in found and (False, False) in found and sum(x for x, _ in found) > 50
 
 
+def like_lines(rng, n_words, changed, count):
+    """Texts of two lines each that differ in ``changed`` of ``n_words`` words."""
+    rows = []
+    for k in range(count):
+        one = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n_words)]
+        other = list(one)
+        for at in rng.sample(range(n_words), changed):
+            other[at] = "".join(rng.choice("klmnopqrst") for _ in range(len(one[at])))
+        rows.append((k, " ".join(one) + "\n" + " ".join(other)))
+    return rows
+
+
+@pytest.mark.parametrize("n_words, changed", [(5, 1), (10, 2), (20, 4), (40, 8), (20, 2)])
+def test_like_lines_meet(spark, n_words, changed):
+    docs = spark.createDataFrame(like_lines(random.Random(n_words), n_words, changed, 100), "doc_id long, text string")
+    removed = [r.removed for r in linededup.removed_lines(docs).collect()]
+    assert len(removed) >= 93 and all(x == [1] for x in removed)
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(1, 60), rng.choice("aaaaaabbbc")) for i in range(3000)] + [(3000 + i, "w", "d") for i in range(5)]

@@ -4,9 +4,11 @@ Lines are normalised (lower case, letters and digits only).  Each gets ``MINS``
 MinHashes of its words, where longer words count for more: a MinHash of two lines
 agrees with a chance near the share of words they have in common, two thirds at
 edit similarity 0.8.  Lines that agree in all three MinHashes of any of ``TRIPLES``
-are candidates; lines of few words also by ``MORE_TRIPLES``.  They are linked if the edit similarity of their words (1 -
-distance / longer length) is at least ``SIMILAR``.  Of each connected group the
-first line, by id and place, stays.
+are candidates; lines of few words also by ``MORE_TRIPLES``, and lines of few
+letters by ``GRAM_TRIPLES`` of MinHashes of their trigrams, so that lines may meet where
+hardly a word is whole.  Candidates are linked if the edit similarity (1 -
+distance / longer length) of their words or that of their characters is at least
+``SIMILAR``.  Of each connected group the first line, by id and place, stays.
 
 Equal normalised lines are one node from the start, so the most common line
 costs what any other does.  Within a bucket every line is compared with the
@@ -38,6 +40,11 @@ TRIPLES = tuple((i, 8 + (i + a) % 8, 16 + (i + b) % 8) for a, b in ((0, 0), (1,
 #: Lines of fewer words also get these: one changed word can be a large part of what they have.
 FEW_WORDS = 10
 MORE_TRIPLES = tuple(combinations(range(MINS), 3))[::31]
+#: Lines of at most so many characters also meet by their trigrams.
+FEW_CHARS = 32
+GRAM_TRIPLES = tuple(combinations(range(MINS), 3))[::13]
+#: Marks a trigram; no normalised line has it.
+GRAM = "\x00"
 #: Letters beyond the first plane.
 LETTERS = 0xF0000
 
@@ -61,10 +68,11 @@ def _keys(marks: str, triples: tuple[tuple[int, int, int], ...] = TRIPLES) -> Co
 
 
 def line_keys(nodes: DataFrame) -> DataFrame:
-    """``line_id, key`` from ``line_id, meta, marks``: lines that share a key are candidates."""
-    few = nodes.where(F.shiftrightunsigned("meta", 32) < FEW_WORDS)
-    keys = nodes.select("line_id", F.explode(_keys("marks")).alias("key"))
-    return keys.unionByName(few.select("line_id", F.explode(_keys("marks", MORE_TRIPLES)).alias("key")))
+    """``line_id, key`` from ``line_id, kind, meta, marks``: lines that share a key are candidates."""
+    keys = nodes.where("kind = 0").select("line_id", F.explode(_keys("marks")).alias("key"))
+    few = nodes.where((F.col("kind") == 0) & (F.shiftrightunsigned("meta", 32) < FEW_WORDS))
+    keys = keys.unionByName(few.select("line_id", F.explode(_keys("marks", MORE_TRIPLES)).alias("key")))
+    return keys.unionByName(nodes.where("kind = 1").select("line_id", F.explode(_keys("marks", GRAM_TRIPLES)).alias("key")))
 
 
 def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -79,9 +87,18 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).select("row", "id", "pos", normalised(F.col("line")).alias("norm"))
 
 
-def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, id, pos, line_id, meta, marks`` of every line with a word.
+def _grams(norm: Column) -> Column:
+    """The trigrams of a short line, its ends included."""
+    n = F.char_length(norm)
+    padded = F.concat(F.lit("  "), norm, F.lit("  "))
+    grams = F.transform(F.sequence(F.lit(1), n + 2), lambda i: F.concat(F.lit(GRAM), F.substring(padded, i, F.lit(3))))
+    return F.when((n > 0) & (n <= FEW_CHARS), grams).otherwise(F.array().cast("array<string>"))
+
+
+def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, id, pos, line_id, chars, kind, meta, marks`` of every line with a word.
 
+    Kind 0 is of words; short lines also have a row of kind 1, of trigrams.
     ``meta`` has the number of words above and, in its low 32 bits, a bit set of them;
     ``marks`` has the MinHashes.
     """
@@ -91,18 +108,26 @@ def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "id",
         "pos",
         F.xxhash64("norm").alias("line_id"),
-        F.posexplode(F.split("norm", " ")).alias("at", "word"),
+        F.char_length("norm").alias("chars"),
+        F.posexplode_outer(F.concat(F.split("norm", " "), _grams(F.col("norm")))).alias("at", "word"),
     ).where("word <> ''")
     # short words are the common ones: with equal weights their triples would make large buckets of unlike lines;
     # a rank shifted by w bits is the least 2^w times as often
     weight = F.when(F.char_length("word") <= 3, 0).when(F.char_length("word") <= 5, 2).otherwise(3)
-    words = words.withColumns({"h": F.xxhash64("word"), "w": weight + 1})
+    words = words.withColumns({"h": F.xxhash64("word"), "kind": F.startswith("word", F.lit(GRAM)).cast("int")})
+    words = words.withColumn("w", F.when(F.col("kind") == 1, 1).otherwise(weight + 1))
     ranks = (F.expr(f"min(shiftrightunsigned(hash(h, {i}), w))").alias(f"m{i}") for i in range(MINS))
-    found = words.groupBy("row", "id", "pos", "line_id").agg(
+    found = words.groupBy("row", "id", "pos", "line_id", "chars", "kind").agg(
         F.count("*").alias("n_words"), F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *ranks
     )
     meta = F.shiftleft(F.col("n_words").cast("long"), 32).bitwiseOR(F.col("bits"))
-    return found.select("row", "id", "pos", "line_id", meta.alias("meta"), F.array(*(f"m{i}" for i in range(MINS))).alias("marks"))
+    marks = F.array(*(f"m{i}" for i in range(MINS)))
+    return found.select("row", "id", "pos", "line_id", "chars", "kind", meta.alias("meta"), marks.alias("marks"))
+
+
+def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, id, pos, line_id, chars, meta, marks`` of the words of every line with one."""
+    return hashed(docs, id_col, text_col).where("kind = 0").drop("kind")
 
 
 def _may(a: str, b: str) -> Column:
@@ -120,13 +145,24 @@ def _may(a: str, b: str) -> Column:
     return (longer - F.least(size(a), size(b)) <= far) & (lacks(a, b) <= far) & (lacks(b, a) <= far)
 
 
+def _near(meta: tuple[str, str], chars: tuple[str, str]) -> Column:
+    """Whether the bounds allow either similarity; that of characters is bounded by length alone."""
+    longer = F.greatest(*chars)
+    return _may(*meta) | (longer - F.least(*chars) <= F.floor(longer * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9)))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, linked`` for pairs of lines."""
-    far = f"cast(floor(greatest(char_length(ta), char_length(tb)) * {1 - SIMILAR:.4f} + 1e-9) as int)"
+
+    def like(a: str, b: str) -> str:
+        far = f"cast(floor(greatest(char_length({a}), char_length({b})) * {1 - SIMILAR:.4f} + 1e-9) as int)"
+        return f"levenshtein({a}, {b}, {far}) >= 0"
+
     return (
-        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("code").alias("ta")), "a")
-        .join(texts.select(F.col("line_id").alias("b"), F.col("code").alias("tb")), "b")
-        .select("a", "b", F.expr(f"levenshtein(ta, tb, {far}) >= 0").alias("linked"))
+        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("code").alias("ta"), F.col("norm").alias("na")), "a")
+        .join(texts.select(F.col("line_id").alias("b"), F.col("code").alias("tb"), F.col("norm").alias("nb")), "b")
+        # the words are the shorter: letters are compared only where words do not decide
+        .select("a", "b", F.expr(f"{like('ta', 'tb')} or {like('na', 'nb')}").alias("linked"))
     )
 
 
@@ -135,27 +171,34 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The second has ``line_id, keep_row, keep_pos``.
     """
-    lines = stage(simhashes(docs, id_col, text_col), "line-sims")
-    nodes = lines.groupBy("line_id").agg(
-        F.min(F.struct("id", "pos", "row")).alias("first"), F.count("*").alias("c"), F.min("meta").alias("meta"), F.first("marks").alias("marks")
+    found = stage(hashed(docs, id_col, text_col), "line-hashes")
+    lines = found.where("kind = 0").select("row", "id", "pos", "line_id")
+    marked = found.groupBy("line_id", "kind").agg(
+        F.min(F.struct("id", "pos", "row")).alias("first"),
+        F.count("*").alias("c"),
+        F.min("meta").alias("meta"),
+        F.min("chars").alias("chars"),
+        F.first("marks").alias("marks"),
     )
-    nodes = stage(nodes, "line-nodes")
+    marked = stage(marked, "line-nodes")
+    nodes = marked.where("kind = 0")
     bucket = Window.partitionBy("key")
     shared = (
-        line_keys(nodes)
+        line_keys(marked)
         .withColumn("leader", F.min("line_id").over(bucket))
         .withColumn("c", F.count("*").over(bucket))
         .where("c > 1 and line_id <> leader")
     )
-    bounds = nodes.select("line_id", "meta")
+    led = _near(("meta", "lead_meta"), ("chars", "lead_chars"))
+    bounds = nodes.select("line_id", "meta", "chars")
     members = (
         stage(shared, "line-shared")
         .join(bounds, "line_id")
-        .join(bounds.toDF("leader", "lead_meta"), "leader")
-        .where((F.col("c") > 2) | _may("meta", "lead_meta"))
+        .join(bounds.toDF("leader", "lead_meta", "lead_chars"), "leader")
+        .where((F.col("c") > 2) | led)
     )
     members = stage(members, "line-members")
-    first = members.where(_may("meta", "lead_meta")).select(F.col("line_id").alias("a"), F.col("leader").alias("b")).distinct()
+    first = members.where(led).select(F.col("line_id").alias("a"), F.col("leader").alias("b")).distinct()
     wanted = members.select("line_id").unionByName(members.select(F.col("leader").alias("line_id"))).distinct()
     places = nodes.join(wanted, "line_id").select("first.row", "first.pos").groupBy("row").agg(F.collect_list("pos").alias("wanted"))
     texts = (
@@ -165,7 +208,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         # a text is cut once, not once for each line that is wanted of it
         .select(F.explode(F.transform("wanted", lambda p: F.get("lines", p))).alias("line"))
         .select(normalised(F.col("line")).alias("norm"))
-        .select(F.xxhash64("norm").alias("line_id"), word_code(F.col("norm")).alias("code"))
+        .select(F.xxhash64("norm").alias("line_id"), word_code(F.col("norm")).alias("code"), "norm")
         .dropDuplicates(["line_id"])
     )
     texts = stage(texts, "line-texts")
@@ -178,13 +221,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         members.where("c > 2")
         .join(of("line_id", "r"), "line_id", "left")
         .join(of("leader", "lr"), "leader", "left")
-        .select("key", "line_id", "meta", F.coalesce("r", "line_id").alias("root"), F.coalesce("lr", "leader").alias("lead_root"))
+        .select("key", "line_id", "meta", "chars", F.coalesce("r", "line_id").alias("root"), F.coalesce("lr", "leader").alias("lead_root"))
     )
     more = stage(more, "line-more")
-    apart = more.where("root <> lead_root").select("key", F.col("line_id").alias("f"), F.col("meta").alias("f_meta"), F.col("root").alias("f_root"))
+    apart = more.where("root <> lead_root").select("key", F.col("line_id").alias("f"), F.col("meta").alias("f_meta"), F.col("chars").alias("f_chars"), F.col("root").alias("f_root"))
     second = (
         more.join(apart, "key")
-        .where((F.col("f_root") != F.col("root")) & _may("meta", "f_meta"))
+        .where((F.col("f_root") != F.col("root")) & _near(("meta", "f_meta"), ("chars", "f_chars")))
         .select(F.greatest("f", "line_id").alias("a"), F.least("f", "line_id").alias("b"))
         .distinct()
         .join(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")

@@ -237,6 +237,17 @@ def test_like_lines_meet(spark, n_words, changed):
     assert len(removed) >= 93 and all(x == [1] for x in removed)
 
 
+def test_lines_with_typos_and_few_words(spark):
+    rng, rows = random.Random(5), [(0, "Posted on March 3\nPosted on March 4\nunlikely\nunlikley it")]
+    for k in range(1, 81):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))) for _ in range(rng.choice([2, 3, 4, 10]))]
+        other = [w[:-1] + "z" if i < max(1, len(words) // 3) else w for i, w in enumerate(words)]
+        rows.append((k, " ".join(words) + "\n" + " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = [r.removed for r in linededup.removed_lines(docs).collect()]
+    assert len(removed) >= 79 and all(x == [1] for x in removed)
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(1, 60), rng.choice("aaaaaabbbc")) for i in range(3000)] + [(3000 + i, "w", "d") for i in range(5)]

@@ -118,7 +118,8 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = words.withColumn("w", F.when(F.col("kind") == 1, 1).otherwise(weight + 1))
     ranks = (F.expr(f"min(shiftrightunsigned(hash(h, {i}), w))").alias(f"m{i}") for i in range(MINS))
     found = words.groupBy("row", "id", "pos", "line_id", "chars", "kind").agg(
-        F.count("*").alias("n_words"), F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *ranks
+        # not a count: rows repeated with equal id and text are one group
+        (F.max("at") + 1).alias("n_words"), F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *ranks
     )
     meta = F.shiftleft(F.col("n_words").cast("long"), 32).bitwiseOR(F.col("bits"))
     marks = F.array(*(f"m{i}" for i in range(MINS)))

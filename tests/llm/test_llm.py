@@ -248,6 +248,16 @@ def test_lines_with_typos_and_few_words(spark):
     assert len(removed) >= 79 and all(x == [1] for x in removed)
 
 
+def test_near_line_of_repeated_rows(spark):
+    # ten words with one longer: alike by words, not by characters
+    words = [f"word{k}" for k in range(10)]
+    line, near = " ".join(words), " ".join([*words[:9], "x" * 40])
+    docs = spark.createDataFrame([(1, line), (1, line), (2, near)], "doc_id long, text string")
+    got = {(r.id, r.meta >> 32) for r in linededup.simhashes(docs, "doc_id", "text").collect()}
+    assert got == {(1, 10), (2, 10)}
+    assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(docs, n_chars_col=None).collect()) == [(1, line), (1, line), (2, "")]
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(1, 60), rng.choice("aaaaaabbbc")) for i in range(3000)] + [(3000 + i, "w", "d") for i in range(5)]

@@ -43,8 +43,6 @@ MORE_TRIPLES = tuple(combinations(range(MINS), 3))[::31]
 #: Lines of at most so many characters also meet by their trigrams.
 FEW_CHARS = 32
 GRAM_TRIPLES = tuple(combinations(range(MINS), 3))[::13]
-#: Marks a trigram; no normalised line has it.
-GRAM = "\x00"
 #: Letters beyond the first plane.
 LETTERS = 0xF0000
 
@@ -88,11 +86,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _grams(norm: Column) -> Column:
-    """The trigrams of a short line, its ends included."""
+    """The trigrams of a short line, its ends included; without a lambda, which would keep the split from codegen."""
     n = F.char_length(norm)
     padded = F.concat(F.lit("  "), norm, F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), n + 2), lambda i: F.concat(F.lit(GRAM), F.substring(padded, i, F.lit(3))))
-    return F.when((n > 0) & (n <= FEW_CHARS), grams).otherwise(F.array().cast("array<string>"))
+    return F.when((n > 0) & (n <= FEW_CHARS), F.regexp_extract_all(padded, F.lit("(?=(.{3}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,23 +100,26 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``marks`` has the MinHashes.
     """
     lines = _lines(docs, id_col, text_col)
-    words = lines.select(
+    # what is of the whole line comes before the split: beside it, it would be computed again for every word
+    whole = lines.select(
         "row",
         "id",
         "pos",
         F.xxhash64("norm").alias("line_id"),
         F.char_length("norm").alias("chars"),
-        F.posexplode_outer(F.concat(F.split("norm", " "), _grams(F.col("norm")))).alias("at", "word"),
-    ).where("word <> ''")
+        # not a count of rows: rows repeated with equal id and text are one group
+        (F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).alias("n_words"),
+        F.concat(F.split("norm", " "), _grams(F.col("norm"))).alias("tokens"),
+    )
+    words = whole.select("row", "id", "pos", "line_id", "chars", "n_words", F.posexplode_outer("tokens").alias("at", "word")).where("word <> ''")
     # short words are the common ones: with equal weights their triples would make large buckets of unlike lines;
     # a rank shifted by w bits is the least 2^w times as often
     weight = F.when(F.char_length("word") <= 3, 0).when(F.char_length("word") <= 5, 2).otherwise(3)
-    words = words.withColumns({"h": F.xxhash64("word"), "kind": F.startswith("word", F.lit(GRAM)).cast("int")})
+    words = words.withColumns({"h": F.xxhash64("word"), "kind": (F.col("at") >= F.col("n_words")).cast("int")})
     words = words.withColumn("w", F.when(F.col("kind") == 1, 1).otherwise(weight + 1))
     ranks = (F.expr(f"min(shiftrightunsigned(hash(h, {i}), w))").alias(f"m{i}") for i in range(MINS))
-    found = words.groupBy("row", "id", "pos", "line_id", "chars", "kind").agg(
-        # not a count: rows repeated with equal id and text are one group
-        (F.max("at") + 1).alias("n_words"), F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *ranks
+    found = words.groupBy("row", "id", "pos", "line_id", "chars", "n_words", "kind").agg(
+        F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *ranks
     )
     meta = F.shiftleft(F.col("n_words").cast("long"), 32).bitwiseOR(F.col("bits"))
     marks = F.array(*(f"m{i}" for i in range(MINS)))

@@ -20,30 +20,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none.
+    A folder of our own is made only where the session names none and driver and
+    executors are one process; on a cluster a missing folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         found = spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     A lost executor costs only tasks after this point.  The files go when the
-    driver ends.
+    driver ends, or with ``unstage``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    # hashes and ids, most of what is staged, would fill dictionaries for nothing
+    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}).parquet(path)
+    at, fs = _path(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a stage that nothing reads any more."""
+    at, fs = _path(df.sparkSession, df.staged_at)
+    fs.delete(at, True)
+
+
+def row_marks(id_col: str, text_col: str) -> list[Column]:
+    """``r1, r2``: 128 bits that find a row again where ids are null or repeat; equal id and text, equal marks."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("r1"), F.xxhash64(F.lit("row"), F.col(text_col), F.col(id_col)).alias("r2")]
 
 
 def words(text: Column) -> Column:
@@ -54,11 +75,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, root)``.
 
     ``root`` is the smallest id of the component.  Alternates large-star and
-    small-star steps until no edge changes; every step is a min-aggregate with
-    map-side combine and an equi-join, so a star's hub is never gathered.
-    Ids without an edge are not returned.
+    small-star steps until no edge changes.  Every step is a min-aggregate with
+    map-side combine and an equi-join with its result, one row per id, so that
+    adaptive execution can split a star's hub.  Ids without an edge are not
+    returned.
     """
-    edges = stage(
+    edges = old = stage(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
     )
@@ -70,6 +92,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        unstage(old)
+        old = edges
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
@@ -79,3 +103,71 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     )
+
+
+def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more=None, rounds: int = 4) -> DataFrame:
+    """Groups of like nodes as ``id, root``, from buckets of candidates; nodes without a link are not returned.
+
+    ``members`` has ``key, node, leader, c``, the columns ``info`` and, with the
+    prefix ``lead_``, those of the leader: a row for each node of a bucket of
+    several, its leader included.  ``may(p, q)`` is a bound on the columns with
+    prefixes ``p`` and ``q`` that every like pair meets; ``verify(pairs)`` adds
+    ``linked`` to ``a, b``.  ``more(nodes)`` gives further columns of those nodes
+    for ``may_more``, a tighter bound.
+
+    Nodes are compared with their bucket's leader first.  Then, for at most
+    ``rounds`` times and while it pays, those in another group than it are compared
+    with a leader of their own.  Last, what is still in another group than the
+    first leader is compared with all of the bucket that is not in its own
+    group.  So every pair of a bucket is compared, found unlike by a bound, or in
+    one group already: no bucket emits all its pairs, and no link that could
+    join two groups is lost.
+    """
+    pair = lambda df, x, y: df.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+    members = stage(members, "settle-members")
+    seen = stage(verify(stage(pair(members.where(F.col("node") != F.col("leader")).where(may("", "lead_")), "node", "leader"), "settle-first")), "settle-found")
+    roots = stage(components(seen.where("linked").select("a", "b")), "settle-roots")
+
+    def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
+        found = roots.select(F.col("id").alias(node), F.col("root").alias(root))
+        return df.drop(root).join(found, node, "left").withColumn(root, F.coalesce(root, node))
+
+    def merged(links: DataFrame) -> DataFrame:
+        return stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b"))), "settle-roots")
+
+    def unsettled(df: DataFrame) -> DataFrame:
+        return rooted(rooted(df, "node", "root"), "leader", "lead_root")
+
+    wide = members.where("c > 2").drop(*(f"lead_{c}" for c in info))
+    rest = stage(unsettled(wide).where("root <> lead_root").select("key", "node", *info, "root"), "settle-rest")
+    left = rest.count()
+    for _ in range(rounds):
+        if not left:
+            break
+        heads = rest.groupBy("key").agg(F.min(F.struct("node", "root", *info)).alias("h"))
+        heads = heads.select("key", F.col("h.node").alias("leader"), F.col("h.root").alias("lead_root"), *(F.col(f"h.{c}").alias(f"lead_{c}") for c in info))
+        led = stage(rest.join(heads, "key").where("root <> lead_root"), "settle-led")
+        new = pair(led.where(may("", "lead_")), "node", "leader").join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        found = stage(verify(new), "settle-found")
+        links = found.where("linked")
+        n = links.count()
+        seen = seen.unionByName(found)
+        if n:
+            roots = merged(links)
+        rest = stage(unsettled(led).where("root <> lead_root").select("key", "node", *info, "root"), "settle-rest")
+        before, left = left, rest.count()
+        if n * 20 < before:
+            break
+    wide = stage(unsettled(wide), "settle-wide")
+    keys = wide.where("root <> lead_root").select("key").distinct()
+    wide = wide.join(keys, "key", "left_semi")
+    if more is not None:
+        extra = stage(more(wide.select("node").distinct()), "settle-more")
+        info = [*info, *(c for c in extra.columns if c != "node")]
+        wide = stage(wide.join(extra, "node"), "settle-wide")
+    apart = wide.where("root <> lead_root").select("key", *(F.col(c).alias(f"f_{c}") for c in ("node", "root", *info)))
+    # each pair comes from one side only
+    one_side = (F.col("root") == F.col("lead_root")) | (F.col("f_node") > F.col("node"))
+    last = wide.join(apart, "key").where((F.col("f_root") != F.col("root")) & one_side & may("", "f_") & (may_more or may)("", "f_"))
+    last = pair(last, "node", "f_node").join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    return merged(verify(stage(last, "settle-last")).where("linked"))

@@ -1,26 +1,26 @@
 """Fuzzy line dedup. DataFrame operations only.
 
-Lines are normalised (lower case, letters and digits only).  Each gets ``MINS``
-MinHashes of its words, where longer words count for more: a MinHash of two lines
-agrees with a chance near the share of words they have in common, two thirds at
-edit similarity 0.8.  Lines that agree in all three MinHashes of any of ``TRIPLES``
-are candidates; lines of few words also by ``MORE_TRIPLES``, and lines of few
-letters by ``GRAM_TRIPLES`` of MinHashes of their trigrams, so that lines may meet where
-hardly a word is whole.  Candidates are linked if the edit similarity (1 -
-distance / longer length) of their words or that of their characters is at least
-``SIMILAR``.  Of each connected group the first line, by id and place, stays.
-
-Equal normalised lines are one node from the start, so the most common line
-costs what any other does.  Within a bucket every line is compared with the
-smallest; those that are then still in another group than it are compared with
-all lines of the bucket that are not in their own group.  Pairs within one group
-could join nothing, so no bucket emits all its pairs, none has a cap, and no
-link that could join two groups is lost.
+Lines are normalised (lower case, letters and digits only).  Of the words of a
+line, in a seeded order, the ``KEEP`` first make its blocks, and lines that agree
+in all blocks but two are candidates: a key stands for every choice of ``AGREE``
+blocks.  Longer words come earlier in the order, as they tell lines apart.  Lines of
+few words also have keys of fewer blocks, and short ones keys of their
+trigrams, so that lines may meet where hardly a word is whole.  Candidates are
+linked if the edit similarity (1 - distance / longer length) of their words or,
+up to ``MOST_CHARS`` characters, that of their characters is at least ``SIMILAR``.  Of each connected group the
+first line, by id and place, stays.
+
+A SimHash of words can't do this: lines of edit similarity 0.8 differ in a fifth
+of its bits, so blocks wide enough to tell lines apart hardly ever agree.
+
+Equal normalised lines, told by 128 bits, are one node from the start, so the most
+common line costs what any other does.  Buckets are settled by
+``common.settle``: no pair that could join two groups is left out, none has a cap.
 
 Defined results: a null text counts as empty; lines without a letter or digit
 are never removed; rows with equal id and text keep and lose the same lines;
-null ids come first in order; an empty table gives no rows; other columns are
-only carried.  Lines and rows are told apart by 64-bit hashes.
+null ids come first in order; an empty table gives no rows; other columns,
+whatever their names, are only carried.
 """
 
 from __future__ import annotations
@@ -31,18 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import components, stage, table
+from strandloom.llm.common import row_marks, settle, stage, table
 
 SIMILAR = 0.8
-MINS = 24
-#: MinHashes that make a key: each is in two triples, and no two triples share more than one.
-TRIPLES = tuple((i, 8 + (i + a) % 8, 16 + (i + b) % 8) for a, b in ((0, 0), (1, 3)) for i in range(8))
-#: Lines of fewer words also get these: one changed word can be a large part of what they have.
-FEW_WORDS = 10
-MORE_TRIPLES = tuple(combinations(range(MINS), 3))[::31]
-#: Lines of at most so many characters also meet by their trigrams.
+#: Blocks of a line, and how many of them make a key.
+KEEP, AGREE = 6, 4
+#: Lines of so many different words or more have the keys above, lines of at most so many have keys of one block less.
+MANY_WORDS, FEW_WORDS = 10, 14
+#: Longer lines are compared by words alone: typos in a few of many words leave the words alike.
+MOST_CHARS = 128
+#: Lines of at most so many characters also meet by their trigrams: blocks, and blocks in a key.
 FEW_CHARS = 32
-GRAM_TRIPLES = tuple(combinations(range(MINS), 3))[::13]
+GRAM_KEEP, GRAM_AGREE = 8, 4
 #: Letters beyond the first plane.
 LETTERS = 0xF0000
 
@@ -60,96 +60,69 @@ def word_code(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-32")
 
 
-def _keys(marks: str, triples: tuple[tuple[int, int, int], ...] = TRIPLES) -> Column:
-    """A key for each triple of MinHashes."""
-    return F.array(*(F.xxhash64(F.lit("-".join(map(str, own))), *(F.get(marks, F.lit(i)) for i in own)) for own in triples))
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(*row_marks(id_col, text_col), F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("pos", "line"))
+    return rows.select("r1", "r2", "id", "pos", normalised(F.col("line")).alias("norm"))
 
 
-def line_keys(nodes: DataFrame) -> DataFrame:
-    """``line_id, key`` from ``line_id, kind, meta, marks``: lines that share a key are candidates."""
-    keys = nodes.where("kind = 0").select("line_id", F.explode(_keys("marks")).alias("key"))
-    few = nodes.where((F.col("kind") == 0) & (F.shiftrightunsigned("meta", 32) < FEW_WORDS))
-    keys = keys.unionByName(few.select("line_id", F.explode(_keys("marks", MORE_TRIPLES)).alias("key")))
-    return keys.unionByName(nodes.where("kind = 1").select("line_id", F.explode(_keys("marks", GRAM_TRIPLES)).alias("key")))
+def _grams(norm: Column) -> Column:
+    """The trigrams of a short line, its ends included."""
+    return F.regexp_extract_all(F.concat(F.lit("  "), norm, F.lit("  ")), F.lit("(?=(.{3}))"), F.lit(1))
 
 
-def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def _blocks(tokens: Column, n: int, rank) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(F.transform(tokens, rank))), 1, n)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        _row(docs, id_col, text_col).alias("row"),
-        F.col(id_col).alias("id"),
-        F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("pos", "line"),
-    ).select("row", "id", "pos", normalised(F.col("line")).alias("norm"))
+def line_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``r1, r2, id, pos, l1, l2, size, b0..`` of every line; ``b0`` is null where it has no word.
 
+    ``l1, l2`` tell the normalised line, ``size`` has the number of its words above that of its characters (32 bits),
+    ``b0..`` are its blocks, null where it has fewer.
+    """
+    # longer words get smaller ranks
+    rank = lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.least(F.greatest(F.char_length(w) - 2, F.lit(1)), F.lit(6)))
+    lines = _lines(docs, id_col, text_col)
+    whole = lines.select("r1", "r2", "id", "pos", F.xxhash64("norm").alias("l1"), F.xxhash64(F.lit("line"), "norm").alias("l2"), F.char_length("norm").alias("chars"), F.split("norm", " ").alias("words"))
+    whole = whole.select("r1", "r2", "id", "pos", "l1", "l2", (F.shiftleft(F.size("words").cast("long"), 32) + F.col("chars")).alias("size"), F.when(F.col("chars") > 0, _blocks(F.col("words"), KEEP, rank)).alias("b"))
+    return whole.select("r1", "r2", "id", "pos", "l1", "l2", "size", *(F.get("b", F.lit(i)).alias(f"b{i}") for i in range(KEEP)))
 
-def _grams(norm: Column) -> Column:
-    """The trigrams of a short line, its ends included; without a lambda, which would keep the split from codegen."""
-    n = F.char_length(norm)
-    padded = F.concat(F.lit("  "), norm, F.lit("  "))
-    return F.when((n > 0) & (n <= FEW_CHARS), F.regexp_extract_all(padded, F.lit("(?=(.{3}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
+def _choices(n: int, *sizes: int) -> list[int]:
+    """Bit sets of every choice of so many of ``n`` blocks; where there are no more than that, of all but one."""
+    found = {c for size in sizes for c in combinations(range(n), size if n > size else max(1, n - 1))}
+    return sorted(sum(1 << i for i in c) for c in found)
 
-def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, id, pos, line_id, chars, kind, meta, marks`` of every line with a word.
 
-    Kind 0 is of words; short lines also have a row of kind 1, of trigrams.
-    ``meta`` has the number of words above and, in its low 32 bits, a bit set of them;
-    ``marks`` has the MinHashes.
-    """
-    lines = _lines(docs, id_col, text_col)
-    # what is of the whole line comes before the split: beside it, it would be computed again for every word
-    whole = lines.select(
-        "row",
-        "id",
-        "pos",
-        F.xxhash64("norm").alias("line_id"),
-        F.char_length("norm").alias("chars"),
-        # not a count of rows: rows repeated with equal id and text are one group
-        (F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).alias("n_words"),
-        F.concat(F.split("norm", " "), _grams(F.col("norm"))).alias("tokens"),
-    )
-    words = whole.select("row", "id", "pos", "line_id", "chars", "n_words", F.posexplode_outer("tokens").alias("at", "word")).where("word <> ''")
-    # short words are the common ones: with equal weights their triples would make large buckets of unlike lines;
-    # a rank shifted by w bits is the least 2^w times as often
-    weight = F.when(F.char_length("word") <= 3, 0).when(F.char_length("word") <= 5, 2).otherwise(3)
-    words = words.withColumns({"h": F.xxhash64("word"), "kind": (F.col("at") >= F.col("n_words")).cast("int")})
-    words = words.withColumn("w", F.when(F.col("kind") == 1, 1).otherwise(weight + 1))
-    ranks = (F.expr(f"min(shiftrightunsigned(hash(h, {i}), w))").alias(f"m{i}") for i in range(MINS))
-    found = words.groupBy("row", "id", "pos", "line_id", "chars", "n_words", "kind").agg(
-        F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("bits"), *ranks
-    )
-    meta = F.shiftleft(F.col("n_words").cast("long"), 32).bitwiseOR(F.col("bits"))
-    marks = F.array(*(f"m{i}" for i in range(MINS)))
-    return found.select("row", "id", "pos", "line_id", "chars", "kind", meta.alias("meta"), marks.alias("marks"))
+def _keyed(rows: DataFrame, choices: Column, blocks: list[Column], seed: str) -> DataFrame:
+    """``node, size, key``: the hash of the blocks of each choice, in order; a hash passes over nulls."""
+    chosen = [F.when(F.col("choice").bitwiseAND(F.lit(1 << i)) != 0, b) for i, b in enumerate(blocks)]
+    return rows.withColumn("choice", F.explode(choices)).select("node", "size", F.xxhash64(F.lit(seed), *chosen).alias("key"))
 
 
-def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, id, pos, line_id, chars, meta, marks`` of the words of every line with one."""
-    return hashed(docs, id_col, text_col).where("kind = 0").drop("kind")
+def line_keys(nodes: DataFrame, grams: DataFrame) -> DataFrame:
+    """``node, size, key`` of nodes with blocks, and of short lines with trigram blocks ``g0..``: those that share a key are candidates."""
+    n_words = F.shiftrightunsigned("size", 32)
+    blocks = [F.col(f"b{i}") for i in range(KEEP)]
+    count = lambda own: sum((b.isNotNull().cast("int") for b in own[1:]), F.lit(0))  # noqa: E731  one less than there are
+    by_class = [[_choices(n, *sizes) for n in range(1, KEEP + 1)] for sizes in ((AGREE - 1,), (AGREE - 1, AGREE), (AGREE,))]
+    line_class = (n_words >= MANY_WORDS).cast("int") + (n_words > FEW_WORDS).cast("int")
+    keys = _keyed(nodes, F.get(F.get(F.lit(by_class), line_class), count(blocks)), blocks, "words")
+    own = [F.col(f"g{i}") for i in range(GRAM_KEEP)]
+    of_grams = [_choices(n, GRAM_AGREE) for n in range(1, GRAM_KEEP + 1)]
+    return keys.unionByName(_keyed(grams, F.get(F.lit(of_grams), count(own)), own, "grams"))
 
 
-def _may(a: str, b: str) -> Column:
-    """Whether the words' numbers and bits allow the similarity.
-
-    Both bounds are exact.  The distance is at least the difference of the
-    numbers, and at least the number of bits that one line has and the other
-    lacks: each stands for a word, and letter of its code, that the other lacks.
-    """
-    size = lambda c: F.shiftrightunsigned(c, 32)
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    lacks = lambda x, y: F.bit_count(low(x).bitwiseAND(F.bitwise_not(F.col(y))))
-    longer = F.greatest(size(a), size(b))
-    far = F.floor(longer * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9))
-    return (longer - F.least(size(a), size(b)) <= far) & (lacks(a, b) <= far) & (lacks(b, a) <= far)
+def _fits(p: str, q: str) -> Column:
+    """Whether the numbers of words or those of characters allow the similarity; the distance is at least their difference."""
 
+    def near(of) -> Column:
+        x, y = of(F.col(f"{p}size")), of(F.col(f"{q}size"))
+        return F.greatest(x, y) - F.least(x, y) <= F.floor(F.greatest(x, y) * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9))
 
-def _near(meta: tuple[str, str], chars: tuple[str, str]) -> Column:
-    """Whether the bounds allow either similarity; that of characters is bounded by length alone."""
-    longer = F.greatest(*chars)
-    return _may(*meta) | (longer - F.least(*chars) <= F.floor(longer * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9)))
+    chars = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
+    by_chars = F.greatest(chars(F.col(f"{p}size")), chars(F.col(f"{q}size"))) <= MOST_CHARS
+    return near(lambda c: F.shiftrightunsigned(c, 32)) | (by_chars & near(chars))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -160,104 +133,62 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return f"levenshtein({a}, {b}, {far}) >= 0"
 
     return (
-        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("code").alias("ta"), F.col("norm").alias("na")), "a")
-        .join(texts.select(F.col("line_id").alias("b"), F.col("code").alias("tb"), F.col("norm").alias("nb")), "b")
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("code").alias("ta"), F.col("norm").alias("na")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("code").alias("tb"), F.col("norm").alias("nb")), "b")
         # the words are the shorter: letters are compared only where words do not decide
-        .select("a", "b", F.expr(f"{like('ta', 'tb')} or {like('na', 'nb')}").alias("linked"))
+        .select("a", "b", F.expr(f"{like('ta', 'tb')} or (greatest(char_length(na), char_length(nb)) <= {MOST_CHARS} and {like('na', 'nb')})").alias("linked"))
     )
 
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All lines (``row, id, pos, line_id``) and, for lines that are not alone, the place that stays.
+def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, norm`` of nodes, each from one place where it stands."""
+    places = nodes.select("r1", "r2", "pos", "node").groupBy("r1", "r2").agg(F.collect_list(F.struct("pos", "node")).alias("wanted"))
+    rows = docs.select(*row_marks(id_col, text_col), F.col(text_col).alias("text")).join(places, ["r1", "r2"])
+    rows = rows.select("wanted", F.split("text", "\n", -1).alias("lines"))
+    # a text is cut once, not once for each line that is wanted of it
+    rows = rows.select(F.explode(F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), F.get("lines", w["pos"]).alias("line")))).alias("x"))
+    return rows.select("x.node", normalised(F.col("x.line")).alias("norm")).dropDuplicates(["node"])
 
-    The second has ``line_id, keep_row, keep_pos``.
-    """
-    found = stage(hashed(docs, id_col, text_col), "line-hashes")
-    lines = found.where("kind = 0").select("row", "id", "pos", "line_id")
-    marked = found.groupBy("line_id", "kind").agg(
-        F.min(F.struct("id", "pos", "row")).alias("first"),
-        F.count("*").alias("c"),
-        F.min("meta").alias("meta"),
-        F.min("chars").alias("chars"),
-        F.first("marks").alias("marks"),
-    )
-    marked = stage(marked, "line-nodes")
-    nodes = marked.where("kind = 0")
+
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All lines with a word (``r1, r2, id, pos, l1, l2``) and the groups of those that are not alone (``l1, l2, root``)."""
+    # blank lines go here: a filter before would be pushed down, and every line normalised twice
+    lines = stage(line_marks(docs, id_col, text_col), "line-marks").where("b0 is not null")
+    same = lambda c: F.first(c).alias(c)  # noqa: E731  of equal lines, or of one place
+    nodes = lines.groupBy("l1", "l2").agg(F.count("*").alias("n"), *map(same, ("r1", "r2", "pos", "size", *(f"b{i}" for i in range(KEEP)))))
+    # numbers of their own: other joins need one column, and two lines can't share one
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
+    short = _texts(docs, nodes.where((F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))) <= FEW_CHARS), id_col, text_col)
+    grams = short.select("node", _blocks(_grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g)).alias("g")).join(nodes.select("node", "size"), "node")
+    grams = grams.select("node", "size", *(F.get("g", F.lit(i)).alias(f"g{i}") for i in range(GRAM_KEEP)))
     bucket = Window.partitionBy("key")
-    shared = (
-        line_keys(marked)
-        .withColumn("leader", F.min("line_id").over(bucket))
-        .withColumn("c", F.count("*").over(bucket))
-        .where("c > 1 and line_id <> leader")
-    )
-    led = _near(("meta", "lead_meta"), ("chars", "lead_chars"))
-    bounds = nodes.select("line_id", "meta", "chars")
     members = (
-        stage(shared, "line-shared")
-        .join(bounds, "line_id")
-        .join(bounds.toDF("leader", "lead_meta", "lead_chars"), "leader")
-        .where((F.col("c") > 2) | led)
-    )
-    members = stage(members, "line-members")
-    first = members.where(led).select(F.col("line_id").alias("a"), F.col("leader").alias("b")).distinct()
-    wanted = members.select("line_id").unionByName(members.select(F.col("leader").alias("line_id"))).distinct()
-    places = nodes.join(wanted, "line_id").select("first.row", "first.pos").groupBy("row").agg(F.collect_list("pos").alias("wanted"))
-    texts = (
-        docs.select(_row(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-        .join(places, "row")
-        .select("wanted", F.split("text", "\n", -1).alias("lines"))
-        # a text is cut once, not once for each line that is wanted of it
-        .select(F.explode(F.transform("wanted", lambda p: F.get("lines", p))).alias("line"))
-        .select(normalised(F.col("line")).alias("norm"))
-        .select(F.xxhash64("norm").alias("line_id"), word_code(F.col("norm")).alias("code"), "norm")
-        .dropDuplicates(["line_id"])
-    )
-    texts = stage(texts, "line-texts")
-    linked = stage(_verified(first, texts), "line-first")
-    good = linked.where("linked").select(F.col("a").alias("line_id"), F.col("b").alias("leader"))
-    # what a bucket still has to settle: lines that are in another group than its smallest line
-    roots = stage(components(good.select(F.col("line_id").alias("a"), F.col("leader").alias("b"))), "line-first-roots")
-    of = lambda c, r: roots.select(F.col("id").alias(c), F.col("root").alias(r))
-    more = (
-        members.where("c > 2")
-        .join(of("line_id", "r"), "line_id", "left")
-        .join(of("leader", "lr"), "leader", "left")
-        .select("key", "line_id", "meta", "chars", F.coalesce("r", "line_id").alias("root"), F.coalesce("lr", "leader").alias("lead_root"))
-    )
-    more = stage(more, "line-more")
-    apart = more.where("root <> lead_root").select("key", F.col("line_id").alias("f"), F.col("meta").alias("f_meta"), F.col("chars").alias("f_chars"), F.col("root").alias("f_root"))
-    second = (
-        more.join(apart, "key")
-        .where((F.col("f_root") != F.col("root")) & _near(("meta", "f_meta"), ("chars", "f_chars")))
-        .select(F.greatest("f", "line_id").alias("a"), F.least("f", "line_id").alias("b"))
-        .distinct()
-        .join(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        line_keys(nodes, grams)
+        .withColumn("c", F.count("*").over(bucket))
+        .withColumn("leader", F.min("node").over(bucket))
+        .where("c > 1")
     )
-    second = _verified(stage(second, "line-second"), texts).where("linked").select("a", "b")
-    roots = stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second)), "line-roots")
-    grouped = nodes.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").where("c > 1 or root is not null")
-    grouped = stage(grouped.select("line_id", "first", F.coalesce("root", "line_id").alias("root")), "line-grouped")
-    keep = grouped.groupBy("root").agg(F.min("first").alias("keep"))
-    decided = grouped.join(keep, "root").select("line_id", F.col("keep.row").alias("keep_row"), F.col("keep.pos").alias("keep_pos"))
-    return lines, decided
+    members = stage(members, "line-members").join(nodes.select(F.col("node").alias("leader"), F.col("size").alias("lead_size")), "leader")
+    texts = _texts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), id_col, text_col)
+    texts = stage(texts.withColumn("code", word_code(F.col("norm"))), "line-texts")
+    roots = settle(members, ["size"], _fits, lambda pairs: _verified(pairs, texts))
+    grouped = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").where("n > 1 or root is not null")
+    return lines.select("r1", "r2", "id", "pos", "l1", "l2"), grouped.select("l1", "l2", F.coalesce("root", "node").alias("root"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, removed``: numbers of the lines to remove, for rows that lose any."""
-    lines, decided = line_groups(docs, id_col, text_col)
-    return (
-        lines.join(decided, "line_id")
-        .where((F.col("row") != F.col("keep_row")) | (F.col("pos") != F.col("keep_pos")))
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_set("pos")).alias("removed"))
-    )
+    """``r1, r2, removed``: numbers of the lines to remove, for rows that lose any."""
+    lines, grouped = line_groups(docs, id_col, text_col)
+    found = stage(lines.join(grouped, ["l1", "l2"]).select("root", F.struct("id", "pos", "r1", "r2").alias("at")), "line-grouped")
+    keep = found.groupBy("root").agg(F.min("at").alias("keep"))
+    gone = found.join(keep, "root").where("at.r1 <> keep.r1 or at.r2 <> keep.r2 or at.pos <> keep.pos")
+    return gone.groupBy("at.r1", "at.r2").agg(F.sort_array(F.collect_set("at.pos")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with their repeated lines removed; texts left without a line are empty."""
-    removed = stage(removed_lines(docs, id_col, text_col), "line-removed").withColumnRenamed("row", "_of")
-    joined = docs.select(F.struct("*").alias("_row"), _row(docs, id_col, text_col).alias("_at"))
-    joined = joined.join(removed, F.col("_at") == F.col("_of"), "left")
+    removed = stage(removed_lines(docs, id_col, text_col), "line-removed")
+    joined = docs.select(F.struct("*").alias("_row"), *row_marks(id_col, text_col)).join(removed, ["r1", "r2"], "left")
     text = F.col("_row")[text_col]
     left = F.filter(F.split(text, "\n", -1), lambda s, i: ~F.array_contains("removed", i))
     cleaned = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(left, "\n"))
@@ -275,13 +206,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    removed = stage(removed_lines(docs), "line-removed").withColumnRenamed("row", "of")
+    removed = stage(removed_lines(docs), "line-removed")
     rows = docs.select(
         "doc_id",
-        _row(docs, "doc_id", "text").alias("at"),
+        *row_marks("doc_id", "text"),
         F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
     )
-    return rows.join(removed, F.col("at") == F.col("of"), "left").select(
+    return rows.join(removed, ["r1", "r2"], "left").select(
         "doc_id",
         "n_lines",
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),

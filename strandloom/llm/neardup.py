@@ -7,17 +7,15 @@ edits and with moved passages.  Texts that share a sketch are candidates; they
 are linked if a banded alignment of their words finds an edit similarity
 (1 - distance / longer length) of at least 0.8.  A class is a connected group.
 
-Texts with equal words are one node from the start.  Within a bucket of equal
-sketches every node is compared with the smallest one.  Those that are then still
-in another group than it are compared with all nodes of the bucket that are not
-in their own group.  Pairs within one group could join nothing, so no bucket
-emits all its pairs and yet no link that could join two groups is lost.  Buckets
-have no cap.
+Texts with equal words, told by 128 bits, are one node from the start.  Buckets of
+equal sketches are settled by ``common.settle``: no pair that could join two
+groups is left out, none has a cap.
 
 Defined results: a null text counts as empty, and texts without words form one
-class; rows with equal ids are kept or removed together; rows with null ids are
-classed but never removed; with fewer than five words the whole text is the only
-k-mer; an empty table gives no rows; other columns are only carried.
+class; with fewer than five words the whole text is the only k-mer; of each class
+one row stays, that of the smallest id (a null id only if no other), then of the
+smallest hash of id and text; of rows with that id and text any one stays; an
+empty table gives no rows; other columns, whatever their names, are only carried.
 """
 
 from __future__ import annotations
@@ -26,11 +24,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.bytehash import Powers, mix, word_hashes
-from strandloom.llm.common import components, stage, table
+from strandloom.llm.common import row_marks, settle, stage, table
 
 K = 5
 PICK = 3
@@ -40,6 +38,9 @@ PART = 5
 #: Longs of a text's word bits.
 BAG = 64
 CHUNK = 2_000_000
+#: Cells of the bands aligned together, and of their padded texts.
+BAND = 60_000
+PADDED = 4_000_000
 
 
 def _chunks(values: list[bytes], limit: int):
@@ -93,15 +94,10 @@ def sketch(kmers: np.ndarray, seeds: np.ndarray, pick: int = PICK) -> np.ndarray
     return out
 
 
-def _row(id_col: str, text_col: str) -> Column:
-    """Finds a text again where ids are null or repeat."""
-    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int = SKETCHES, pick: int = PICK) -> DataFrame:
-    """``id, row, node, node2, n_words, marks``.
+    """``id, r1, r2, w1, w2, n_words, marks``.
 
-    ``row`` is a hash of id and text, ``node`` one of the words, ``marks`` the sketches.
+    ``r1, r2`` is a hash of id and text, ``w1, w2`` one of the words, ``marks`` the sketches.
     """
     seeds = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
 
@@ -121,18 +117,19 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int = SKETCHES, pic
                     marks.append(sketch(labelled_kmers(w), seeds, pick).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(2).slice(a, b - a),
+                        *(batch.column(i).slice(a, b - a) for i in (0, 2, 3)),
                         pa.array(node, pa.int64()),
                         pa.array(node2, pa.int64()),
                         pa.array(size, pa.int32()),
                         pa.array(marks, pa.list_(pa.int64())),
                     ],
-                    names=["id", "row", "node", "node2", "n_words", "marks"],
+                    names=["id", "r1", "r2", "w1", "w2", "n_words", "marks"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, _row(id_col, text_col)).mapInArrow(run, f"id {kind}, row long, node long, node2 long, n_words int, marks array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_marks(id_col, text_col)).mapInArrow(
+        run, f"id {kind}, r1 long, r2 long, w1 long, w2 long, n_words int, marks array<long>"
+    )
 
 
 def bag_bits(words: np.ndarray) -> np.ndarray:
@@ -239,10 +236,13 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], part: int = PART) -> np.
         todo.sort(key=lambda x: len(x[1]))
         again, k = [], 0
         while k < len(todo):
-            cells, end = 0, k
-            while end < len(todo) and cells < 60_000:
+            width, end, longest = 2 * t + 1, k, 0
+            while end < len(todo):
+                # texts are padded to the longest of those aligned together
+                longest = max(longest, len(todo[end][1]), len(todo[end][2]))
+                if end > k and (end + 1 - k) * max(width * PADDED // BAND, longest + width) > PADDED:
+                    break
                 end += 1
-                cells += 2 * t + 1
             for (i, a, b, most), d in zip(todo[k:end], banded([(a, b) for _, a, b, _ in todo[k:end]], t), strict=True):
                 if d <= t or t >= most:
                     verdict[i] = d <= min(t, most) if t < most else d <= most
@@ -275,90 +275,70 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SKETCHES, pick: int = PICK) -> DataFrame:
-    """Per row of ``docs``: ``id_col, class_id, n_texts``.
-
-    ``class_id`` is the smallest id of the row's class, ``n_texts`` the number of
-    different texts in it.
-    """
+def _classed(docs: DataFrame, id_col: str, text_col: str, n: int = SKETCHES, pick: int = PICK) -> DataFrame:
+    """Per row: ``id, r1, r2, class_id, keep, n_texts``; ``keep`` has the marks of the row that stays of its class."""
     rows = stage(sketches(docs, id_col, text_col, n, pick), "near-sketches")
-    nodes = stage(
-        rows.groupBy("node", "node2").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.first("n_words").alias("n_words"), F.first("marks").alias("marks")),
-        "near-nodes",
+    nodes = rows.groupBy("w1", "w2").agg(
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "r1", "r2")).alias("first"), F.first("n_words").alias("n_words"), F.first("marks").alias("marks")
     )
-    buckets = nodes.select("node", "n_words", F.posexplode("marks").alias("i", "mark")).select("mark", "i", "node", "n_words")
-    leaders = buckets.groupBy("mark").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1")
-    shared = stage(buckets.join(leaders, "mark").select("mark", "i", "node", "n_words", "leader", "c"), "near-buckets")
-
-    def fits(x: str, y: str):
+    # numbers of their own: other joins need one column, and two texts can't share one
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    buckets = nodes.select("node", "n_words", F.posexplode("marks").alias("i", "key"))
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1")
+    shared = stage(buckets.join(leaders, "key"), "near-buckets")
+    heads = shared.where("node = leader").select("key", F.col("n_words").alias("lead_n_words"))
+    members = shared.join(heads, "key")
+    named = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first.r1", "first.r2")
+    texts = docs.select(*row_marks(id_col, text_col), F.coalesce(text_col, F.lit("")).alias("text")).join(named, ["r1", "r2"])
+    texts = stage(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+    def fits(p: str, q: str):
+        x, y = f"{p}n_words", f"{q}n_words"
         return F.least(x, y) * PART >= F.greatest(x, y) * (PART - 1)
 
-    heads = shared.where("node = leader").select("mark", F.col("n_words").alias("lead_words"))
-    members = shared.where("node <> leader").join(heads, "mark").select("mark", "i", "node", "n_words", "leader", "lead_words", "c")
-    first = members.where(fits("n_words", "lead_words")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    named = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "row")
-    texts = stage(docs.select(_row(id_col, text_col), F.coalesce(text_col, F.lit("")).alias("text")).join(named, "row").select("node", "text").dropDuplicates(["node"]), "near-texts")
-    linked = stage(verify(first, texts), "near-first")
-    good = linked.where("linked").select(F.col("a").alias("node"), F.col("b").alias("leader"))
-    # what a bucket still has to settle: nodes that are in another group than its smallest node
-    roots = stage(components(good.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "near-first-roots")
-    of = lambda c, r: roots.select(F.col("id").alias(c), F.col("root").alias(r))
-    members = (
-        members.where("c > 2")
-        .join(of("node", "r"), "node", "left")
-        .join(of("leader", "lr"), "leader", "left")
-        .select("mark", "i", "node", "n_words", F.coalesce("r", "node").alias("root"), F.coalesce("lr", "leader").alias("lead_root"))
-    )
-    members = stage(members, "near-members")
-    open_marks = members.where("root <> lead_root").select("mark").distinct()
-    members = members.join(open_marks, "mark", "left_semi")
-    word_bits = stage(bags(texts.join(members.select("node").distinct(), "node", "left_semi")), "near-bags")
-    members = stage(members.join(word_bits, "node").join(nodes.select("node", "marks"), "node"), "near-open")
-    apart = members.where("root <> lead_root").select(
-        "mark", F.col("node").alias("f"), F.col("n_words").alias("f_words"), F.col("root").alias("f_root"), F.col("bag").alias("f_bag"), F.col("marks").alias("f_marks")
-    )
-
     def lacks(x: str, y: str):
         differ = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
         return F.aggregate(differ, F.lit(0), lambda acc, d: acc + d)
 
-    far = F.floor(F.greatest("n_words", "f_words") / PART)
-    # a pair comes up once: in the first bucket it shares, and from one side
-    first_shared = F.array_position(F.zip_with("marks", "f_marks", lambda x, y: x == y), True) - 1 == F.col("i")
-    one_side = (F.col("root") == F.col("lead_root")) | (F.col("f") > F.col("node"))
-    second = (
-        members.join(apart, "mark")
-        # exact bounds, the cheap ones first: a pair that fails one can't be similar
-        .where(
-            (F.col("f_root") != F.col("root"))
-            & one_side
-            & fits("n_words", "f_words")
-            & first_shared
-            & (lacks("bag", "f_bag") <= far)
-            & (lacks("f_bag", "bag") <= far)
-        )
-        .select(F.greatest("f", "node").alias("a"), F.least("f", "node").alias("b"))
-        .distinct()
-        .join(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    second = verify(stage(second, "near-second"), texts).where("linked").select("a", "b")
-    roots = stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second)), "near-roots")
-    of_node = (
-        nodes.select("node", "first")
-        .join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
-        .select("node", "first", F.coalesce("root", "node").alias("root"))
-    )
-    of_node = stage(of_node, "near-node-roots")
-    of_root = of_node.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))
-    of_node = of_node.join(of_root, "root").select("node", "class_id", "n_texts")
-    return rows.select("id", "node").join(of_node, "node").select(F.col("id").alias(id_col), "class_id", "n_texts")
+    def tight(p: str, q: str):
+        far = F.floor(F.greatest(f"{p}n_words", f"{q}n_words") / PART)
+        # a pair comes up once: in the first bucket it shares
+        first_shared = F.array_position(F.zip_with(f"{p}marks", f"{q}marks", lambda x, y: x == y), True) - 1 == F.col("i")
+        return first_shared & (lacks(f"{p}bag", f"{q}bag") <= far) & (lacks(f"{q}bag", f"{p}bag") <= far)
+
+    def more(some: DataFrame) -> DataFrame:
+        return bags(texts.join(some, "node", "left_semi")).join(nodes.select("node", "marks"), "node")
+
+    roots = settle(members, ["n_words"], fits, lambda pairs: verify(pairs, texts), more, tight)
+    of_node = stage(nodes.select("node", "w1", "w2", "first").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
+    of_root = of_node.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("n_texts"))
+    of_node = of_node.join(of_root, "root").select("w1", "w2", F.col("keep.id").alias("class_id"), "keep", "n_texts")
+    return rows.select("id", "r1", "r2", "w1", "w2").join(of_node, ["w1", "w2"]).drop("w1", "w2")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SKETCHES, pick: int = PICK) -> DataFrame:
+    """Per row of ``docs``: ``id_col, class_id, n_texts``.
+
+    ``class_id`` is the smallest id of the row's class, ``n_texts`` the number of
+    different texts in it.
+    """
+    return _classed(docs, id_col, text_col, n, pick).select(F.col("id").alias(id_col), "class_id", "n_texts")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose class has a smaller id."""
-    found = stage(classes(docs, id_col, text_col), "near-classes")
-    drop = stage(found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_drop")).distinct(), "near-drop")
-    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    """``docs`` with one row of each class."""
+    found = _classed(docs, id_col, text_col)
+    own = (F.col("r1") == F.col("keep.r1")) & (F.col("r2") == F.col("keep.r2"))
+    # rows to take out, and of those that stay the ones that are there several times
+    marked = found.groupBy("r1", "r2").agg(F.max(own).alias("stays"), F.count("*").alias("n"))
+    marked = stage(marked.where("not stays or n > 1"), "near-drop")
+    rows = docs.select(F.struct("*").alias("_row"), *row_marks(id_col, text_col))
+    out = rows.join(marked, ["r1", "r2"], "left_anti").select("_row")
+    again = marked.where("stays")
+    if not again.isEmpty():
+        one = rows.join(again.select("r1", "r2"), ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("_row").alias("_row"))
+        out = out.unionByName(one.select("_row"))
+    return out.select("_row.*")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

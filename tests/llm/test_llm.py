@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,6 +189,8 @@ def test_near_copies_without_own_ids(spark):
     rows = [(None, a), (1, a.replace("left7 ", "other ")), (2, b), (2, a.replace("left30 ", "more ")), (3, b.replace("right5 ", "some "))]
     got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.class_id, r.n_texts) for r in got) == [(0, 1, 3), (1, 1, 3), (2, 1, 3), (2, 2, 2), (3, 2, 2)]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[1], rows[2]])
 
 
 def test_lines_like_and_unlike(spark):
@@ -201,21 +204,49 @@ def test_lines_like_and_unlike(spark):
     assert got == {1: rows[0][1], 2: "---", 3: "own line here", 4: "---"}
 
 
-def test_line_bounds_lose_no_similar_pair(spark):
-    rng, rows = random.Random(7), []
-    for k in range(300):
-        one = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 40))]
-        other = list(one)
-        for _ in range(rng.randrange(0, 1 + len(one) // 3)):
-            other[rng.randrange(len(other))] = f"w{rng.randrange(60)}"
-        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other + ["end"] * rng.randrange(2)))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sims = linededup.simhashes(docs, "doc_id", "text").join(docs.withColumnRenamed("doc_id", "id"), "id").select("id", "meta", linededup.word_code(F.col("text")).alias("code"))
-    left, right = sims.where("id % 2 = 0"), sims.where("id % 2 = 1").toDF("id2", "meta2", "code2")
-    far = F.floor(F.greatest(F.char_length("code"), F.char_length("code2")) * 0.2 + 1e-9)
-    pairs = left.join(right, F.col("id") + 1 == F.col("id2")).select((F.levenshtein("code", "code2") <= far).alias("like"), linededup._may("meta", "meta2").alias("may"))
-    found = [(r.like, r.may) for r in pairs.collect()]
-    assert len(found) == 300 and (True, False) not in found and (False, False) in found and sum(x for x, _ in found) > 50
+def like_pairs(lines):
+    """All pairs of lines that are like, by brute force: of those that share enough words or trigrams to be."""
+    found = []
+    size = lambda x: len(x.split(" "))
+    bags = [(Counter(x.split(" ")), size(x), x.split(" ")) for x in lines], [(Counter(x[i : i + 3] for i in range(len(x) - 2)), len(x), x) for x in lines]
+    for (kind, per), most in zip(((bags[0], 1), (bags[1], 3)), (10**9, linededup.MOST_CHARS), strict=True):
+        order = sorted((i for i in range(len(lines)) if kind[i][1] <= most), key=lambda i: kind[i][1])
+        for at, j in enumerate(order):
+            far = kind[j][1] // 5
+            for i in reversed(order[:at]):
+                if kind[j][1] - kind[i][1] > far:
+                    break
+                if (kind[j][0] - kind[i][0]).total() <= per * far and levenshtein(kind[i][2], kind[j][2]) <= far:
+                    found.append((lines[i], lines[j]))
+    return found
+
+
+def test_line_groups_are_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = linededup._lines(docs, "doc_id", "text").where("norm <> ''").withColumn("l1", F.xxhash64("norm"))
+    name = {r.l1: r.norm for r in rows.select("l1", "norm").distinct().collect()}
+    group = {name[r.l1]: r.root for r in linededup.line_groups(docs)[1].collect()}
+    pairs = like_pairs(sorted(name.values()))
+    root = {x: x for x in name.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    linked = sum(a in group and group[a] == group.get(b) for a, b in pairs)
+    assert len(pairs) > 30 and linked >= 0.97 * len(pairs)
+    # no line is in a group that links do not join
+    assert len({(r, find(x)) for x, r in group.items()}) == len(set(group.values()))
+    # what goes is all of a group but its first place
+    at = {}
+    for r in rows.collect():
+        at.setdefault(group.get(r.norm, r.norm), []).append((r.id, r.pos))
+    want = {x for places in at.values() for x in sorted(places)[1:]}
+    gone = QUERIES["op1_line_dedup"](spark, DATA).select("doc_id", F.explode("removed_lines")).collect()
+    assert {tuple(r) for r in gone} == want
 
 
 def like_lines(rng, n_words, changed, count):
@@ -253,7 +284,7 @@ def test_near_line_of_repeated_rows(spark):
     words = [f"word{k}" for k in range(10)]
     line, near = " ".join(words), " ".join([*words[:9], "x" * 40])
     docs = spark.createDataFrame([(1, line), (1, line), (2, near)], "doc_id long, text string")
-    got = {(r.id, r.meta >> 32) for r in linededup.simhashes(docs, "doc_id", "text").collect()}
+    got = {(r.id, r.size >> 32) for r in linededup.line_marks(docs, "doc_id", "text").collect()}
     assert got == {(1, 10), (2, 10)}
     assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(docs, n_chars_col=None).collect()) == [(1, line), (1, line), (2, "")]
 

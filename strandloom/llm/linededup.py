@@ -1,9 +1,8 @@
 """Fuzzy line dedup. DataFrame operations only.
 
 Lines are normalised (lower case, letters and digits only).  Of the words of a
-line, in a seeded order, the ``KEEP`` first make its blocks, and lines that agree
-in all blocks but two are candidates: a key stands for every choice of ``AGREE``
-blocks.  Longer words come earlier in the order, as they tell lines apart.  Lines of
+line, in a seeded order, the ``KEEP`` first make its blocks, and lines that share
+``AGREE`` of them are candidates: a key stands for every choice of so many.  Longer words come earlier in the order, as they tell lines apart.  Lines of
 few words also have keys of fewer blocks, and short ones keys of their
 trigrams, so that lines may meet where hardly a word is whole.  Candidates are
 linked if the edit similarity (1 - distance / longer length) of their words or,
@@ -35,7 +34,7 @@ from strandloom.llm.common import row_marks, settle, stage, table
 
 SIMILAR = 0.8
 #: Blocks of a line, and how many of them make a key.
-KEEP, AGREE = 6, 4
+KEEP, AGREE = 7, 4
 #: Lines of so many different words or more have the keys above, lines of at most so many have keys of one block less.
 MANY_WORDS, FEW_WORDS = 10, 14
 #: Longer lines are compared by words alone: typos in a few of many words leave the words alike.
@@ -43,6 +42,10 @@ MOST_CHARS = 128
 #: Lines of at most so many characters also meet by their trigrams: blocks, and blocks in a key.
 FEW_CHARS = 32
 GRAM_KEEP, GRAM_AGREE = 8, 4
+#: Keys are dealt into so many passes, one after another, so that their shuffles need not be on disk together.
+PASSES = 2
+#: Longs of a line's word bits.
+BAG = 16
 #: Letters beyond the first plane.
 LETTERS = 0xF0000
 
@@ -95,13 +98,13 @@ def _choices(n: int, *sizes: int) -> list[int]:
 
 
 def _keyed(rows: DataFrame, choices: Column, blocks: list[Column], seed: str) -> DataFrame:
-    """``node, size, key``: the hash of the blocks of each choice, in order; a hash passes over nulls."""
+    """``node, key``: the hash of the blocks of each choice, in order; a hash passes over nulls."""
     chosen = [F.when(F.col("choice").bitwiseAND(F.lit(1 << i)) != 0, b) for i, b in enumerate(blocks)]
-    return rows.withColumn("choice", F.explode(choices)).select("node", "size", F.xxhash64(F.lit(seed), *chosen).alias("key"))
+    return rows.withColumn("choice", F.explode(choices)).select("node", F.xxhash64(F.lit(seed), *chosen).alias("key"))
 
 
 def line_keys(nodes: DataFrame, grams: DataFrame) -> DataFrame:
-    """``node, size, key`` of nodes with blocks, and of short lines with trigram blocks ``g0..``: those that share a key are candidates."""
+    """``node, key`` of nodes with blocks, and of short lines with trigram blocks ``g0..``: those that share a key are candidates."""
     n_words = F.shiftrightunsigned("size", 32)
     blocks = [F.col(f"b{i}") for i in range(KEEP)]
     count = lambda own: sum((b.isNotNull().cast("int") for b in own[1:]), F.lit(0))  # noqa: E731  one less than there are
@@ -125,6 +128,22 @@ def _fits(p: str, q: str) -> Column:
     return near(lambda c: F.shiftrightunsigned(c, 32)) | (by_chars & near(chars))
 
 
+def bags(texts: DataFrame) -> DataFrame:
+    """``node, t0..``: bit sets of the words of ``node, norm``."""
+    words = texts.select("node", F.explode(F.split("norm", " ")).alias("word")).withColumn("h", F.pmod(F.xxhash64("word"), F.lit(64 * BAG)).cast("int"))
+    bit = [F.when(F.shiftright("h", 6) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long")) for i in range(BAG)]
+    return words.groupBy("node").agg(*(F.bit_or(b).alias(f"t{i}") for i, b in enumerate(bit)))
+
+
+def _tight(p: str, q: str) -> Column:
+    """Whether the words' bits allow the similarity: a bit that one line has and the other lacks stands for a word that the other lacks."""
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}t{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}t{i}")))) for i in range(BAG)), F.lit(0))
+    longer = F.greatest(F.col(f"{p}size"), F.col(f"{q}size"))
+    far = F.floor(F.shiftrightunsigned(longer, 32) * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9))
+    short = F.greatest(F.col(f"{p}size").bitwiseAND(F.lit(0xFFFFFFFF)), F.col(f"{q}size").bitwiseAND(F.lit(0xFFFFFFFF))) <= MOST_CHARS
+    return short | ((lacks(p, q) <= far) & (lacks(q, p) <= far))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, linked`` for pairs of lines."""
 
@@ -159,19 +178,19 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # numbers of their own: other joins need one column, and two lines can't share one
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     short = _texts(docs, nodes.where((F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))) <= FEW_CHARS), id_col, text_col)
-    grams = short.select("node", _blocks(_grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g)).alias("g")).join(nodes.select("node", "size"), "node")
-    grams = grams.select("node", "size", *(F.get("g", F.lit(i)).alias(f"g{i}") for i in range(GRAM_KEEP)))
-    bucket = Window.partitionBy("key")
-    members = (
-        line_keys(nodes, grams)
-        .withColumn("c", F.count("*").over(bucket))
-        .withColumn("leader", F.min("node").over(bucket))
-        .where("c > 1")
-    )
-    members = stage(members, "line-members").join(nodes.select(F.col("node").alias("leader"), F.col("size").alias("lead_size")), "leader")
+    grams = short.select("node", _blocks(_grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g)).alias("g"))
+    grams = grams.select("node", *(F.get("g", F.lit(i)).alias(f"g{i}") for i in range(GRAM_KEEP)))
+    keys, bucket = line_keys(nodes, grams), Window.partitionBy("key")
+    members = None
+    for i in range(PASSES):
+        own = keys.where(F.pmod("key", F.lit(PASSES)) == i).withColumn("c", F.count("*").over(bucket)).withColumn("leader", F.min("node").over(bucket))
+        own = stage(own.where("c > 1"), "line-members")
+        members = members.unionByName(own) if members else own
+    sizes = nodes.select("node", "size")
+    members = members.join(sizes, "node").join(sizes.toDF("leader", "lead_size"), "leader")
     texts = _texts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), id_col, text_col)
     texts = stage(texts.withColumn("code", word_code(F.col("norm"))), "line-texts")
-    roots = settle(members, ["size"], _fits, lambda pairs: _verified(pairs, texts))
+    roots = settle(members, ["size"], _fits, lambda pairs: _verified(pairs, texts), lambda some: bags(texts.join(some, "node", "left_semi")), _tight)
     grouped = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").where("n > 1 or root is not null")
     return lines.select("r1", "r2", "id", "pos", "l1", "l2"), grouped.select("l1", "l2", F.coalesce("root", "node").alias("root"))
 
@@ -180,7 +199,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``r1, r2, removed``: numbers of the lines to remove, for rows that lose any."""
     lines, grouped = line_groups(docs, id_col, text_col)
     found = stage(lines.join(grouped, ["l1", "l2"]).select("root", F.struct("id", "pos", "r1", "r2").alias("at")), "line-grouped")
-    keep = found.groupBy("root").agg(F.min("at").alias("keep"))
+    # written, so that the join with it can split a large group
+    keep = stage(found.groupBy("root").agg(F.min("at").alias("keep")), "line-keep")
     gone = found.join(keep, "root").where("at.r1 <> keep.r1 or at.r2 <> keep.r2 or at.pos <> keep.pos")
     return gone.groupBy("at.r1", "at.r2").agg(F.sort_array(F.collect_set("at.pos")).alias("removed"))
 

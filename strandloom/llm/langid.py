@@ -6,9 +6,10 @@ one.  Linear support vector machines, one per family against the rest, choose
 the family.  Within it, one machine for each pair of languages votes.
 
 The models are fitted on the driver from a bounded sample: at most ``per_lang``
-texts of each language, the first in the order of a hash of the id, and at most
-``MAX_LANGS`` languages.  Only their hashed counts, made from whole texts on the
-executors, reach the driver.  Prediction maps over all texts; nothing is
+texts of each language, the first in the order of a hash of id and text, and fewer
+where there are so many languages that those would pass ``MAX_TEXTS`` together.
+Every language is learned.  Only their hashed counts, made from whole texts on
+the executors, reach the driver.  Prediction maps over all texts; nothing is
 shuffled.
 
 Defined results: null texts and those without a letter are ``und`` with score
@@ -19,7 +20,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,10 +42,10 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 PER_LANG = 400
-MAX_LANGS = 200
+#: Texts to learn from, of all languages together (21.5 kB each on the driver).
+MAX_TEXTS = 16_000
 #: Hash slots of single letters, pairs and triples.
 SLOTS = (256, 1024, 4096)
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that count as letters: a to z and all of multi-byte characters.
 FOLD = np.where([97 <= b <= 122 or b >= 128 for b in range(256)], np.arange(256), 32).astype(np.uint32)
 
@@ -136,12 +136,19 @@ def _sure(margin: float) -> float:
     return float(1 / (1 + np.exp(-3 * np.clip(margin, -10, 10))))
 
 
+def letters(text_col: str) -> Column:
+    """Whether a text has a letter."""
+    return F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, teaches: Column, per_lang: int = PER_LANG) -> Model | None:
-    rows = docs.where(teaches & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), id_col), F.lit(1 << 30)) / (1 << 30)
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()}
+    rows = docs.where(teaches & F.col(lang_col).isNotNull() & letters(text_col))
+    # of rows equal in id and text one is enough
+    draw = F.pmod(F.xxhash64(F.lit("langid"), id_col, text_col), F.lit(1 << 52)) / (1 << 52)
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return None
+    per_lang = max(1, min(per_lang, MAX_TEXTS // len(counts)))
     # a first cut by the share each language needs; the second, exact cut has few rows left
     share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2.0 * per_lang / n))))
     picked = rows.where(draw <= F.coalesce(F.try_element_at(share, F.col(lang_col)), F.lit(0.0)))
@@ -151,7 +158,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, teaches: Col
             vectors = [features(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], names=["lang", "draw", "v"])
 
-    picked = picked.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
+    picked = picked.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text")).dropDuplicates(["lang", "draw"])
     found = picked.mapInArrow(run, "lang string, draw double, v binary").toPandas()
     found = found.sort_values(["lang", "draw", "v"]).groupby("lang").head(per_lang)
     x = np.stack([np.frombuffer(v, np.float32) for v in found["v"]])
@@ -164,15 +171,14 @@ def predict(docs: DataFrame, model: Model | None, id_col: str, text_col: str) ->
     def run(batches):
         for batch in batches:
             langs, scores = [], []
-            for t in batch.column(1):
-                t = t.as_py()
-                lang, score = model.predict(features(t)) if model and t and LETTER.search(t) else ("und", 0.0)
+            for t, ok in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                lang, score = model.predict(features(t.as_py())) if model and ok else ("und", 0.0)
                 langs.append(lang)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col, letters(text_col).alias("ok")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op3_langid(spark, sf_dir: str) -> DataFrame:

@@ -205,18 +205,20 @@ def _packed(items: DataFrame, keys: list[str], capacity: int, open_bins: int, ta
     return items.repartition(n, order).sortWithinPartitions(order, *items.columns).mapInPandas(run, f"{schema}, bin long, at long, still boolean")
 
 
-def pack_pieces(pieces: DataFrame, keys: list[str], max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS, task_items: int = TASK_ITEMS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS, task_items: int = TASK_ITEMS) -> DataFrame:
     """Adds ``sequence_id, offset`` to ``pieces``, whose ``length`` is at most ``max_tokens``.
 
-    ``pieces`` should be a written table: it is read twice.
+    Pieces get numbers of their own and are dealt by those, so that null or
+    repeated ids can't fill one task.
     """
-    first = stage(_packed(pieces, keys, max_tokens, open_bins, task_items), "pack-first")
+    pieces = stage(pieces.withColumn("_n", F.monotonically_increasing_id()), "pack-pieces")
+    first = stage(_packed(pieces, ["_n"], max_tokens, open_bins, task_items), "pack-first")
     rest = first.where("still").groupBy("bin").agg(F.max(F.col("at") + F.col("length")).alias("length"))
     again = stage(rest, "pack-rest")
     again = stage(_packed(again.withColumnRenamed("bin", "old"), ["old"], max_tokens, open_bins, task_items), "pack-again")
     moved = again.select(F.col("old").alias("bin"), F.col("bin").alias("new"), F.col("at").alias("base"))
     return first.join(moved, "bin", "left").select(
-        *pieces.columns,
+        *(c for c in pieces.columns if c != "_n"),
         # the second round's sequences get numbers above all of the first
         F.coalesce(F.col("new") + F.lit(1 << 62), F.col("bin")).alias("sequence_id"),
         (F.col("at") + F.coalesce("base", F.lit(0))).alias("offset"),
@@ -232,7 +234,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         (F.octet_length("ids") / 4).cast("long").alias("length"),
         F.crc32("ids").alias("ids_crc32"),
     )
-    return pack_pieces(stage(pieces, "pack-pieces"), [id_col, "piece"], max_tokens)
+    return pack_pieces(pieces, max_tokens)
 
 
 def op9_pack(spark, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ the tightest remaining capacity that still holds them; open bins live in a
 balanced tree keyed by remaining capacity.  The capacity is the least one for
 which the wanted number of shards suffices.
 
-At scale the number of groups has no bound, but the number of groups larger
-than a fixed share of a shard has.  Only those are packed one by one.  The
-others are dealt by hash into a fixed number of bundles, each an item of its
-own.  So the packing sees at most ``shards * GRAIN + BUNDLES`` items, whatever
-the input, and only that many rows reach the driver or are broadcast.
+The driver packs runs: a size, and how many groups have it.  Groups of one size are
+alike, and the tightest bin stays the tightest while it takes them, so a run
+fills bin after bin and gives what packing its groups one by one would.  Sizes that
+differ add up, so ``n`` bytes hold at most ``sqrt(2 n)`` of them: 2e5 at 30 GB,
+1.4e7 at 100 TB, whatever the number of groups.  A group finds its bin by its
+number among those of its size; no task gathers the groups of a size.
 
 Defined results: a null text counts as empty; null ids are kept; repeated rows
 share a group; an empty table gives no rows; input columns beyond those named
@@ -27,11 +28,7 @@ from pyspark.sql.window import Window
 
 from strandloom.llm.common import stage
 
-#: A group of at least 1/GRAIN of a shard is packed by itself.
-GRAIN = 1000
-#: Bundles that hold all smaller groups.
-BUNDLES = 4096
-#: Rows per block in which slots are numbered.
+#: Rows per block in which slots, and groups of a size, are numbered.
 BLOCK_ROWS = 20_000
 
 
@@ -115,44 +112,71 @@ class CapacityTree:
         return best
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each item; ``sizes`` must be in falling order."""
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """For each run, a size and how many items have it, in falling order of size: bins and how many items each takes.
+
+    None where an item exceeds the capacity or more than ``most`` bins are needed.
+    """
     tree, out, bins = CapacityTree(), [], 0
-    for size in sizes:
-        at = tree.tightest(size)
-        if at is None:
-            if size > capacity:
-                raise ValueError("an item exceeds the capacity")
-            at = (capacity, bins)
-            bins += 1
-        else:
-            tree.remove(at)
-        tree.add((at[0] - size, at[1]))
-        out.append(at[1])
+    for size, count in runs:
+        own = []
+        while count:
+            at = tree.tightest(size)
+            if at is None:
+                if size > capacity or bins == most:
+                    return None
+                at = (capacity, bins)
+                bins += 1
+            else:
+                tree.remove(at)
+            n = min(count, at[0] // size)
+            tree.add((at[0] - n * size, at[1]))
+            own.append((at[1], n))
+            count -= n
+        out.append(own)
     return out
 
 
-def least_capacity(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """The least capacity for which best-fit-decreasing needs at most ``shards`` bins."""
-    if not sizes:
+def least_capacity(runs: list[tuple[int, int]], shards: int) -> tuple[int, list[list[tuple[int, int]]]]:
+    """The least capacity, and the packing, for which best-fit-decreasing needs at most ``shards`` bins.
+
+    Steps up from the least conceivable capacity until one suffices, then halves
+    the last step.
+    """
+    if not runs:
         return 0, []
-    low = max(sizes[0], -(-sum(sizes) // shards))
-    high, found = low, best_fit_decreasing(sizes, low)
-    step = max(1, low // 1000)
-    while max(found) >= shards:
+    low = high = max(runs[0][0], -(-sum(s * n for s, n in runs) // shards))
+    found, step = best_fit_decreasing(runs, low, shards), max(1, low // 1_000_000)
+    while found is None:
         low, high = high + 1, high + step
         step *= 2
-        found = best_fit_decreasing(sizes, high)
+        found = best_fit_decreasing(runs, high, shards)
     while low < high:
         mid = (low + high) // 2
-        tried = best_fit_decreasing(sizes, mid)
-        if max(tried) < shards:
-            high, found = mid, tried
-        else:
+        tried = best_fit_decreasing(runs, mid, shards)
+        if tried is None:
             low = mid + 1
+        else:
+            high, found = mid, tried
     return high, found
 
 
+def numbered(rows: DataFrame, by: str, number: str) -> DataFrame:
+    """Adds ``number``, gapless from 0 among rows equal in ``by``.
+
+    Rows are dealt to blocks; each block numbers its own rows and starts where
+    the blocks before it end, so no task holds all rows of a value.
+    """
+    rows = stage(rows.withColumn("_n", F.monotonically_increasing_id()), "shard-numbered")
+    blocks = max(1, rows.count() // BLOCK_ROWS)
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_n"), F.lit(blocks)))
+    counts = rows.groupBy(by, "_block").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage(counts.select(by, "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start")), "shard-starts")
+    own = F.row_number().over(Window.partitionBy(by, "_block").orderBy("_n")) - 1
+    return rows.withColumn("_i", own).join(starts, [by, "_block"]).withColumn(number, (F.col("_start") + F.col("_i")).cast("long")).drop("_n", "_block", "_start", "_i")
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row into one of ``shards`` shards of near-equal bytes.
 
@@ -163,7 +187,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stage(
         docs.select(
-            F.col(id_col),
+            F.col(id_col).alias("_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("_g1"),
@@ -171,48 +195,21 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         ),
         "shard-rows",
     )
-    groups = stage(rows.groupBy("_g1", "_g2").agg(F.sum("size").alias("gs")), "shard-groups")
-    n_bytes = groups.agg(F.sum("gs")).first()[0] or 0
-    bound = max(1, -(-n_bytes // (shards * GRAIN)))
-    large = groups.where(F.col("gs") >= bound).select("_g1", "_g2", "gs").collect()
-    bundle = F.pmod("_g1", F.lit(BUNDLES)).cast("int")
-    small = groups.where(F.col("gs") < bound).groupBy(bundle.alias("b")).agg(F.sum("gs").alias("gs")).collect()
-    items = [(r["gs"], (0, r["_g1"], r["_g2"])) for r in large] + [(r["gs"], (1, r["b"], 0)) for r in small]
-    items.sort(key=lambda x: (-x[0], x[1]))
-    _, placed = least_capacity([x[0] for x in items], shards)
-    by_group = [(k[1], k[2], s) for (_, k), s in zip(items, placed, strict=True) if k[0] == 0]
-    by_bundle = [(k[1], s) for (_, k), s in zip(items, placed, strict=True) if k[0] == 1]
-    of_group = spark.createDataFrame(by_group, "_g1 long, _g2 long, _s1 int")
-    of_bundle = spark.createDataFrame(by_bundle, "_b int, _s2 int")
-    # Both tables are bounded by the constants above, so they may be broadcast.
-    placed_rows = (
-        rows.join(F.broadcast(of_group), ["_g1", "_g2"], "left")
-        .join(F.broadcast(of_bundle), bundle == F.col("_b"), "left")
-        .withColumn("shard", F.coalesce("_s1", "_s2"))
-        .drop("_g1", "_g2", "_b", "_s1", "_s2")
-    )
-    return number_slots(placed_rows, id_col)
-
-
-def number_slots(rows: DataFrame, id_col: str) -> DataFrame:
-    """Add ``slot``: gapless from 0 within each shard.
-
-    Rows are dealt to blocks by a hash of the id; each block numbers its own
-    rows and starts where the blocks before it end, so no task holds a shard.
-    """
-    rows = stage(rows, "shard-placed")
-    blocks = max(1, rows.count() // BLOCK_ROWS)
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(blocks)))
-    counts = rows.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("shard", "_block").orderBy(id_col, "text_crc32", "size")
-    return (
-        rows.withColumn("_i", F.row_number().over(order) - 1)
-        .join(stage(starts, "shard-starts"), ["shard", "_block"])
-        .withColumn("slot", (F.col("_start") + F.col("_i")).cast("long"))
-        .select(id_col, "size", "text_crc32", "shard", "slot")
-    )
+    groups = numbered(rows.groupBy("_g1", "_g2").agg(F.sum("size").alias("_gs")), "_gs", "_rank")
+    runs = sorted(((r["_gs"], r["c"]) for r in groups.groupBy("_gs").agg(F.count("*").alias("c")).collect()), reverse=True)
+    _, placed = least_capacity(runs, shards)
+    cuts = []
+    for (size, _), own in zip(runs, placed, strict=True):
+        ends, end = [], 0
+        for shard, n in own:
+            end += n
+            ends.append((end, shard))
+        cuts.append((size, ends))
+    of_size = spark.createDataFrame(cuts, "_gs long, _cuts array<struct<e: long, shard: int>>")
+    shard = F.filter("_cuts", lambda c: F.col("_rank") < c["e"])[0]["shard"]
+    groups = stage(groups.join(of_size, "_gs").select("_g1", "_g2", shard.alias("shard")), "shard-placed")
+    out = numbered(rows.join(groups, ["_g1", "_g2"]).select("_id", "size", "text_crc32", "shard"), "shard", "slot")
+    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
 def op10_shards(spark, sf_dir: str) -> DataFrame:

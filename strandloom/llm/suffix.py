@@ -30,10 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandloom.llm.bytehash import BYTE, Powers, mix
-from strandloom.llm.common import stage, table
+from strandloom.llm.common import stage, table, unstage
 
 WIDTH = 100
 GRAM = 24
@@ -254,13 +253,36 @@ def _cut_segments(joined: DataFrame, kind: str, width: int) -> DataFrame:
                     seen[key, data] = (i, start)
                     held += len(data) + 150
                 if known is not None and known < (i, start):
-                    data = None
-                for column, v in zip(out, (key, i, start, n, data), strict=True):
+                    spans.append((start, n))
+                else:
+                    row(key, i, start, n, data)
+
+            def row(*values):
+                for column, v in zip(out, values, strict=True):
                     column.append(v)
 
+            def flush():
+                """What is known to repeat of a document, its segments run together again."""
+                spans.sort()
+                low = high = None
+                for start, n in spans:
+                    if low is not None and start <= high:
+                        high = max(high, start + n)
+                        continue
+                    if low is not None:
+                        row(0, own, low, high - low, None)
+                    low, high = start, start + n
+                if low is not None:
+                    row(0, own, low, high - low, None)
+                spans.clear()
+
+            own, spans = None, []
+
             for i, t, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if not runs.is_valid:
                     continue
+                flush()
+                own = i
                 raw = (t.as_py() or "").encode("utf-8", "replace")
                 for r in runs.as_py():
                     key, start, n = r["key"], r["start"], r["n"]
@@ -276,6 +298,7 @@ def _cut_segments(joined: DataFrame, kind: str, width: int) -> DataFrame:
                 if len(out[0]) >= 20_000:
                     yield _batch(out, ids=batch.schema.field(0).type)
                     out = [[], [], [], [], []]
+            flush()
             if out[0]:
                 yield _batch(out, ids=batch.schema.field(0).type)
 
@@ -385,10 +408,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = stage(rows.orderBy(F.col("id").asc_nulls_first(), "text").select(F.col("id").alias("own"), F.monotonically_increasing_id().alias("id"), "text"), "suffix-rows")
     kind = rows.schema["id"].dataType.simpleString()
     found = find_segments(rows, "id", "text", width, gram)
-    per_key = F.count("*").over(Window.partitionBy("key"))
-    again = found.withColumn("c", per_key).where("c > 1")
+    found = stage(found, "suffix-found")
+    # counts combine before the shuffle, and the join with them can be split: no task gathers a common key
+    counts = stage(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "suffix-counts")
+    again = found.join(counts, "key")
     runs = again.select("id", F.struct("key", "start", "n", (F.col("c") > hot).alias("hot")).alias("run"))
-    runs = stage(runs, "suffix-runs").groupBy("id").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    runs = stage(runs, "suffix-runs")
+    unstage(found)
+    unstage(counts)
+    runs = runs.groupBy("id").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     texts = rows.select("id", "text")
     # outer joins, so that both read one and the same shuffle of the texts
     cut = _cut_segments(texts.join(runs, "id", "left").select("id", "text", "runs"), kind, width)

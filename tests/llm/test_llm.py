@@ -343,6 +343,57 @@ def test_shards(spark):
         assert tree.tightest(size) == min((k for k in keys[1::2] if k[0] >= size), default=None)
 
 
+def plain_best_fit_decreasing(sizes, capacity):
+    left, out = [], []
+    for s in sorted(sizes, reverse=True):
+        fits = [(free, b) for b, free in enumerate(left) if free >= s]
+        b = min(fits)[1] if fits else len(left)
+        if not fits:
+            left.append(capacity)
+        left[b] -= s
+        out.append((s, b))
+    return out, len(left)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_runs_are_packed_as_plain_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([rng.randrange(1, 40), rng.randrange(1, 400), 7]) for _ in range(rng.randrange(1, 200))]
+    runs = sorted(Counter(sizes).items(), reverse=True)
+    capacity, found = sharding.least_capacity(runs, 5)
+    want, bins = plain_best_fit_decreasing(sizes, capacity)
+    assert bins <= 5 and Counter(want) == Counter({(s, b): n for (s, _), own in zip(runs, found, strict=True) for b, n in own})
+    if capacity > max(max(sizes), -(-sum(sizes) // 5)):
+        assert plain_best_fit_decreasing(sizes, capacity - 1)[1] > 5
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shards_are_plain_best_fit_decreasing(spark, sf):
+    out = QUERIES["op10_shards"](spark, f"/root/testdata/{sf}").toPandas()
+    docs = dict(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect())
+    assert all(s == len((docs[i] or "").encode()) + 1 for i, s in zip(out["doc_id"], out["size"], strict=True))
+    groups = out.assign(t=out["doc_id"].map(docs)).groupby("t").agg(s=("size", "sum"), b=("shard", "first"), n=("shard", "nunique"))
+    held = out.groupby("shard")["size"].sum()
+    want, bins = plain_best_fit_decreasing(groups["s"].tolist(), int(held.max()))
+    assert groups["n"].max() == 1 and bins <= 8 and Counter(want) == Counter(zip(groups["s"], groups["b"], strict=True))
+    assert held.max() <= max(1.001 * held.sum() / 8, groups["s"].max())
+
+
+def test_letters_decide_und(spark):
+    rows = [(1, "² ½ ①", "en"), (2, "", "en"), (3, None, "es"), (4, "the cat and the dog", "en"), (5, "el gato y el perro", "es"), (6, "x", None), (6, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.fit(docs, "doc_id", "text", "lang", F.lit(True)), "doc_id", "text").collect()
+    found = {r.doc_id: (r.lang_pred, r.score) for r in got}
+    assert len(got) == 7 and [found[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and [found[i][0] for i in (4, 5)] == ["en", "es"]
+
+
+def test_packing_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, f"word{i} " * (i % 700)) for i in range(300)] + [(7, "same text here")] * 40, "doc_id long, text string")
+    got = packing.pack_documents(docs).toPandas().sort_values(["sequence_id", "offset"])
+    used = got.groupby("sequence_id")["length"]
+    assert len(got) >= 340 and (used.cumsum() - got["length"] == got["offset"]).all() and used.sum().max() <= 2048
+
+
 def test_streams_round_trip_and_damage():
     rng = random.Random(9)
     for n in [*range(0, 400, 7), 12_287, 12_288, 12_289, 50_001]:

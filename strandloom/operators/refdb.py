@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandloom.config import primers
+from strandloom.operators.ordinal import ordinals
 
 
 def project(values: DataFrame, read_len: int, const_len: bool = False, with_primer: bool = False, rows=None) -> DataFrame:
@@ -29,8 +29,7 @@ def project(values: DataFrame, read_len: int, const_len: bool = False, with_prim
 
 def kmers(ref: DataFrame) -> DataFrame:
     """Distinct k-mers with ids in sorted order from 1 within a region."""
-    order = Window.partitionBy("region").orderBy("kmer")
-    return ref.where("kmer is not null").select("region", "kmer").distinct().withColumn("kmer_id", F.row_number().over(order))
+    return ordinals(ref.where("kmer is not null").select("region", "kmer").distinct(), ["region"], ["kmer"], "kmer_id")
 
 
 def bact_kmers(ref: DataFrame, known: DataFrame) -> DataFrame:
@@ -50,16 +49,23 @@ def mean_amplified(ref: DataFrame) -> DataFrame:
 def subsample(ref: DataFrame, prob_amp: float, seed: int) -> DataFrame:
     """Drop amplified regions at random, so that about ``prob_amp`` of all stay; 1 keeps all.
 
-    The draw is a hash of bacterium and region, so it is the same in every run.
+    The draw is a digest of seed, bacterium and region, so it is the same in every run.
     """
     if prob_amp >= 1:
         return ref
     share = ref.select(F.avg(F.col("kmer").isNotNull().cast("int")).alias("share"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "bact_id", "region"), F.lit(1 << 30)) / (1 << 30)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("bact_id").cast("string"), F.col("region").cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
     keep = draw < F.lit(prob_amp) / F.col("share")
     return ref.crossJoin(F.broadcast(share)).withColumn("kmer", F.when(keep, F.col("kmer"))).drop("share")
 
 
+def read_lengths(read_len: int, with_primer: bool = False, const_len: bool = False, rows=None) -> dict[int, int]:
+    """How long the reads of each region are once their primers are cut."""
+    cut = not (with_primer or const_len)
+    return {p.region: 2 * read_len - cut * (len(p.forward) + len(p.reverse)) for p in (primers(rows) if rows else primers())}
+
+
 def check_lengths(ref: DataFrame, lengths: dict[int, int]) -> DataFrame:
     """The reference, or an error when read where a k-mer's length differs from the reads'."""
     want = F.create_map(*(F.lit(x) for item in lengths.items() for x in item))[F.col("region")]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.config import EPS, GLOBAL_METRICS, RANKS, REGION_METRICS, ReportConfig
+from strandloom.config import EPS, FILTERED, GLOBAL_METRICS, GOOD, LOADED, MAPPED, MATCHED, RANKS, REGION_METRICS, ReportConfig
 from strandloom.functions.dna import significant
 
 PREFIXES = "kpcofgs"
@@ -17,6 +17,20 @@ def shorten(name: Column) -> Column:
     return F.regexp_replace(name, "_[^_]*$", "")
 
 
+def shortened(samples: list[str], cfg: ReportConfig) -> list[str]:
+    """Sample names as a report prints them; two that would look alike stay as they are."""
+    short = [s.rpartition("_")[0] or s for s in samples]
+    return [x if short.count(x) == 1 else s for x, s in zip(short, samples, strict=True)] if cfg.shorten_names else samples
+
+
+def progress(funnel_row: dict, regions=(1, 2, 3, 4, 5)) -> str:
+    """How much of a sample each step kept, from its row of the funnel."""
+    n = lambda m: sum(int(funnel_row[f"{m} {r}"]) for r in regions if str(funnel_row[f"{m} {r}"]).isdigit())
+    steps = [("good", int(funnel_row[GOOD]), int(funnel_row[LOADED])), ("mapped", n(MAPPED), int(funnel_row[GOOD]))]
+    steps += [("above the abundance filter", n(FILTERED), n(MAPPED)), ("matched", n(MATCHED), n(FILTERED))]
+    return f"{funnel_row['Sample name']}: " + ", ".join(f"{100 * a / b:.0f}% {name}" if b else f"none {name}" for name, a, b in steps)
+
+
 def mark_passed(top: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Drops rare groups and adds ``passed``: the most frequent that together reach the cut, with the one that passes it."""
     up_to = Window.partitionBy("sample").orderBy(F.desc("freq"), "group_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,15 +118,15 @@ def line_column(cols: list[Column], kinds: list[str], delimiter: str = "\t") ->
 def community_rows(wide: DataFrame, samples: list[str], total: dict[str, int], level: int, cfg: ReportConfig | None = None) -> list[list]:
     """The community report as rows of cells, headers first. The table is one row per lineage found."""
     cfg = cfg or ReportConfig()
-    names = [*RANKS, "groups"][:level]
+    names, shown = [*RANKS, "groups"][:level], shortened(samples, cfg)
     rows = wide.orderBy("path").withColumn("path", renamed(F.col("path"))).collect()
     if not cfg.write_counts:
-        head = [["Total # of reads", *[""] * (level - 1), *(str(total[s]) for s in samples)], [*names, *samples]]
+        head = [["Total # of reads", *[""] * (level - 1), *(str(total[s]) for s in samples)], [*names, *shown]]
         return head + [[*r["path"], *(float(r[s]) for s in samples)] for r in rows]
     n = {id(r): [float(int(r[s] * total[s] + 0.5)) for s in samples] for r in rows}
     if cfg.lineage_prefixes:
-        head = [["Total # of reads", "", *(str(total[s]) for s in samples)], ["Taxonomy", "Count", *samples]]
+        head = [["Total # of reads", "", *(str(total[s]) for s in samples)], ["Taxonomy", "Count", *shown]]
         name = lambda p: ";".join(f"{a}__{b}" for a, b in zip(PREFIXES, p, strict=False)).replace(" ", "_")
         return head + [[name(r["path"]), sum(n[id(r)]), *n[id(r)]] for r in rows]
-    head = [["Total # of reads", *[""] * level, *(str(total[s]) for s in samples)], [*names, "Count", *samples]]
+    head = [["Total # of reads", *[""] * level, *(str(total[s]) for s in samples)], [*names, "Count", *shown]]
     return head + [[*r["path"], sum(n[id(r)]), *n[id(r)]] for r in rows]

@@ -69,21 +69,15 @@ def included(system: DataFrame) -> DataFrame:
     """``sample, col`` of columns whose rows are a strict part of another column's."""
     rows = system.select("sample", F.xxhash64("region", "seq").alias("row"), "col")
     size = rows.groupBy("sample", "col").agg(F.count("*").alias("nnz"))
-    # counted once per set of columns that share a row, however many rows share it
-    sets = rows.groupBy("sample", "row").agg(F.sort_array(F.collect_set("col")).alias("cols"))
-    sets = sets.groupBy("sample", "cols").agg(F.count("*").alias("w"))
-    pairs = (
-        sets.select("sample", "w", "cols", F.explode("cols").alias("i"))
-        .select("sample", "w", "i", F.explode("cols").alias("j"))
-        .where("i <> j")
-        .groupBy("sample", "i", "j")
-        .agg(F.sum("w").alias("shared"))
-    )
-    a = size.select("sample", F.col("col").alias("i"), F.col("nnz").alias("ni"))
+    held = rows.groupBy("sample", "row").agg(F.count("*").alias("n_cols"))
+    # a column that holds another one holds its rarest row too: only there do they meet
+    rare = rows.join(held, ["sample", "row"]).groupBy("sample", "col").agg(F.min(F.struct("n_cols", "row")).alias("rare"))
+    a = rare.join(size, ["sample", "col"]).select("sample", F.col("col").alias("i"), F.col("nnz").alias("ni"), F.col("rare.row").alias("row"))
     b = size.select("sample", F.col("col").alias("j"), F.col("nnz").alias("nj"))
-    return (
-        pairs.join(a, ["sample", "i"]).join(b, ["sample", "j"]).where("shared = ni and nj > ni").select("sample", F.col("i").alias("col")).distinct()
-    )
+    of = lambda c: rows.select("sample", "row", F.col("col").alias(c))
+    pairs = a.join(of("j"), ["sample", "row"]).join(b, ["sample", "j"]).where("nj > ni").select("sample", "i", "j", "ni")
+    shared = pairs.join(of("i"), ["sample", "i"]).join(of("j"), ["sample", "j", "row"]).groupBy("sample", "i", "j", "ni").agg(F.count("*").alias("shared"))
+    return shared.where("shared = ni").select("sample", F.col("i").alias("col")).distinct()
 
 
 def without_included(system: DataFrame, cfg: AlgoConfig) -> DataFrame:
@@ -163,7 +157,7 @@ def em(sys: DataFrame, cfg: AlgoConfig) -> DataFrame:
         x, steps = em_solve(row, col, frame["a"].to_numpy(), y, cfg)
         return pd.DataFrame({"sample": frame["sample"].iloc[0], "col": cols, "x": x, "iterations": steps})
 
-    rows = sys.select("sample", F.concat_ws(":", "region", "seq").alias("row"), "col", "a", "y")
+    rows = sys.select("sample", F.xxhash64("region", "seq").alias("row"), "col", "a", "y")
     return rows.groupBy("sample").applyInPandas(solve, "sample string, col long, x double, iterations int")
 
 

@@ -25,11 +25,20 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
         t = fixture.tables(spark, sf_dir)
-        self.primers, self.ref, self.taxonomy, self.reads = (t[k] for k in ("primers", "ref", "taxonomy", "reads"))
+        self.primers, self.taxonomy, self._tables = t["primers"], t["taxonomy"], t
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    # written, so that no query weaves their expressions into its own
+    @cached_property
+    def ref(self):
+        return stage(self._tables["ref"], "fx-ref")
+
+    @cached_property
+    def reads(self):
+        return stage(self._tables["reads"], "fx-reads")
+
     @property
     def uni(self):
         return qc.unique_reads(qc.good_reads(self.reads, PREP))
@@ -46,7 +55,7 @@ class Fixture:
     def kept_reads(self):
         return stage(match.abundant(self.region_reads, ALGO), "kept-reads")
 
-    @property
+    @cached_property
     def kmers(self):
         return refdb.kmers(self.ref)
 
@@ -241,10 +250,20 @@ def q05_ambiguity_filter(fx):
     return fx.table("documents").where(n <= 500).select("doc_id", n.alias("n_other"))
 
 
-@query(f"SELECT sample, pair_key, {_HIGH.format('q1')}::INT AS high, {_LOW.format('q1')}::INT AS low, ascii(q1) - 33 AS first_score FROM fx_reads")
+_MATES = ("q1", "q2")
+
+
+@query(
+    "SELECT sample, pair_key, "
+    + ", ".join(f"{_HIGH.format(q)}::INT AS high_{q}, {_LOW.format(q)}::INT AS low_{q}, array_to_string(list_transform(string_split({q}, ''), lambda x: ascii(x) - 33), ',') AS scores_{q}" for q in _MATES)
+    + " FROM fx_reads"
+)
 def q06_phred_stats(fx):
-    q = F.col("q1")
-    return fx.reads.select("sample", "pair_key", dna.high_quality(q).alias("high"), dna.low_quality(q).alias("low"), dna.phred(q)[0].alias("first_score"))
+    cols = []
+    for q in _MATES:
+        scores = F.array_join(F.transform(dna.phred(F.col(q)), lambda x: x.cast("string")), ",")
+        cols += [dna.high_quality(F.col(q)).alias(f"high_{q}"), dna.low_quality(F.col(q)).alias(f"low_{q}"), scores.alias(f"scores_{q}")]
+    return fx.reads.select("sample", "pair_key", *cols)
 
 
 @query("SELECT sample, count(*)::BIGINT AS loaded, count(*) FILTER (is_long)::BIGINT AS long, count(*) FILTER (is_long AND is_good)::BIGINT AS good FROM qc GROUP BY sample")
@@ -267,9 +286,13 @@ def q10_revcomp(fx):
     return fx.reads.select("s1", dna.complement(F.col("s1")).alias("other"), dna.revcomp(F.col("s1")).alias("turned")).distinct()
 
 
-@query(f"SELECT region, v AS variant FROM (VALUES {_variants(False)}) AS t(region, v)", False)
+@query(f"SELECT region, 'fwd' AS side, v AS variant FROM (VALUES {_variants(False)}) AS t(region, v) UNION ALL SELECT region, 'rev', v FROM (VALUES {_variants(True)}) AS t(region, v)", False)
 def q11_iupac_expand(fx):
-    return iupac.expand_column(fx.primers.select("region", "fwd"), "fwd").select("region", "variant")
+    rows = []
+    for p in primers():
+        rows += [(p.region, "fwd", p.forward), (p.region, "rev", dna.revcomp_text(p.reverse))]
+    sides = fx.spark.createDataFrame(rows, "region int, side string, primer string")
+    return iupac.expand_column(sides, "primer").select("region", "side", "variant")
 
 
 @query("SELECT sample, r1, r2, region, d_forward, d_reverse FROM dist")
@@ -297,11 +320,13 @@ def q16_ref_kmers(fx):
     return fx.kmers
 
 
-@query("SELECT bact_id, norm, m1 FROM nrm CROSS JOIN (SELECT round(avg(CASE WHEN kmer IS NULL THEN 0 ELSE 1 END), 9) AS m1 FROM fx_ref WHERE region = 1)")
+@query("""SELECT bact_id, region, kmer, count(kmer) OVER (PARTITION BY bact_id) AS norm, round(count(kmer) OVER (PARTITION BY region) / count(*) OVER (PARTITION BY region), 9) AS mean_amplified
+FROM (SELECT bact_id, region, CASE WHEN ('0x' || substr(md5(concat('3:', bact_id, ':', region)), 1, 8))::BIGINT / 4294967296.0 < 0.5 / share THEN kmer END AS kmer
+  FROM fx_ref CROSS JOIN (SELECT count(kmer) / count(*) AS share FROM fx_ref))""")
 def q17_amplified_mean_norm(fx):
-    ref = refdb.subsample(fx.ref, 1.0, 0)
-    mean = refdb.mean_amplified(ref).where("region = 1").select(F.round("mean_amplified", 9).alias("m1"))
-    return refdb.amplified(ref).crossJoin(F.broadcast(mean))
+    ref = refdb.subsample(fx.ref, 0.5, 3)
+    mean = refdb.mean_amplified(ref).select("region", F.round("mean_amplified", 9).alias("mean_amplified"))
+    return ref.select("bact_id", "region", "kmer").join(refdb.amplified(ref), "bact_id").join(mean, "region")
 
 
 @query("SELECT bact_id, min(bact_id) OVER (PARTITION BY sg) AS class_id FROM (SELECT bact_id, string_agg(concat(region, coalesce(kmer, '-'), is_perfect_match), '|' ORDER BY region) AS sg FROM fx_ref GROUP BY bact_id)")
@@ -337,9 +362,11 @@ def q23_division_filter(fx):
 
 
 @query("""SELECT sb.sample, sb.bact_id, any_value(norm) AS norm FROM sb JOIN nrm USING (bact_id) LEFT JOIN (SELECT bact_id, region FROM fx_ref WHERE is_perfect_match) pm USING (bact_id)
-LEFT JOIN ev ON ev.sample = sb.sample AND ev.bact_id = sb.bact_id AND ev.region = pm.region WHERE norm > 0 GROUP BY sb.sample, sb.bact_id HAVING bool_and(pm.region IS NULL OR coalesce(perfect, 0) >= 1)""")
+LEFT JOIN (SELECT sample, bact_id, region, count(*) FILTER (d <= 1) AS near FROM lik GROUP BY ALL) ev ON ev.sample = sb.sample AND ev.bact_id = sb.bact_id AND ev.region = pm.region
+WHERE norm > 0 GROUP BY sb.sample, sb.bact_id HAVING bool_and(pm.region IS NULL OR coalesce(near, 0) >= 2)""")
 def q24_do_filter2(fx):
-    return fx.kept(fx.lik, AlgoConfig(do_filter=2, num_reads_matched=1))
+    """Two reads in each region; a bacterium has one perfect read at most here, so those one mismatch away count too."""
+    return fx.kept(fx.lik.withColumn("d", F.greatest(F.col("d") - 1, F.lit(0))), AlgoConfig(do_filter=2, num_reads_matched=2))
 
 
 @query("SELECT sample, representative, count(*)::BIGINT AS n_members, md5(string_agg(bact_id, ',' ORDER BY bact_id)) AS hash FROM grp GROUP BY ALL")
@@ -401,9 +428,9 @@ def q33_majority_lineage(fx):
     return fx.top.select("sample", "group_id", _path().alias("path"), F.round("freq", 7).alias("freq"), "reads")
 
 
-@query("SELECT sample, group_id, level, path, round(freq * fraction, 7) AS freq, round(reads * fraction)::BIGINT AS reads FROM lv2 JOIN fnd USING (sample, group_id) WHERE level <= 3")
+@query("SELECT sample, group_id, level, path, round(freq * fraction, 7) AS freq, round(reads * fraction)::BIGINT AS reads FROM lv2 JOIN fnd USING (sample, group_id)")
 def q33_soft_split(fx):
-    out = taxonomy.soft_split(taxonomy.levels(fx.members, fx.taxonomy), fx.found).where("level <= 3")
+    out = taxonomy.soft_split(taxonomy.levels(fx.members, fx.taxonomy), fx.found)
     return out.withColumns({"path": _path(), "freq": F.round("freq", 7)})
 
 

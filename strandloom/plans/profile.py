@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ class Profile:
 def profile(reads: DataFrame, ref: DataFrame, taxa: DataFrame, cfg: Config, keep=lambda df, name: df) -> Profile:
     """All stages. ``keep(df, name)`` may write a stage and read it back."""
     spark = reads.sparkSession
-    counted = qc.counts(reads, cfg.prep)
+    counted = keep(qc.counts(reads, cfg.prep), "qc")
     uni = keep(qc.unique_reads(qc.good_reads(reads, cfg.prep)), "unireads")
     region_reads = keep(regions.collapse(regions.assign(uni, cfg.prep, cfg.primers)), "region_reads")
     filtered = keep(match.abundant(region_reads, cfg.algo), "filtered")
@@ -83,30 +83,40 @@ def run(
         return {}
     good, bad = files.skip_invalid(spark, reads_dir)
     for d in [] if flat else bad:
-        log.warning("skipped %s: no read files, or an odd number", d)
+        log.warning("skipped %s: no read files, an odd number, or a first one without its second", d)
     if not flat and not good:
         log.error("no sample below %s", reads_dir)
-    reads = files.read_files(spark, reads_dir, cfg.prep.paired, flat)
-    reads = reads.where(~F.col("sample").isin(*[d.rsplit("/", 1)[-1] for d in bad])) if bad and not flat else reads
+    reads = files.read_files(spark, reads_dir, cfg.prep.paired, flat, [] if flat else bad)
     paths = db_paths(db_dir, db_name)
     halves = reference.read_reference(spark, paths["regions"], list(cfg.regions))
     ref = refdb.project(halves, cfg.prep.read_len, cfg.algo.const_len, cfg.prep.with_primer, cfg.primers)
+    ref = refdb.check_lengths(ref, refdb.read_lengths(cfg.prep.read_len, cfg.prep.with_primer, cfg.algo.const_len, cfg.primers))
     catalog = reference.read_catalog(spark, db_dir, db_name, generate_group_results)
     taxa, known = reference.read_taxonomy(spark, db_dir, catalog)
     stages = f"{results}_stages"
     found = profile(reads, ref, taxa, cfg, keep=lambda df, name: sinks.save_stage(df, f"{stages}/{name}"))
+    sinks.write_unique_fasta(found.unireads, f"{stages}/unique_fasta")
     samples = sorted(r["sample"] for r in found.qc.select("sample").collect())
+    sources = report.group_sources(found.members, catalog) if cfg.report.print_resolution else None
     report_levels = (["species", "groups"] if generate_group_results else ["species"]) if known else ["groups"]
     written = {}
     for name in report_levels:
         level = 8 if name == "groups" else 7
         top = taxonomy.majority(found.levels, found.found, level)
         total = {r["sample"]: r["reads"] for r in report.totals(top, found.qc.select("sample")).collect()}
-        wide = report.pivot(report.taxa(top, cfg.report), samples)
+        by = report.taxa(top, cfg.report)
         written[name] = sinks.report_path(results, name)
-        sinks.write_table(report.community_rows(wide, samples, total, level, cfg.report), written[name])
+        sinks.write_table(report.community_rows(report.pivot(by, samples), samples, total, level, cfg.report), written[name])
+        if sources is not None:
+            sizes = report.mean_sources(top, sources).join(by.select("path").distinct(), "path", "left_semi")
+            wide = report.pivot(sizes.withColumn("mean_sources", F.round("mean_sources")), samples, "mean_sources")
+            written[f"{name} sizes"] = sinks.report_path(results, name, "GroupSizes_")
+            rows = report.community_rows(wide, samples, total, level, replace(cfg.report, write_counts=False))
+            sinks.write_table(rows, written[f"{name} sizes"])
     table = report.funnel(found.stats.rows, samples, cfg.regions).orderBy("sample")
     rows = [["Sample name", *table.columns[1:]]] + [[r[0], *("NaN" if v is None else str(v) for v in r[1:])] for r in table.collect()]
+    for r in rows[1:]:
+        log.info("%s", report.progress(dict(zip(rows[0], r, strict=True)), cfg.regions))
     written["stats"] = sinks.report_path(results, "ReadCountStats").replace("READCOUNTSTATS", "ReadCountStats")
     sinks.write_table(rows, written["stats"])
     if generate_group_results:

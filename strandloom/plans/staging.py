@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back; a table used often is then computed once.
 
-    A folder of our own is made only where the session names none.  The files go
-    when the driver ends.
+    A folder of our own is made only where the session names none and driver and
+    executors are one process.  The files go when the driver ends.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -133,9 +134,10 @@ class ReadsReader(DataSourceReader):
         self.path = options["path"]
         self.paired = options.get("paired", "true").lower() == "true"
         self.flat = options.get("flat", "false").lower() == "true"
+        self.skip = set(json.loads(options.get("skip", "[]")))
 
     def partitions(self):
-        files = [(d, n) for d, n in list_files(self.path) if KINDS.search(n)]
+        files = [(d, n) for d, n in list_files(self.path) if KINDS.search(n) and d not in self.skip]
         scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
         names = set(files)
         out = []
@@ -181,7 +183,8 @@ class ReadsReader(DataSourceReader):
 class ReadsDataSource(DataSource):
     """``spark.read.format("reads")``: one task per pair of files, mates joined by position without a shuffle.
 
-    Options: ``paired`` (true), ``flat`` (false: a directory per sample).
+    Options: ``paired`` (true), ``flat`` (false: a directory per sample), ``skip``
+    (a JSON list of directories, as ``skip_invalid`` gives them).
     """
 
     @classmethod
@@ -195,16 +198,22 @@ class ReadsDataSource(DataSource):
         return ReadsReader(self.options)
 
 
-def read_files(spark: SparkSession, path: str, paired: bool = True, flat: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, path: str, paired: bool = True, flat: bool = False, skip: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(ReadsDataSource)
-    return spark.read.format("reads").option("paired", str(paired).lower()).option("flat", str(flat).lower()).load(path)
+    reader = spark.read.format("reads").option("paired", str(paired).lower()).option("flat", str(flat).lower())
+    return reader.option("skip", json.dumps(skip or [])).load(path)
 
 
 def skip_invalid(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """Sample directories below ``path`` that can be used, and those that can't."""
+    """Sample directories below ``path`` that can be used, and those that can't.
+
+    A directory needs read files, an even number of them, and a second read file for each first one.
+    """
     files = [(d, n) for d, n in list_files(path)]
     counts: dict[str, int] = {}
     for d, n in files:
         counts[d] = counts.get(d, 0) + ("fastq" in n)
-    good = [d for d, n in counts.items() if n and n % 2 == 0]
+    names = set(files)
+    alone = {d for d, n in files if KINDS.search(n) and "_R1_" in n and (d, n.replace("_R1_", "_R2_")) not in names}
+    good = [d for d, n in counts.items() if n and n % 2 == 0 and d not in alone]
     return sorted(good), sorted(set(counts) - set(good))

@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandloom.functions.hashing import members_hash
+from strandloom.operators.ordinal import ordinals
 from strandloom.operators.report import line
 from strandloom.sources.files import _fs
 
 
 def save_stage(df: DataFrame, path: str) -> DataFrame:
-    """Write a stage by sample and region, replacing only what is written, and read it back."""
+    """Write a stage by sample and region and read it back; what an earlier run left there goes.
+
+    Rows of a sample and region come together first, so there are few files, and a
+    large sample is split.
+    """
     keys = [c for c in ("sample", "region") if c in df.columns]
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = (df.hint("rebalance", *keys) if keys else df).write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(uni: DataFrame) -> DataFrame:
     """Reads of each sample numbered from 1 in sorted order, padded to the width of their number."""
-    rows = uni.withColumn("i", F.row_number().over(Window.partitionBy("sample").orderBy("r1", "r2")))
-    width = F.length(F.count("*").over(Window.partitionBy("sample")).cast("string"))
-    return rows.withColumn("header", F.lpad(F.col("i").cast("string"), width, F.lit("0"))).drop("i")
+    rows = ordinals(uni, ["sample"], ["r1", "r2"], "i")
+    width = rows.groupBy("sample").agg(F.length(F.max("i").cast("string")).alias("width"))
+    return rows.join(width, "sample").withColumn("header", F.lpad(F.col("i").cast("string"), F.col("width"), F.lit("0"))).select(*uni.columns, "header")
 
 
 def fasta(header, seq):
@@ -53,7 +57,7 @@ def write_table(rows: list[list], path: str, delimiter: str = "\t") -> None:
         out.write("".join(line(r, delimiter) + "\n" for r in rows).encode())
 
 
-def report_path(results: str, level: str) -> str:
-    """``dir/name`` to ``dir/<LEVEL>_name``."""
+def report_path(results: str, level: str, kind: str = "") -> str:
+    """``dir/name`` to ``dir/<kind><LEVEL>_name``."""
     head, _, tail = results.rpartition("/")
-    return f"{head}/{level.upper()}_{tail}" if head else f"{level.upper()}_{tail}"
+    return f"{head}/{kind}{level.upper()}_{tail}" if head else f"{kind}{level.upper()}_{tail}"

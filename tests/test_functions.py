@@ -112,11 +112,20 @@ def test_em_matches_dense():
     y /= y.sum()
     row, col = np.nonzero(a)
     x, steps = solve.em_solve(row, col, a[row, col], y, AlgoConfig())
-    z = a.T @ y / (a.T @ y).sum()
-    for _ in range(steps):
-        z = z * (a.T @ (y / (a @ z + 2.0**-52)))
+    z, n, moved = a.T @ y / (a.T @ y).sum(), 0, 1.0
+    while moved >= AlgoConfig().tol:
+        new = z * (a.T @ (y / (a @ z + 2.0**-52)))
+        z, n, moved = new, n + 1, np.abs(new - z).sum()
     z[z <= 1e-10] = 0
-    assert steps > 1 and np.allclose(x, z / z.sum(), atol=1e-9)
+    assert steps == n > 1 and np.allclose(x, z / z.sum(), atol=1e-9)
+
+
+def test_em_prunes_tiny_frequencies():
+    # the second column explains nothing that the first does not
+    row, col, a, y = np.array([0, 1, 0]), np.array([0, 0, 1]), np.array([1.0, 1.0, 0.5]), np.array([0.5, 0.5])
+    x, _ = solve.em_solve(row, col, a, y, AlgoConfig(zero=1e-3, prune_every=5, tol=1e-12))
+    assert x.tolist() == [1.0, 0.0]
+    assert solve.em_solve(row, col, a, y, AlgoConfig(num_iter=7, tol=0.0))[1] == 7
 
 
 def test_static_classes_and_single_ends(spark):
@@ -147,6 +156,23 @@ def test_report_rows_and_empty_sample(spark):
     assert [report.line(r) for r in rows] == ["Total # of reads\t7\t0", "domain\tA\tB", "D\t1.000000\t0.000000"]
 
 
+def test_md2_known_values():
+    assert hashing.datahash("abc", "md2", kind="ascii") == "da853b0d3f88d99b30283a69e6ded6bb" and hashing.datahash("", "md2", kind="ascii") == "8350e5a3e24c153df2275c9f80692773"
+
+
+def test_single_end_quality(spark):
+    df = spark.createDataFrame([("S", "ACGTACGT", "I" * 8), ("S", "ACGTACGT", "#" * 8), ("S", "ACGT", "IIII")], "sample string, s1 string, q1 string")
+    cfg = PrepConfig(read_len=8, paired=False)
+    assert [tuple(r) for r in qc.good_reads(df, cfg).collect()] == [("S", "ACGTACGT", "")]
+    assert tuple(qc.counts(df, cfg).first()) == ("S", 3, 2, 1)
+
+
+def test_constant_length_projection(spark):
+    values = spark.createDataFrame([(1, 1, "f" * 18 + "A" * 30 + "C" * 30 + "r" * 19, True)], "bact_id long, region int, kmer string, is_perfect_match boolean")
+    assert refdb.project(values, 30, const_len=True).first().kmer == "A" * 30 + "C" * 30
+    assert refdb.project(values, 20, const_len=True).first().kmer == "A" * 20 + "C" * 20
+
+
 def test_single_ends_are_refused(spark):
     with pytest.raises(NotImplementedError):
         regions.assign(spark.createDataFrame([], "sample string, r1 string, r2 string, n long"), PrepConfig(dest_paired=False))

@@ -4,8 +4,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.config import Config, PrepConfig
-from strandloom.operators import refdb
+from strandloom.config import Config, PrepConfig, ReportConfig
+from strandloom.operators import refdb, report
+from strandloom.operators.ordinal import ordinals
 from strandloom.plans import catalog, fixture, profile
 from strandloom.sources import files, reference, sinks
 
@@ -43,6 +44,9 @@ def test_reads_of_all_kinds(spark, tmp_path):
         files.read_files(spark, str(tmp_path)).count()
     good, bad = files.skip_invalid(spark, str(tmp_path))
     assert [d.rsplit("/", 1)[-1] for d in good] == ["X", "Y", "Z"] and len(bad) == 1
+    # the file's name gives the sample, not the directory's
+    skipped = files.read_files(spark, str(tmp_path), skip=bad)
+    assert {r["sample"] for r in skipped.select("sample").distinct().collect()} == set("XYZ")
 
 
 def test_single_fasta(spark, tmp_path):
@@ -91,9 +95,15 @@ def test_whole_profile_from_files(spark, tmp_path):
     part = spark.read.parquet(f"{DATA}/part.parquet")
     part.select(F.col("p_partkey").alias("bact_id"), F.array(F.col("p_partkey").cast("double")).alias("headers"), F.lit("ACGT").alias("sequence")).write.parquet(paths["catalog"])
     t["taxonomy"].write.parquet(paths["taxonomy"])
-    cfg = Config(prep=PrepConfig(read_len=40))
+    cfg = Config(prep=PrepConfig(read_len=40), report=ReportConfig(print_resolution=True))
+    bad = tmp_path / "in" / "broken"
+    bad.mkdir()
+    (bad / "other_L001_R1_001.fastq").write_text("@a\nACGT\n+\nIIII\n")
     out = profile.run(spark, str(tmp_path / "in"), str(tmp_path / "db"), "x", str(tmp_path / "res"), cfg=cfg, generate_group_results=True)
-    assert set(out) == {"species", "groups", "stats"}
+    assert set(out) == {"species", "groups", "stats", "species sizes", "groups sizes"}
+    sizes = [x.split("\t") for x in open(out["species sizes"]).read().splitlines()]
+    assert out["species sizes"].endswith("GroupSizes_SPECIES_res") and {float(v) for r in sizes[2:] for v in r[7:]} <= {float(i) for i in range(1000)}
+    assert spark.read.text(f"{tmp_path}/res_stages/unique_fasta").count() > 0
     rows = [x.split("\t") for x in open(out["species"]).read().splitlines()]
     assert rows[1][-2:] == ["S0", "S1"] and abs(sum(float(r[-1]) for r in rows[2:]) - 1) < 1e-4
     stats = [x.split("\t") for x in open(out["stats"]).read().splitlines()]
@@ -109,3 +119,33 @@ def test_unique_fasta(spark, tmp_path):
     assert sinks.numbered(uni).agg(F.max("header")).first()[0] == "10"
     sinks.write_unique_fasta(uni, str(tmp_path / "f"))
     assert spark.read.text(str(tmp_path / "f")).where("mate = 1 and value like '>%'").count() == 10
+
+
+def test_a_stage_holds_one_run_only(spark, tmp_path):
+    both = spark.createDataFrame([("A", 1, 5), ("A", 2, 6), ("B", 1, 7)], "sample string, region int, n long")
+    assert sinks.save_stage(both, str(tmp_path / "s")).count() == 3
+    assert [r["sample"] for r in sinks.save_stage(both.where("sample = 'A' and region = 1"), str(tmp_path / "s")).collect()] == ["A"]
+
+
+def test_wrong_lengths_are_an_error(spark):
+    lengths = refdb.read_lengths(40)
+    assert lengths[1] == 80 - 18 - 19 and refdb.read_lengths(40, with_primer=True)[1] == 80
+    ref = spark.createDataFrame([(1, 1, "A" * 43), (2, 1, None), (3, 1, "A" * 44)], "bact_id long, region int, kmer string")
+    assert refdb.check_lengths(ref.where("bact_id < 3"), lengths).count() == 2
+    with pytest.raises(Exception, match="lengths differ"):
+        refdb.check_lengths(ref, lengths).collect()
+
+
+def test_ordinals_are_row_numbers(spark):
+    df = spark.createDataFrame([(i % 3, (i * 7919) % 1000) for i in range(1000)], "g int, v int").distinct()
+    got = ordinals(df, ["g"], ["v"], "n").collect()
+    for g in range(3):
+        own = sorted((r.v, r.n) for r in got if r.g == g)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+
+
+def test_shortened_names_and_progress():
+    cfg = ReportConfig(shorten_names=True)
+    assert report.shortened(["a_1", "b_2", "c_1", "c_2"], cfg) == ["a", "b", "c_1", "c_2"] and report.shortened(["a_1"], ReportConfig()) == ["a_1"]
+    row = {"Sample name": "S", report.LOADED: "200", report.GOOD: "100"} | {f"{m} {r}": v for r in (1, 2) for m, v in ((report.MAPPED, "40"), (report.FILTERED, "30"), (report.MATCHED, "NaN"))}
+    assert report.progress(row, (1, 2)) == "S: 50% good, 80% mapped, 75% above the abundance filter, 0% matched"

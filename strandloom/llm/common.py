@@ -51,6 +51,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}).parquet(path)
     at, fs = _path(spark, path)
     fs.deleteOnExit(at)
+    # shuffle files of what is written now go with their plans, so those of one stage at a time are on disk
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

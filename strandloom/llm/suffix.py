@@ -418,12 +418,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unstage(counts)
     runs = runs.groupBy("id").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     texts = rows.select("id", "text")
-    # outer joins, so that both read one and the same shuffle of the texts
-    cut = _cut_segments(texts.join(runs, "id", "left").select("id", "text", "runs"), kind, width)
+    cut = _cut_segments(texts.join(runs, "id").select("id", "text", "runs"), kind, width)
     # rows without bytes are known to repeat and need not meet others of their key
     where = F.when(F.col("bytes").isNull(), F.xxhash64("id", "start")).otherwise(F.col("key"))
     met = cut.repartition(where).sortWithinPartitions("key", "id", "start")
-    spans = _find_repeats(met, kind, width).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    # written, so that the shuffles before are gone when the texts are dealt again
+    spans = stage(_find_repeats(met, kind, width), "suffix-spans").groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     out = _apply(texts.join(spans, "id", "left").select("id", "text", "spans"), kind)
     if odd:
         out = out.join(rows.select("id", "own"), "id").select(F.col("own").alias(id_col), "n_bytes", "kept", "spans")

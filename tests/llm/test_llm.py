@@ -432,7 +432,113 @@ def test_media_query(spark):
         assert r.payload_sha256 == hashlib.sha256(full).hexdigest() and r.media_bytes % 188 == 0
 
 
-def test_pipeline_keeps_what_it_should(spark):
+def written(df, path):
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def near_classes(texts):
+    """Smallest number of the class of each text, by comparing all pairs."""
+    p = bytehash.Powers()
+    hashes, bounds = bytehash.word_hashes([t.encode() for t in texts], p)
+    words = [hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    pairs = [(i, j) for j in range(len(words)) for i in range(j)]
+    like = neardup.similar([(words[i], words[j]) for i, j in pairs])
+    root = list(range(len(words)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), ok in zip(pairs, like, strict=True):
+        if ok:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(words))]
+
+
+def test_near_classes_are_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    want = near_classes([r.text or "" for r in rows])
+    got = {r.doc_id: r.class_id for r in QUERIES["op6_near_dedup"](spark, DATA).collect()}
+    assert got == {r.doc_id: rows[w].doc_id for r, w in zip(rows, want, strict=True)}
+
+
+def test_pipeline_stages_are_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept."""
+    import corpus_pipeline
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    steps = [f for _, f in corpus_pipeline.STAGES]
+
+    kept = written(steps[0](spark, docs, DATA), f"{tmp_path}/1")
+    found = c.sql(ORACLE_SQL["op7_quality"]).df()
+    before, after = ({r.doc_id: r.text for r in d.select("doc_id", "text").collect()} for d in (docs, kept))
+    assert set(after) == set(found.loc[found["kept"], "doc_id"]) and kept.columns == docs.columns
+    chars = dict(zip(found["doc_id"], found["word_chars"] - found["lost_chars"], strict=True))
+    for i, t in after.items():
+        assert len("".join(t.split())) == chars[i] and not Counter(t.split("\n")) - Counter(before[i].split("\n"))
+
+    lines = written(steps[1](spark, kept, DATA), f"{tmp_path}/2")
+    gone = {r.r1: r.removed for r in linededup.removed_lines(kept).collect()}
+    marks = {r.doc_id: r.r1 for r in kept.select("doc_id", linededup.row_marks("doc_id", "text")[0]).collect()}
+    left = {r.doc_id: (r.text, r.n_chars) for r in lines.collect()}
+    assert lines.columns == docs.columns and len(gone) > 10
+    for i, t in after.items():
+        want = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(marks[i], ()))
+        assert left[i] == (want, len(want) if marks[i] in gone else left[i][1])
+
+    near = written(steps[2](spark, lines, DATA), f"{tmp_path}/3")
+    rows = sorted((i, t) for i, (t, _) in left.items())
+    want = near_classes([t for _, t in rows])
+    assert {r.doc_id for r in near.collect()} == {rows[w][0] for w in want} and near.columns == docs.columns
+
+    mixed = written(steps[3](spark, near, DATA), f"{tmp_path}/4")
+    n = Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    taken = {r.doc_id: (r.taken, r.size) for r in mixing.mix_counts(near).collect()}
+    assert all(n[i] * size == t for i, (t, size) in taken.items() if size)
+
+    pieces = steps[4](spark, mixed, DATA).toPandas().sort_values(["sequence_id", "offset"])
+    used = pieces.groupby("sequence_id")["length"]
+    assert (used.cumsum() - pieces["length"] == pieces["offset"]).all() and used.sum().max() <= 2048
+    assert Counter(pieces.loc[pieces["piece"] == 0, "doc_id"]) == n
+
+
+CLASHING = ["_row", "r1", "r2", "node", "key", "root", "removed", "at", "keep", "id", "pos", "size", "_text", "leader", "c", "b0", "w1", "first", "marks", "_n", "length", "source_size"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, empty):
+    import corpus_pipeline
+
+    say = lambda k, n=30: " ".join(f"word{k}x{i}" for i in range(n)) + "."
+    rows = [
+        (None, say(1)), (1, say(1)), (1, say(1)), (2, say(2)), (2, say(3)), (5, say(2).replace("word2x7 ", "other ")), (6, None), (7, ""), (8, say(4) + "\n" + say(5)),
+        (9, say(5) + "\n" + say(6)), (10, say(7, 20_000)),
+    ]
+    names = [x for x in CLASHING if x != "length"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * len(names)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in names))
+    steps = [f for _, f in corpus_pipeline.STAGES]
+    show = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert show(steps[0](spark, docs, "")) == sorted((x for x in rows if x[0] not in (6, 7)), key=str)
+    # of the like lines the first by id stays, null first; rows 1, 1 and 5 lose theirs, row 9 its first
+    lines = steps[1](spark, docs, "")
+    want = [(i, "" if i in (1, 5) else say(6) if i == 9 else t) for i, t in rows]
+    assert show(lines) == sorted(want, key=str) and lines.columns == docs.columns
+    # one row of each class, the smallest id that is not null
+    near = steps[2](spark, docs, "")
+    assert show(near) == sorted([rows[1], rows[3], rows[4], rows[6], rows[8], rows[9], rows[10]], key=str) and near.columns == docs.columns
+    assert steps[3](spark, docs, "").count() >= len(rows) - 2
+    pieces = steps[4](spark, docs, "").collect()
+    assert sum(r.piece == 0 for r in pieces) == len(rows) and {r.start for r in pieces if r.doc_id in (6, 7)} == {0}
+    for step in steps:
+        assert step(spark, empty, "").count() == 0
+
+
+def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, DATA)

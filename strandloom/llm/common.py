@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +40,12 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     A lost executor costs only tasks after this point.  The files go when the
-    driver ends, or with ``unstage``.
+    driver ends, or with ``unstage``.  ``free`` is for large stages: their shuffle
+    files go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,8 +53,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}).parquet(path)
     at, fs = _path(spark, path)
     fs.deleteOnExit(at)
-    # shuffle files of what is written now go with their plans, so those of one stage at a time are on disk
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        # Spark deletes shuffle files once nothing refers to their plan, and finds out when the driver collects
+        # garbage; listeners hold a plan a moment longer
+        for wait in (0.3, 0):
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(wait)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -176,7 +176,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = lambda c: F.first(c).alias(c)  # noqa: E731  of equal lines, or of one place
     nodes = lines.groupBy("l1", "l2").agg(F.count("*").alias("n"), *map(same, ("r1", "r2", "pos", "size", *(f"b{i}" for i in range(KEEP)))))
     # numbers of their own: other joins need one column, and two lines can't share one
-    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes", free=True)
     short = _texts(docs, nodes.where((F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))) <= FEW_CHARS), id_col, text_col)
     grams = short.select("node", _blocks(_grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g)).alias("g"))
     grams = grams.select("node", *(F.get("g", F.lit(i)).alias(f"g{i}") for i in range(GRAM_KEEP)))
@@ -184,12 +184,12 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = None
     for i in range(PASSES):
         own = keys.where(F.pmod("key", F.lit(PASSES)) == i).withColumn("c", F.count("*").over(bucket)).withColumn("leader", F.min("node").over(bucket))
-        own = stage(own.where("c > 1"), "line-members")
+        own = stage(own.where("c > 1"), "line-members", free=True)
         members = members.unionByName(own) if members else own
     sizes = nodes.select("node", "size")
     members = members.join(sizes, "node").join(sizes.toDF("leader", "lead_size"), "leader")
     texts = _texts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), id_col, text_col)
-    texts = stage(texts.withColumn("code", word_code(F.col("norm"))), "line-texts")
+    texts = stage(texts.withColumn("code", word_code(F.col("norm"))), "line-texts", free=True)
     roots = settle(members, ["size"], _fits, lambda pairs: _verified(pairs, texts), lambda some: bags(texts.join(some, "node", "left_semi")), _tight)
     grouped = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").where("n > 1 or root is not null")
     return lines.select("r1", "r2", "id", "pos", "l1", "l2"), grouped.select("l1", "l2", F.coalesce("root", "node").alias("root"))

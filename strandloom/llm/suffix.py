@@ -410,10 +410,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = find_segments(rows, "id", "text", width, gram)
     found = stage(found, "suffix-found")
     # counts combine before the shuffle, and the join with them can be split: no task gathers a common key
-    counts = stage(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "suffix-counts")
+    counts = stage(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "suffix-counts", free=True)
     again = found.join(counts, "key")
     runs = again.select("id", F.struct("key", "start", "n", (F.col("c") > hot).alias("hot")).alias("run"))
-    runs = stage(runs, "suffix-runs")
+    runs = stage(runs, "suffix-runs", free=True)
     unstage(found)
     unstage(counts)
     runs = runs.groupBy("id").agg(F.sort_array(F.collect_list("run")).alias("runs"))
@@ -423,7 +423,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     where = F.when(F.col("bytes").isNull(), F.xxhash64("id", "start")).otherwise(F.col("key"))
     met = cut.repartition(where).sortWithinPartitions("key", "id", "start")
     # written, so that the shuffles before are gone when the texts are dealt again
-    spans = stage(_find_repeats(met, kind, width), "suffix-spans").groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = stage(_find_repeats(met, kind, width), "suffix-spans", free=True).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     out = _apply(texts.join(spans, "id", "left").select("id", "text", "spans"), kind)
     if odd:
         out = out.join(rows.select("id", "own"), "id").select(F.col("own").alias(id_col), "n_bytes", "kept", "spans")

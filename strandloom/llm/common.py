@@ -113,15 +113,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
-def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more=None, rounds: int = 4) -> DataFrame:
+def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more=None, rounds: int = 4, twos: DataFrame | None = None) -> DataFrame:
     """Groups of like nodes as ``id, root``, from buckets of candidates; nodes without a link are not returned.
 
     ``members`` has ``key, node, leader, c``, the columns ``info`` and, with the
     prefix ``lead_``, those of the leader: a row for each node of a bucket of
-    several, its leader included.  ``may(p, q)`` is a bound on the columns with
+    several, its leader included.  Buckets of two may come as ``twos`` instead, once
+    for each pair: ``node, leader`` and the same columns.  ``may(p, q)`` is a bound on the columns with
     prefixes ``p`` and ``q`` that every like pair meets; ``verify(pairs)`` adds
     ``linked`` to ``a, b``.  ``more(nodes)`` gives further columns of those nodes
-    for ``may_more``, a tighter bound.
+    for ``may_more``, a tighter bound, which may also name the one bucket where a pair counts.
 
     Nodes are compared with their bucket's leader first.  Then, for at most
     ``rounds`` times and while it pays, those in another group than it are compared
@@ -133,7 +134,10 @@ def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more
     """
     pair = lambda df, x, y: df.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
     members = stage(members, "settle-members")
-    seen = stage(verify(stage(pair(members.where(F.col("node") != F.col("leader")).where(may("", "lead_")), "node", "leader"), "settle-first")), "settle-found")
+    first = members.where(F.col("node") != F.col("leader")).where(may("", "lead_")).select("node", "leader")
+    if twos is not None:
+        first = first.unionByName(twos.where(may("", "lead_")).select("node", "leader"))
+    seen = stage(verify(stage(pair(first, "node", "leader"), "settle-first")), "settle-found")
     roots = stage(components(seen.where("linked").select("a", "b")), "settle-roots")
 
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:

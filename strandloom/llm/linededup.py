@@ -144,6 +144,18 @@ def _tight(p: str, q: str) -> Column:
     return short | ((lacks(p, q) <= far) & (lacks(q, p) <= far))
 
 
+def _here(p: str, q: str) -> Column:
+    """Whether a pair counts in the bucket at hand: of those that it shares, only that of its first common blocks.
+
+    Pairs that meet by fewer blocks or by trigrams count wherever they do.
+    """
+    shared = F.array_intersect(f"{p}blocks", f"{q}blocks")
+    first = F.xxhash64(F.lit("words"), *(F.get(shared, F.lit(i)) for i in range(AGREE)))
+    least = F.least(F.size(f"{p}blocks"), F.size(f"{q}blocks")) > AGREE
+    many = F.least(F.shiftrightunsigned(f"{p}size", 32), F.shiftrightunsigned(f"{q}size", 32)) >= MANY_WORDS
+    return ~(least & many & (F.size(shared) >= AGREE)) | (F.col("key") == first)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, linked`` for pairs of lines."""
 
@@ -184,13 +196,19 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = None
     for i in range(PASSES):
         own = keys.where(F.pmod("key", F.lit(PASSES)) == i).withColumn("c", F.count("*").over(bucket)).withColumn("leader", F.min("node").over(bucket))
-        own = stage(own.where("c > 1"), "line-members", free=True)
+        own = stage(own.where("c > 2 or c = 2 and node <> leader"), "line-members", free=True)
         members = members.unionByName(own) if members else own
+    # like lines share many keys, most of them with no other line: such a pair counts once
+    twos = stage(members.where("c = 2").select("node", "leader").distinct(), "line-twos")
+    members = members.where("c > 2")
     sizes = nodes.select("node", "size")
-    members = members.join(sizes, "node").join(sizes.toDF("leader", "lead_size"), "leader")
-    texts = _texts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), id_col, text_col)
+    sized = lambda df: df.join(sizes, "node").join(sizes.toDF("leader", "lead_size"), "leader")
+    wanted = members.select("node").unionByName(twos.select("node")).unionByName(twos.select(F.col("leader").alias("node"))).distinct()
+    texts = _texts(docs, nodes.join(wanted, "node", "left_semi"), id_col, text_col)
     texts = stage(texts.withColumn("code", word_code(F.col("norm"))), "line-texts", free=True)
-    roots = settle(members, ["size"], _fits, lambda pairs: _verified(pairs, texts), lambda some: bags(texts.join(some, "node", "left_semi")), _tight)
+    blocks = nodes.select("node", F.array_compact(F.array(*(f"b{i}" for i in range(KEEP)))).alias("blocks"))
+    more = lambda some: bags(texts.join(some, "node", "left_semi")).join(blocks, "node")
+    roots = settle(sized(members), ["size"], _fits, lambda pairs: _verified(pairs, texts), more, lambda p, q: _tight(p, q) & _here(p, q), twos=sized(twos))
     grouped = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").where("n > 1 or root is not null")
     return lines.select("r1", "r2", "id", "pos", "l1", "l2"), grouped.select("l1", "l2", F.coalesce("root", "node").alias("root"))
 

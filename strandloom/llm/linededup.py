@@ -128,20 +128,36 @@ def _fits(p: str, q: str) -> Column:
     return near(lambda c: F.shiftrightunsigned(c, 32)) | (by_chars & near(chars))
 
 
-def bags(texts: DataFrame) -> DataFrame:
-    """``node, t0..``: bit sets of the words of ``node, norm``."""
-    words = texts.select("node", F.explode(F.split("norm", " ")).alias("word")).withColumn("h", F.pmod(F.xxhash64("word"), F.lit(64 * BAG)).cast("int"))
+def _bits(tokens: DataFrame, name: str) -> DataFrame:
+    """``node`` and the ``BAG`` longs of a bit set of the tokens of ``node, token``."""
+    rows = tokens.withColumn("h", F.pmod(F.xxhash64("token"), F.lit(64 * BAG)).cast("int"))
     bit = [F.when(F.shiftright("h", 6) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long")) for i in range(BAG)]
-    return words.groupBy("node").agg(*(F.bit_or(b).alias(f"t{i}") for i, b in enumerate(bit)))
+    return rows.groupBy("node").agg(*(F.bit_or(b).alias(f"{name}{i}") for i, b in enumerate(bit)))
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """``node, t0.., p0..``: bit sets of the words of ``node, norm`` and, for lines compared by characters, of their pairs of characters."""
+    words = _bits(texts.select("node", F.explode(F.split("norm", " ")).alias("token")), "t")
+    short = texts.where(F.char_length("norm") <= MOST_CHARS)
+    pairs = _bits(short.select("node", F.explode(F.regexp_extract_all("norm", F.lit("(?=(..))"), F.lit(1))).alias("token")), "p")
+    return words.join(pairs, "node", "left").na.fill(0, [f"p{i}" for i in range(BAG)])
 
 
 def _tight(p: str, q: str) -> Column:
-    """Whether the words' bits allow the similarity: a bit that one line has and the other lacks stands for a word that the other lacks."""
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}t{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}t{i}")))) for i in range(BAG)), F.lit(0))
-    longer = F.greatest(F.col(f"{p}size"), F.col(f"{q}size"))
-    far = F.floor(F.shiftrightunsigned(longer, 32) * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9))
-    short = F.greatest(F.col(f"{p}size").bitwiseAND(F.lit(0xFFFFFFFF)), F.col(f"{q}size").bitwiseAND(F.lit(0xFFFFFFFF))) <= MOST_CHARS
-    return short | ((lacks(p, q) <= far) & (lacks(q, p) <= far))
+    """Whether the bits allow either similarity.
+
+    A word that one line has and the other lacks is an edit of words; an edit of
+    characters takes two pairs of characters away at most, from either line.
+    """
+
+    def lacks(name: str) -> Column:
+        one = lambda x, y: sum((F.bit_count(F.col(f"{x}{name}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{name}{i}")))) for i in range(BAG)), F.lit(0))
+        return F.greatest(one(p, q), one(q, p))
+
+    far = lambda n: F.floor(n * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9))
+    words = F.shiftrightunsigned(F.greatest(f"{p}size", f"{q}size"), 32)
+    chars = F.greatest(F.col(f"{p}size").bitwiseAND(F.lit(0xFFFFFFFF)), F.col(f"{q}size").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return (lacks("t") <= far(words)) | ((chars <= MOST_CHARS) & (lacks("p") <= 2 * far(chars)))
 
 
 def _here(p: str, q: str) -> Column:

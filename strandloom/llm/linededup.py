@@ -128,26 +128,30 @@ def _fits(p: str, q: str) -> Column:
     return near(lambda c: F.shiftrightunsigned(c, 32)) | (by_chars & near(chars))
 
 
-def _bits(tokens: DataFrame, name: str) -> DataFrame:
-    """``node`` and the ``BAG`` longs of a bit set of the tokens of ``node, token``."""
-    rows = tokens.withColumn("h", F.pmod(F.xxhash64("token"), F.lit(64 * BAG)).cast("int"))
+def _bits(texts: DataFrame, tokens: Column, name: str) -> DataFrame:
+    """``node`` and the ``BAG`` longs of a bit set of a text's tokens; the second of equal ones is a token of its own, and so on."""
+    rows = texts.select("node", F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t))).alias("all"))
+    rows = rows.select("node", "all", F.posexplode("all").alias("at", "token"))
+    # equal tokens stand together
+    rows = rows.select("node", F.pmod(F.xxhash64("token", F.col("at") - F.array_position("all", F.col("token"))), F.lit(64 * BAG)).cast("int").alias("h"))
     bit = [F.when(F.shiftright("h", 6) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long")) for i in range(BAG)]
     return rows.groupBy("node").agg(*(F.bit_or(b).alias(f"{name}{i}") for i, b in enumerate(bit)))
 
 
 def bags(texts: DataFrame) -> DataFrame:
     """``node, t0.., p0..``: bit sets of the words of ``node, norm`` and, for lines compared by characters, of their pairs of characters."""
-    words = _bits(texts.select("node", F.explode(F.split("norm", " ")).alias("token")), "t")
+    words = _bits(texts, F.split("norm", " "), "t")
     short = texts.where(F.char_length("norm") <= MOST_CHARS)
-    pairs = _bits(short.select("node", F.explode(F.regexp_extract_all("norm", F.lit("(?=(..))"), F.lit(1))).alias("token")), "p")
+    pairs = _bits(short, F.regexp_extract_all("norm", F.lit("(?=(..))"), F.lit(1)), "p")
     return words.join(pairs, "node", "left").na.fill(0, [f"p{i}" for i in range(BAG)])
 
 
 def _tight(p: str, q: str) -> Column:
     """Whether the bits allow either similarity.
 
-    A word that one line has and the other lacks is an edit of words; an edit of
-    characters takes two pairs of characters away at most, from either line.
+    A word that one line has more often than the other is an edit of words for
+    each time; an edit of characters takes two pairs of characters away at most,
+    from either line.  Tokens that share a bit only make the bound wider.
     """
 
     def lacks(name: str) -> Column:

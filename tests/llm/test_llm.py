@@ -249,6 +249,26 @@ def test_line_groups_are_brute_force(spark):
     assert {tuple(r) for r in gone} == want
 
 
+def test_bounds_keep_like_lines(spark):
+    rng, lines = random.Random(4), {"to be to be to be to be or", "or or or or or or to be to"}
+    for _ in range(40):
+        line = [rng.choice(["to", "be", "or", "not", "that", "is"]) for _ in range(rng.randrange(4, 40))]
+        other = [rng.choice(["to", "be", "x"]) if rng.random() < 0.15 else w for w in line]
+        typos = "".join(rng.choice("abc") if c != " " and rng.random() < 0.12 else c for c in " ".join(line))
+        lines |= {" ".join(line), " ".join(other), typos}
+    lines = sorted(lines)
+    sizes = [(i, x, (len(x.split(" ")) << 32) + len(x)) for i, x in enumerate(lines)]
+    texts = spark.createDataFrame(sizes, "node long, norm string, size long")
+    one = linededup.bags(texts.select("node", "norm")).join(texts.select("node", "size"), "node")
+    other = one.select(*(F.col(c).alias(f"f_{c}") for c in one.columns))
+    may = one.join(other, F.col("node") < F.col("f_node")).where(linededup._tight("", "f_"))
+    may = {(lines[r.node], lines[r.f_node]) for r in may.select("node", "f_node").collect()}
+    like = {tuple(sorted(x)) for x in like_pairs(lines)}
+    assert len(like) > 20 and like <= may
+    # the same words, but not as often
+    assert ("or or or or or or to be to", "to be to be to be to be or") not in may
+
+
 def like_lines(rng, n_words, changed, count):
     """Texts of two lines each that differ in ``changed`` of ``n_words`` words."""
     rows = []

@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, letters and digits only).  Of the words of a
 line, in a seeded order, the ``KEEP`` first make its blocks, and lines that share
-``AGREE`` of them are candidates: a key stands for every choice of so many.  Longer words come earlier in the order, as they tell lines apart.  Lines of
+``AGREE`` of them, one after another in the same turn, are candidates: a key stands for every choice of so many.  Longer words come earlier in the order, as they tell lines apart.  Lines of
 few words also have keys of fewer blocks, and short ones keys of their
 trigrams, so that lines may meet where hardly a word is whole.  Candidates are
 linked if the edit similarity (1 - distance / longer length) of their words or,
@@ -44,8 +44,8 @@ FEW_CHARS = 32
 GRAM_KEEP, GRAM_AGREE = 8, 4
 #: Keys are dealt into so many passes, one after another, so that their shuffles need not be on disk together.
 PASSES = 2
-#: Longs of a line's word bits.
-BAG = 16
+#: Longs of a line's bit sets: of its words, its pairs of characters and its characters.
+BAGS = {"t": 16, "p": 16, "c": 6}
 #: Letters beyond the first plane.
 LETTERS = 0xF0000
 
@@ -73,8 +73,16 @@ def _grams(norm: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit("  "), norm, F.lit("  ")), F.lit("(?=(.{3}))"), F.lit(1))
 
 
-def _blocks(tokens: Column, n: int, rank) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(F.transform(tokens, rank))), 1, n)
+def _blocks(rows: DataFrame, tokens: Column, n: int, rank, name: str) -> DataFrame:
+    """``rows`` with the ``n`` least ranks of their tokens as ``name0..``, null where they have fewer.
+
+    They stand as their tokens do: an edit leaves those it does not touch in turn, while unlike texts of common tokens
+    seldom have them in the same turn.
+    """
+    others = rows.columns
+    rows = rows.select(*others, F.array_distinct(F.transform(tokens, rank)).alias("_ranks"))
+    rows = rows.select(*others, F.array_intersect("_ranks", F.slice(F.sort_array("_ranks"), 1, n)).alias("_own"))
+    return rows.select(*others, *(F.get("_own", F.lit(i)).alias(f"{name}{i}") for i in range(n)))
 
 
 def line_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,8 +95,9 @@ def line_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rank = lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.least(F.greatest(F.char_length(w) - 2, F.lit(1)), F.lit(6)))
     lines = _lines(docs, id_col, text_col)
     whole = lines.select("r1", "r2", "id", "pos", F.xxhash64("norm").alias("l1"), F.xxhash64(F.lit("line"), "norm").alias("l2"), F.char_length("norm").alias("chars"), F.split("norm", " ").alias("words"))
-    whole = whole.select("r1", "r2", "id", "pos", "l1", "l2", (F.shiftleft(F.size("words").cast("long"), 32) + F.col("chars")).alias("size"), F.when(F.col("chars") > 0, _blocks(F.col("words"), KEEP, rank)).alias("b"))
-    return whole.select("r1", "r2", "id", "pos", "l1", "l2", "size", *(F.get("b", F.lit(i)).alias(f"b{i}") for i in range(KEEP)))
+    whole = whole.select("r1", "r2", "id", "pos", "l1", "l2", (F.shiftleft(F.size("words").cast("long"), 32) + F.col("chars")).alias("size"), F.when(F.col("chars") > 0, F.col("words")).alias("words"))
+    return _blocks(whole, F.col("words"), KEEP, rank, "b").drop("words")
+
 
 
 def _choices(n: int, *sizes: int) -> list[int]:
@@ -98,7 +107,7 @@ def _choices(n: int, *sizes: int) -> list[int]:
 
 
 def _keyed(rows: DataFrame, choices: Column, blocks: list[Column], seed: str) -> DataFrame:
-    """``node, key``: the hash of the blocks of each choice, in order; a hash passes over nulls."""
+    """``node, key``: the hash of the blocks of each choice, as they stand; a hash passes over nulls."""
     chosen = [F.when(F.col("choice").bitwiseAND(F.lit(1 << i)) != 0, b) for i, b in enumerate(blocks)]
     return rows.withColumn("choice", F.explode(choices)).select("node", F.xxhash64(F.lit(seed), *chosen).alias("key"))
 
@@ -129,51 +138,54 @@ def _fits(p: str, q: str) -> Column:
 
 
 def _bits(texts: DataFrame, tokens: Column, name: str) -> DataFrame:
-    """``node`` and the ``BAG`` longs of a bit set of a text's tokens; the second of equal ones is a token of its own, and so on."""
+    """``node`` and the longs of a bit set of a text's tokens; the second of equal ones is a token of its own, and so on."""
     rows = texts.select("node", F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t))).alias("all"))
     rows = rows.select("node", "all", F.posexplode("all").alias("at", "token"))
     # equal tokens stand together
-    rows = rows.select("node", F.pmod(F.xxhash64("token", F.col("at") - F.array_position("all", F.col("token"))), F.lit(64 * BAG)).cast("int").alias("h"))
-    bit = [F.when(F.shiftright("h", 6) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long")) for i in range(BAG)]
+    rows = rows.select("node", F.pmod(F.xxhash64("token", F.col("at") - F.array_position("all", F.col("token"))), F.lit(64 * BAGS[name])).cast("int").alias("h"))
+    bit = [F.when(F.shiftright("h", 6) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long")) for i in range(BAGS[name])]
     return rows.groupBy("node").agg(*(F.bit_or(b).alias(f"{name}{i}") for i, b in enumerate(bit)))
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """``node, t0.., p0..``: bit sets of the words of ``node, norm`` and, for lines compared by characters, of their pairs of characters."""
+    """``node, t0.., p0.., c0..``: bit sets of the words of ``node, norm`` and, for lines compared by characters, of their pairs of characters and characters."""
     words = _bits(texts, F.split("norm", " "), "t")
     short = texts.where(F.char_length("norm") <= MOST_CHARS)
     pairs = _bits(short, F.regexp_extract_all("norm", F.lit("(?=(..))"), F.lit(1)), "p")
-    return words.join(pairs, "node", "left").na.fill(0, [f"p{i}" for i in range(BAG)])
+    chars = _bits(short, F.regexp_extract_all("norm", F.lit("(.)"), F.lit(1)), "c")
+    return words.join(pairs, "node", "left").join(chars, "node", "left").na.fill(0, [f"{n}{i}" for n in "pc" for i in range(BAGS[n])])
+
 
 
 def _tight(p: str, q: str) -> Column:
     """Whether the bits allow either similarity.
 
     A word that one line has more often than the other is an edit of words for
-    each time; an edit of characters takes two pairs of characters away at most,
-    from either line.  Tokens that share a bit only make the bound wider.
+    each time; an edit of characters takes two pairs of characters and one
+    character away at most, from either line.  Tokens that share a bit only make the bound wider.
     """
 
     def lacks(name: str) -> Column:
-        one = lambda x, y: sum((F.bit_count(F.col(f"{x}{name}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{name}{i}")))) for i in range(BAG)), F.lit(0))
+        one = lambda x, y: sum((F.bit_count(F.col(f"{x}{name}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{name}{i}")))) for i in range(BAGS[name])), F.lit(0))
         return F.greatest(one(p, q), one(q, p))
 
     far = lambda n: F.floor(n * F.lit(round(1 - SIMILAR, 4)) + F.lit(1e-9))
     words = F.shiftrightunsigned(F.greatest(f"{p}size", f"{q}size"), 32)
     chars = F.greatest(F.col(f"{p}size").bitwiseAND(F.lit(0xFFFFFFFF)), F.col(f"{q}size").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return (lacks("t") <= far(words)) | ((chars <= MOST_CHARS) & (lacks("p") <= 2 * far(chars)))
+    return (lacks("t") <= far(words)) | ((chars <= MOST_CHARS) & (lacks("c") <= far(chars)) & (lacks("p") <= 2 * far(chars)))
 
 
 def _here(p: str, q: str) -> Column:
     """Whether a pair counts in the bucket at hand: of those that it shares, only that of its first common blocks.
 
-    Pairs that meet by fewer blocks or by trigrams count wherever they do.
+    Pairs that meet by fewer blocks, in another turn or by trigrams count wherever they do.
     """
     shared = F.array_intersect(f"{p}blocks", f"{q}blocks")
     first = F.xxhash64(F.lit("words"), *(F.get(shared, F.lit(i)) for i in range(AGREE)))
     least = F.least(F.size(f"{p}blocks"), F.size(f"{q}blocks")) > AGREE
     many = F.least(F.shiftrightunsigned(f"{p}size", 32), F.shiftrightunsigned(f"{q}size", 32)) >= MANY_WORDS
-    return ~(least & many & (F.size(shared) >= AGREE)) | (F.col("key") == first)
+    turn = shared == F.array_intersect(f"{q}blocks", f"{p}blocks")
+    return ~(least & many & (F.size(shared) >= AGREE) & turn) | (F.col("key") == first)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -210,8 +222,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # numbers of their own: other joins need one column, and two lines can't share one
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes", free=True)
     short = _texts(docs, nodes.where((F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))) <= FEW_CHARS), id_col, text_col)
-    grams = short.select("node", _blocks(_grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g)).alias("g"))
-    grams = grams.select("node", *(F.get("g", F.lit(i)).alias(f"g{i}") for i in range(GRAM_KEEP)))
+    grams = _blocks(short, _grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g), "g").drop("norm")
     keys, bucket = line_keys(nodes, grams), Window.partitionBy("key")
     members = None
     for i in range(PASSES):

@@ -222,7 +222,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # numbers of their own: other joins need one column, and two lines can't share one
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes", free=True)
     short = _texts(docs, nodes.where((F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))) <= FEW_CHARS), id_col, text_col)
-    grams = _blocks(short, _grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g), "g").drop("norm")
+    # written: every pass over the keys reads them, and they come from a shuffle of texts
+    grams = stage(_blocks(short, _grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g), "g").drop("norm"), "line-grams", free=True)
     keys, bucket = line_keys(nodes, grams), Window.partitionBy("key")
     members = None
     for i in range(PASSES):

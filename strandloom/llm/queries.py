@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import langid, linededup, media, mixing, neardup, packing, qda, quality, sharding, suffix
+from strandloom.llm import elkan, langid, lexical, linededup, media, mixing, neardup, packing, qda, quality, relz, sharding, suffix
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_quality_score": qda.op8_quality_score,
     "op9_pack": packing.op9_pack,
     "op10_shards": sharding.op10_shards,
+    "op11_codes": elkan.op11_codes,
+    "op12_search": lexical.op12_search,
+    "op13_passages": relz.op13_passages,
+}
+ORACLE_SQL = {
+    "op2_mix": mixing.OP2_SQL,
+    "op7_quality": quality.OP7_SQL,
+    "op11_codes": elkan.OP11_SQL,
+    "op12_search": lexical.OP12_SQL,
+    "op13_passages": relz.OP13_SQL,
 }
-ORACLE_SQL = {"op2_mix": mixing.OP2_SQL, "op7_quality": quality.OP7_SQL}

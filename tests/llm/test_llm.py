@@ -69,7 +69,8 @@ def test_queries_match_their_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings", "benchmark"):
+        c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = c.sql(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, DATA).toPandas()
     cols = sorted(want.columns)

@@ -197,7 +197,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(joined: DataFrame, kind: str, width: int) -> DataFrame:
-    """From ``id, text, runs``: segments ``key, id, start, words``; without words, a span of ``n`` that is known to repeat."""
+    """From ``id, text, runs``: segments ``key, id, starts, words``, one row for all places where a document has one.
+
+    Rows without words are spans of ``n`` that are known to repeat.
+    """
 
     def run(batches):
         seen: dict[tuple, object] = {}
@@ -215,7 +218,7 @@ def _cut(joined: DataFrame, kind: str, width: int) -> DataFrame:
                 words = raw.split()
                 data = b" ".join(words) + b" "
                 offsets = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
-                known, mine = [], _place(i)
+                known, mine, own = [], _place(i), {}
                 for run_ in batch.column(2)[r].as_py():
                     start, n = run_["start"], run_["n"]
                     parts = [(run_["key"], start, data[offsets[start] : offsets[start + n + width - 1]])]
@@ -233,9 +236,11 @@ def _cut(joined: DataFrame, kind: str, width: int) -> DataFrame:
                                 held = 0
                             seen[key, b] = mine
                             held += len(b) + 200
-                        row(key, i, s, 0, b)
+                        own.setdefault((key, b), []).append(s)
+                for (key, b), starts in own.items():
+                    row(key, i, starts, 0, b)
                 for low, high in _merged(known):
-                    row(0, i, low, high - low, None)
+                    row(0, i, [low], high - low, None)
                 if len(out[0]) >= 20_000:
                     yield _batch(out, ids)
                     for c in out:
@@ -243,22 +248,22 @@ def _cut(joined: DataFrame, kind: str, width: int) -> DataFrame:
             if out[0]:
                 yield _batch(out, ids)
 
-    return joined.mapInArrow(run, f"key long, id {kind}, start int, n int, words binary")
+    return joined.mapInArrow(run, f"key long, id {kind}, starts array<int>, n int, words binary")
 
 
 def _batch(out: list[list], ids: pa.DataType) -> pa.RecordBatch:
-    kinds = (pa.int64(), ids, pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "id", "start", "n", "words"])
+    kinds = (pa.int64(), ids, pa.list_(pa.int32()), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "id", "starts", "n", "words"])
 
 
 def _parse(met: DataFrame, kind: str, width: int) -> DataFrame:
-    """Duplicate spans ``id, low, high``; the rows of a key come together, in order of id and start."""
+    """Duplicate spans ``id, low, high``; the rows of a key come together, in order of id."""
 
     def run(batches):
         block, key = Block(width), None
         for batch in batches:
             out: list[list] = [[], [], []]
-            for k, i, start, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, i, starts, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if words is None:
                     found = [(0, n)]
                 else:
@@ -266,8 +271,9 @@ def _parse(met: DataFrame, kind: str, width: int) -> DataFrame:
                         block, key = Block(width), k
                     found = block.take(words, _place(i))
                 for low, high in _merged(found):
-                    for column, v in zip(out, (i, start + low, start + high), strict=True):
-                        column.append(v)
+                    for start in starts:
+                        for column, v in zip(out, (i, start + low, start + high), strict=True):
+                            column.append(v)
             kinds = (batch.schema.field(1).type, pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["id", "low", "high"])
 
@@ -330,8 +336,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = runs.groupBy("id").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     cut = _cut(texts.join(runs, "id").select("id", "text", "runs"), kind, width)
     # what is known to repeat need not meet others of its key
-    where = F.when(F.col("words").isNull(), F.xxhash64("id", "start")).otherwise(F.col("key"))
-    met = cut.repartition(where).sortWithinPartitions("key", "id", "start")
+    where = F.when(F.col("words").isNull(), F.xxhash64("id", "starts")).otherwise(F.col("key"))
+    met = cut.repartition(where).sortWithinPartitions("key", "id")
     # written, so that the shuffles before are gone when the texts are dealt again
     spans = stage(_parse(met, kind, width), "relz-spans", free=True).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     out = _apply(texts.join(spans, "id", "left").select("id", "text", "spans"), kind)

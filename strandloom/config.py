@@ -59,6 +59,8 @@ class PrepConfig:
     dest_paired: bool = True
     max_err_in_primer: int = 2
     with_primer: bool = False
+    #: Route single ends by the primer at either end; without it they are refused.
+    either_end: bool = False
     #: The mate whose qualities the low-quality test of the second mate reads; "r2" is the strict reading.
     r2_low_quality_from: str = "r1"
 
@@ -89,6 +91,8 @@ class AlgoConfig:
     zero: float = 1e-10
     #: Prune tiny frequencies every so many iterations; 0 is never, so results don't depend on the clock.
     prune_every: int = 0
+    #: Solve samples of more entries by blocks across tasks; none says that a task holds any sample.
+    distribute_above: int | None = None
     prob_amp: float = 1.0
     seed: int = 0
 

@@ -55,3 +55,38 @@ def good_reads(reads: DataFrame, cfg: PrepConfig) -> DataFrame:
 def unique_reads(good: DataFrame) -> DataFrame:
     """``sample, r1, r2, n``; counts combine before the shuffle."""
     return good.groupBy("sample", "r1", "r2").agg(F.count("*").alias("n"))
+
+
+def tally(reads: DataFrame, cfg: PrepConfig) -> DataFrame:
+    """``sample, is_long, is_good, r1, r2, n``: unique good reads, and how many others, in one pass over the reads.
+
+    Read counts and unique reads are both sums of it, so files are parsed once.
+    Partial tallies of disjoint reads add up.
+    """
+    cut = lambda c: F.substring(c, 1, cfg.read_len)
+    pair = lambda a, b: F.struct(a.alias("r1"), b.alias("r2"))
+    if not cfg.paired:
+        own = F.array(pair(cut("s1"), F.lit("")))
+    elif cfg.dest_paired:
+        own = F.array(pair(cut("s1"), cut("s2")))
+    else:
+        own = F.array(pair(cut("s1"), F.lit("")), pair(cut("s2"), F.lit("")))
+    null = F.lit(None).cast("string")
+    rows = checked(reads, cfg).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_long", "is_good")})
+    ends = rows.select("sample", "is_long", "is_good", F.inline(F.when(F.col("is_good"), own).otherwise(F.array(pair(null, null)))))
+    return ends.groupBy("sample", "is_long", "is_good", "r1", "r2").agg(F.count("*").alias("n"))
+
+
+def tally_counts(tallied: DataFrame, cfg: PrepConfig) -> DataFrame:
+    """What ``counts`` gives, from a tally; a pair stacked as single ends is in it twice."""
+    ends = 2 if cfg.paired and not cfg.dest_paired else 1
+    n = F.when(F.col("is_good"), F.col("n") / ends).otherwise(F.col("n")).cast("long")
+    of = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0))
+    # ends are summed before they are halved, as an end may be odd in number
+    by = tallied.groupBy("sample", "is_long", "is_good").agg(F.sum("n").alias("n")).withColumn("n", n)
+    return by.groupBy("sample").agg(F.sum("n").alias("loaded"), of("is_long").alias("long"), of("is_good").alias("good"))
+
+
+def tally_uniques(tallied: DataFrame) -> DataFrame:
+    """What ``unique_reads`` gives, from a tally."""
+    return tallied.where("is_good").groupBy("sample", "r1", "r2").agg(F.sum("n").alias("n"))

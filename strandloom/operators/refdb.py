@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.config import primers
+from strandloom.config import AlgoConfig, primers
+from strandloom.operators.match import hamming_join
 from strandloom.operators.ordinal import ordinals
+from strandloom.plans.staging import stage
 
 
 def project(values: DataFrame, read_len: int, const_len: bool = False, with_primer: bool = False, rows=None) -> DataFrame:
@@ -37,6 +39,36 @@ def bact_kmers(ref: DataFrame, known: DataFrame) -> DataFrame:
     return ref.where("kmer is not null").join(known, ["region", "kmer"]).select("bact_id", "region", "kmer_id")
 
 
+def augment(reads: DataFrame, known: DataFrame, of: DataFrame, cfg: AlgoConfig, max_len: int, least: int, limit: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The k-mers and ``bact_kmers`` grown by frequent reads close to them.
+
+    A read above ``least`` in a sample, whose nearest k-mer is 1 to ``limit`` away,
+    joins with the bacteria of its nearest k-mers.  Then others may be near it, for
+    at most so many rounds, or until none joins.  K-mers keep their ids; new ones
+    get the next, in order within a round.  Reads that an older k-mer is near have
+    joined, or are known, so a round compares the others with its newest k-mers only.
+    """
+    waiting = stage(reads.where(F.col("n") > least).select("region", "seq").distinct(), "augment-reads")
+    newest = known = stage(known.select("region", "kmer", "kmer_id"), "augment-kmers")
+    of = stage(of, "augment-of")
+    for _ in range(rounds):
+        near = hamming_join(waiting, newest, ["region"], "seq", "kmer", limit, max_len, cfg.max_num_ns).select("region", "seq", "kmer_id", "d")
+        near = stage(near, "augment-near")
+        nearest = near.groupBy("region", "seq").agg(F.min("d").alias("d"))
+        joined = ordinals(nearest.where("d > 0").select("region", "seq"), ["region"], ["seq"], "i")
+        top = known.groupBy("region").agg(F.max("kmer_id").alias("top"))
+        new = stage(joined.join(top, "region").select("region", F.col("seq").alias("kmer"), (F.col("i") + F.col("top")).cast("int").alias("kmer_id")), "augment-new")
+        if not new.limit(1).count():
+            break
+        ids = new.select("region", F.col("kmer").alias("seq"), F.col("kmer_id").alias("new_id"))
+        carried = near.join(nearest, ["region", "seq", "d"]).join(ids, ["region", "seq"]).join(of, ["region", "kmer_id"])
+        of = stage(of.unionByName(carried.select(*(F.col("new_id").alias(c) if c == "kmer_id" else c for c in of.columns)).distinct()), "augment-of")
+        known = stage(known.unionByName(new), "augment-kmers")
+        waiting = stage(waiting.join(near.select("region", "seq").distinct(), ["region", "seq"], "left_anti"), "augment-reads")
+        newest = new
+    return known, of
+
+
 def amplified(ref: DataFrame) -> DataFrame:
     """Per bacterium, how many regions are amplified."""
     return ref.groupBy("bact_id").agg(F.count("kmer").alias("norm"))

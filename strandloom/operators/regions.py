@@ -32,8 +32,11 @@ def distances(uni: DataFrame, rows=None) -> DataFrame:
 def assign(uni: DataFrame, cfg: PrepConfig, rows=None) -> DataFrame:
     """``sample, region, seq, n``: reads within the allowed mismatches of both primers, primers cut off.
 
-    A read may belong to several regions.  Single ends are refused.
+    A read may belong to several regions.  Single ends are refused, unless
+    ``either_end`` asks for their own routing.
     """
+    if not cfg.dest_paired and cfg.either_end:
+        return assign_ends(uni, cfg, rows)
     if not cfg.dest_paired:
         raise NotImplementedError("single-end reads can't be routed to regions")
     near = distances(uni, rows).where(
@@ -44,9 +47,26 @@ def assign(uni: DataFrame, cfg: PrepConfig, rows=None) -> DataFrame:
     return near.select("sample", "region", seq.alias("seq"), "n")
 
 
+def assign_ends(uni: DataFrame, cfg: PrepConfig, rows=None) -> DataFrame:
+    """``sample, region, seq, n, side``: single reads by the primer at either end, which is cut off.
+
+    ``side`` is 1 for the forward primer at a read's start, -1 for the reverse one
+    at its end; a read that has both counts as reverse.
+    """
+    ends = distances(uni, rows)
+    most = F.lit(cfg.max_err_in_primer)
+    side = F.when(F.col("d_reverse") <= most, -1).when(F.col("d_forward") <= most, 1)
+    near = ends.withColumn("side", side).where("side is not null")
+    forward = F.substring(F.col("seq"), F.col("n_forward") + 1, F.char_length("seq"))
+    reverse = F.substring(F.col("seq"), F.lit(1), F.char_length("seq") - F.col("n_reverse"))
+    seq = F.col("seq") if cfg.with_primer else F.when(F.col("side") == 1, forward).otherwise(reverse)
+    return near.select("sample", "region", seq.alias("seq"), "n", "side")
+
+
 def collapse(assigned: DataFrame) -> DataFrame:
-    """Reads that are equal once trimmed; their counts add up."""
-    return assigned.groupBy("sample", "region", "seq").agg(F.sum("n").alias("n"))
+    """Reads that are equal once trimmed; their counts add up. Those of either side stay apart."""
+    by = [c for c in ("sample", "region", "seq", "side") if c in assigned.columns]
+    return assigned.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def totals(assigned: DataFrame, samples: DataFrame | None = None, regions=(1, 2, 3, 4, 5)) -> DataFrame:

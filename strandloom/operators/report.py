@@ -82,10 +82,24 @@ def group_sources(members: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def mean_sources(top: DataFrame, sources: DataFrame) -> DataFrame:
-    """Mean number of distinct sources of a lineage, weighted by frequency; variants of a source share its whole number."""
+def matched_sources(top: DataFrame, sources: DataFrame) -> DataFrame:
+    """Groups with their headers; an error when read where a group has no headers, or headers no group.
+
+    The check is part of the join that the report needs anyway, so it costs no pass of its own.
+    """
+    both = top.withColumn("_top", F.lit(True)).join(sources, ["sample", "group_id"], "full")
+    name = F.concat_ws(" ", F.col("sample"), F.col("group_id").cast("string"))
+    wrong = F.raise_error(F.concat(F.lit("numbers of answers and headers differ: "), name))
+    return both.where(F.when(F.col("_top").isNull() | F.col("headers").isNull(), wrong.cast("boolean")).otherwise(True)).drop("_top")
+
+
+def mean_sources(top: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
+    """Mean number of distinct sources of a lineage, weighted by frequency; variants of a source share its whole number.
+
+    ``strict`` asks that groups and headers match one to one.
+    """
     n = F.size(F.array_distinct(F.transform("headers", lambda h: F.floor(h))))
-    w = top.join(sources, ["sample", "group_id"]).withColumn("n", n)
+    w = (matched_sources(top, sources) if strict else top.join(sources, ["sample", "group_id"])).withColumn("n", n)
     return w.groupBy("sample", "path").agg((F.sum(F.col("freq") * F.col("n")) / (F.sum("freq") + F.lit(EPS))).alias("mean_sources"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.config import EPS, AlgoConfig
+from strandloom.operators.mixture import block_factors, compact, solve_blocks
 from strandloom.operators.refdb import FINGERPRINT, fingerprint
 
 
@@ -65,19 +66,46 @@ def supports(lik: DataFrame, groups: DataFrame) -> DataFrame:
     return lik.join(reps, ["sample", "bact_id"]).withColumnRenamed("bact_id", "col")
 
 
+#: Longs of a column's signature.
+SIGNATURE = 4
+
+
 def included(system: DataFrame) -> DataFrame:
-    """``sample, col`` of columns whose rows are a strict part of another column's."""
-    rows = system.select("sample", F.xxhash64("region", "seq").alias("row"), "col")
-    size = rows.groupBy("sample", "col").agg(F.count("*").alias("nnz"))
-    held = rows.groupBy("sample", "row").agg(F.count("*").alias("n_cols"))
-    # a column that holds another one holds its rarest row too: only there do they meet
-    rare = rows.join(held, ["sample", "row"]).groupBy("sample", "col").agg(F.min(F.struct("n_cols", "row")).alias("rare"))
-    a = rare.join(size, ["sample", "col"]).select("sample", F.col("col").alias("i"), F.col("nnz").alias("ni"), F.col("rare.row").alias("row"))
-    b = size.select("sample", F.col("col").alias("j"), F.col("nnz").alias("nj"))
-    of = lambda c: rows.select("sample", "row", F.col("col").alias(c))
-    pairs = a.join(of("j"), ["sample", "row"]).join(b, ["sample", "j"]).where("nj > ni").select("sample", "i", "j", "ni")
+    """``sample, col`` of columns whose rows are a strict part of another column's.
+
+    Columns with equal rows are one set, compared once.  A set that holds another
+    holds its rarest row too: only there do they meet, and only if it is larger and
+    its signature, a bit set of hashed rows, has all bits of the other's.  What is
+    left is counted row by row, so no signature decides by itself.
+    """
+    own = system.select("sample", F.xxhash64("region", "seq").alias("row"), "col")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("row", 8), F.lit(64)).cast("int"))
+    signature = [F.bit_or(F.when(F.pmod("row", F.lit(SIGNATURE)) == k, bit).otherwise(0)).alias(f"s{k}") for k in range(SIGNATURE)]
+    signs = [f"s{k}" for k in range(SIGNATURE)]
+    columns = own.groupBy("sample", "col").agg(*fingerprint("row"), *signature)
+    same = ["sample", *FINGERPRINT]
+    sets = columns.groupBy(*same, *signs).agg(F.min("col").alias("set"))
+    rows = own.withColumnRenamed("col", "set").join(sets.select("sample", "set"), ["sample", "set"], "left_semi")
+    pairs = containment_pairs(rows, sets.select("sample", "set", F.col("f_n").alias("nnz"), *signs))
+    of = lambda c: rows.select("sample", "row", F.col("set").alias(c))
     shared = pairs.join(of("i"), ["sample", "i"]).join(of("j"), ["sample", "j", "row"]).groupBy("sample", "i", "j", "ni").agg(F.count("*").alias("shared"))
-    return shared.where("shared = ni").select("sample", F.col("i").alias("col")).distinct()
+    held = shared.where("shared = ni").select("sample", F.col("i").alias("set")).distinct()
+    return columns.join(sets.join(held, ["sample", "set"], "left_semi").select(*same), same, "left_semi").select("sample", "col")
+
+
+def containment_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sample, i, j, ni``: sets ``i`` that ``j`` may hold, from ``sample, row, set`` and ``sample, set, nnz`` with signatures."""
+    signs = [c for c in sets.columns if c not in ("sample", "set", "nnz")]
+    held = rows.groupBy("sample", "row").agg(F.count("*").alias("n_sets"))
+    rare = rows.join(held, ["sample", "row"]).groupBy("sample", "set").agg(F.min(F.struct("n_sets", "row")).alias("rare"))
+    side = lambda s: sets.select("sample", F.col("set").alias(s), F.col("nnz").alias(f"n{s}"), *(F.col(c).alias(f"{s}_{c}") for c in signs))
+    # a row of one set alone is in no other
+    small = rare.where("rare.n_sets > 1").select("sample", F.col("set").alias("i"), F.col("rare.row").alias("row")).join(side("i"), ["sample", "i"])
+    large = rows.withColumnRenamed("set", "j").join(side("j"), ["sample", "j"])
+    may = F.col("nj") > F.col("ni")
+    for c in signs:
+        may = may & (F.col(f"i_{c}").bitwiseAND(F.bitwise_not(f"j_{c}")) == 0)
+    return small.join(large, ["sample", "row"]).where(may).select("sample", "i", "j", "ni")
 
 
 def without_included(system: DataFrame, cfg: AlgoConfig) -> DataFrame:
@@ -110,7 +138,7 @@ def em_init(sys: DataFrame) -> DataFrame:
 
 
 def em_step(sys: DataFrame, x: DataFrame) -> DataFrame:
-    """One multiplicative update as joins and sums; for checks, and for samples too large for one task."""
+    """One multiplicative update as joins and sums."""
     xs = sys.join(x, ["sample", "col"])
     theta = xs.groupBy("sample", "region", "seq").agg(F.sum(F.col("a") * F.col("x")).alias("theta"))
     ratio = xs.join(theta, ["sample", "region", "seq"])
@@ -122,32 +150,42 @@ def em_solve(row: np.ndarray, col: np.ndarray, a: np.ndarray, y: np.ndarray, cfg
     """Mixture by expectation-maximisation on a sparse system; ``y`` per row.
 
     Stops when the update moves less than ``tol`` in sum, measured before the
-    update, which still takes effect.  Returns frequencies and iterations.
+    update, which still takes effect.  A pruning step takes columns below ``zero``
+    out of the arrays, with the rows that they empty, and numbers the rest anew.
+    Returns frequencies, 0 for columns taken out, and iterations.
     """
-    m, n = len(y), int(col.max()) + 1
+    n = int(col.max()) + 1
     if x is None:
         x = np.bincount(col, a * y[row], n)
         x = x / x.sum()
-    steps = 0
+    steps, alive = 0, np.arange(n)
     for steps in range(1, cfg.num_iter + 1):
-        theta = np.bincount(row, a * x[col], m)
-        factor = np.bincount(col, a * (y / (theta + EPS))[row], n)
+        factor = block_factors(row, col, a, y, x)
         error = float(np.abs(1 - factor) @ x)
         x = x * factor
         if error < cfg.tol:
             break
-        if cfg.prune_every and steps % cfg.prune_every == 0:
-            x = np.where(x < cfg.zero, 0, x)
-    x = np.where(x > cfg.zero, x, 0)
-    return x / x.sum(), steps
+        if cfg.prune_every and steps % cfg.prune_every == 0 and (x < cfg.zero).any():
+            stay = x >= cfg.zero
+            row, col, a, y = compact(row, col, a, y, stay)
+            x, alive = x[stay], alive[stay]
+    out = np.zeros(n)
+    out[alive] = np.where(x > cfg.zero, x, 0)
+    return out / out.sum(), steps
 
 
 def em(sys: DataFrame, cfg: AlgoConfig) -> DataFrame:
-    """``sample, col, x, iterations``, a task per sample.
+    """``sample, col, x, iterations``, a task per sample; those of more than ``distribute_above`` entries by blocks across tasks."""
+    if cfg.distribute_above is None:
+        return em_tasks(sys, cfg)
+    large = sys.groupBy("sample").agg(F.count("*").alias("entries")).where(F.col("entries") > cfg.distribute_above)
+    small = sys.join(large, "sample", "left_anti")
+    return em_tasks(small, cfg).unionByName(solve_blocks(sys.join(large, "sample", "left_semi"), cfg))
+
+
+def em_tasks(sys: DataFrame, cfg: AlgoConfig) -> DataFrame:
+    """``sample, col, x, iterations``, a task per sample."""
 
-    A sample's system is bounded: the abundance filter leaves at most
-    ``1 / min_read_freq`` reads in a region.
-    """
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["row", "col"], ignore_index=True)
         row, rows = pd.factorize(frame["row"])

@@ -14,38 +14,48 @@ SCHEMA = "sample string, metric string, region int, n_unique long, n_reads long"
 
 @dataclass(frozen=True)
 class ReadStats:
-    """An immutable table of ``sample, metric, region, n_unique, n_reads``; adding gives a new one.
+    """An immutable log of ``sample, metric, region, n_unique, n_reads`` and a number for each addition.
 
-    Region null is global.  Global metrics append, regional ones replace an
-    entry of their name and region.
+    Region null is global.  Global metrics append; of regional ones with one name
+    and region the last addition counts.  That is settled by one aggregate when
+    ``rows`` are asked for, however many additions there were.
     """
 
-    rows: DataFrame
+    log: DataFrame
     n_regions: int = 5
+    added: int = 0
 
     @staticmethod
     def empty(spark, n_regions: int = 5) -> ReadStats:
-        return ReadStats(spark.createDataFrame([], SCHEMA), n_regions)
+        return ReadStats(spark.createDataFrame([], f"{SCHEMA}, turn int"), n_regions)
 
     def add(self, metric: str, values: DataFrame, n_unique: str | None, n_reads: str, region: str | None = None) -> ReadStats:
-        zero = F.lit(None).cast("long")
+        number = (F.col(region) if region else F.lit(None)).cast("int")
+        if region:
+            wrong = F.raise_error(F.lit("no such region")).cast("int")
+            number = F.when((number > self.n_regions) | (number < 1) | number.isNull(), wrong).otherwise(number)
         new = values.select(
             "sample",
             F.lit(metric).alias("metric"),
-            (F.col(region) if region else F.lit(None)).cast("int").alias("region"),
-            (F.col(n_unique) if n_unique else zero).cast("long").alias("n_unique"),
+            number.alias("region"),
+            (F.col(n_unique) if n_unique else F.lit(None)).cast("long").alias("n_unique"),
             F.col(n_reads).cast("long").alias("n_reads"),
+            F.lit(self.added).alias("turn"),
         )
-        if not region:
-            return ReadStats(self.rows.unionByName(new), self.n_regions)
-        checked = F.when(F.col("region") > self.n_regions, F.raise_error(F.lit("no such region")).cast("int")).otherwise(F.col("region"))
-        new = new.withColumn("region", checked)
-        kept = self.rows.join(new.select("sample", "metric", "region"), ["sample", "metric", "region"], "left_anti")
-        return ReadStats(kept.unionByName(new), self.n_regions)
+        return ReadStats(self.log.unionByName(new), self.n_regions, self.added + 1)
+
+    @property
+    def rows(self) -> DataFrame:
+        if "turn" not in self.log.columns:
+            return self.log
+        last = F.max_by(F.struct("n_unique", "n_reads"), "turn").alias("v")
+        regional = self.log.where("region is not null").groupBy("sample", "metric", "region").agg(last)
+        return self.log.where("region is null").drop("turn").unionByName(regional.select("sample", "metric", "region", "v.*"))
 
     def get(self, sample: str, metric: str) -> int:
-        """The count of a global metric of a sample."""
-        row = self.rows.where((F.col("sample") == sample) & (F.col("metric") == metric) & F.col("region").isNull()).first()
+        """The count of a global metric of a sample, the first one added."""
+        found = self.log.where((F.col("sample") == sample) & (F.col("metric") == metric) & F.col("region").isNull())
+        row = (found.orderBy("turn") if "turn" in found.columns else found).first()
         if row is None:
             raise KeyError(metric)
         return row["n_reads"]

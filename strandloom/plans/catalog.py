@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from strandloom.config import IUPAC, AlgoConfig, PrepConfig, ReportConfig, primers
 from strandloom.functions import dna, hashing, iupac
-from strandloom.operators import match, qc, refdb, regions, report, solve, stats, taxonomy
+from strandloom.operators import match, mixture, qc, refdb, regions, report, solve, stats, taxonomy
 from strandloom.plans import fixture
-from strandloom.plans.staging import stage
-from strandloom.sources import files, sinks
+from strandloom.plans.staging import own_path, stage
+from strandloom.sources import additive, files, sinks, splits
 
 K = fixture.READ_LEN
 PREP, ALGO = PrepConfig(read_len=K), AlgoConfig()
@@ -186,7 +187,7 @@ nz AS (SELECT sample, col, count(*) AS nnz FROM spp GROUP BY ALL),
 inc AS (SELECT DISTINCT sample, i AS col FROM (SELECT a.sample, a.col AS i, b.col AS j, count(*) AS c FROM spp a JOIN spp b ON a.sample = b.sample AND a.region = b.region AND a.seq = b.seq AND a.col <> b.col GROUP BY ALL) q
   JOIN nz ni USING (sample) JOIN nz nj USING (sample) WHERE ni.col = i AND nj.col = j AND c = ni.nnz AND nj.nnz > ni.nnz),
 mtot AS (SELECT sample, sum(n) AS matched FROM (SELECT DISTINCT sample, region, seq, n FROM lik) GROUP BY ALL),
-sy AS (SELECT spp.sample, region, seq, spp.col, p / norm AS a, n / matched AS y, norm, p, n FROM spp JOIN mtot USING (sample) WHERE (spp.sample, spp.col) NOT IN (SELECT sample, col FROM inc)),
+sy AS MATERIALIZED (SELECT spp.sample, region, seq, spp.col, p / norm AS a, n / matched AS y, norm, p, n FROM spp JOIN mtot USING (sample) WHERE (spp.sample, spp.col) NOT IN (SELECT sample, col FROM inc)),
 x0 AS (SELECT sample, col, s / sum(s) OVER (PARTITION BY sample) AS x FROM (SELECT sample, col, sum(a * y) AS s FROM sy GROUP BY ALL)),
 {_step(0)},
 {_step(1)},
@@ -286,13 +287,15 @@ def q10_revcomp(fx):
     return fx.reads.select("s1", dna.complement(F.col("s1")).alias("other"), dna.revcomp(F.col("s1")).alias("turned")).distinct()
 
 
-@query(f"SELECT region, 'fwd' AS side, v AS variant FROM (VALUES {_variants(False)}) AS t(region, v) UNION ALL SELECT region, 'rev', v FROM (VALUES {_variants(True)}) AS t(region, v)", False)
+@query("""SELECT bact_id, region, coded, replace(replace(coded, 'R', x), 'Y', y) AS variant
+FROM (SELECT bact_id, region, concat(substr(kmer, 1, bact_id % 12), 'R', substr(kmer, bact_id % 12 + 2, 9), 'Y') AS coded FROM fx_ref WHERE kmer IS NOT NULL)
+CROSS JOIN (VALUES ('A'), ('G')) AS p(x) CROSS JOIN (VALUES ('C'), ('T')) AS q(y)""")
 def q11_iupac_expand(fx):
-    rows = []
-    for p in primers():
-        rows += [(p.region, "fwd", p.forward), (p.region, "rev", dna.revcomp_text(p.reverse))]
-    sides = fx.spark.createDataFrame(rows, "region int, side string, primer string")
-    return iupac.expand_column(sides, "primer").select("region", "side", "variant")
+    """Reference k-mers with two ambiguity codes put in, spelled out."""
+    at = (F.col("bact_id") % 12).cast("int")
+    coded = F.concat(F.substring("kmer", F.lit(1), at), F.lit("R"), F.substring("kmer", at + 2, F.lit(9)), F.lit("Y"))
+    rows = fx.ref.where("kmer is not null").select("bact_id", "region", coded.alias("coded"))
+    return iupac.expand_column(rows, "coded").select("bact_id", "region", "coded", "variant")
 
 
 @query("SELECT sample, r1, r2, region, d_forward, d_reverse FROM dist")
@@ -407,12 +410,54 @@ def q29_em_step3(fx):
     return x.withColumn("x", F.round("x", 7))
 
 
-@query()
+def _recursive(cfg: AlgoConfig) -> str:
+    """``em``: every update of every sample up to the one that meets the tolerance, which is marked ``done``."""
+    prune = f"WHERE NOT (NOT done AND step % {cfg.prune_every} = 0 AND x < {cfg.zero!r})" if cfg.prune_every else ""
+    return f"""em AS (SELECT sample, col, x, 0 AS step, false AS done FROM x0 UNION ALL
+SELECT * FROM (SELECT sample, col, x, step, sum(e) OVER (PARTITION BY sample) < {cfg.tol!r} OR step = {cfg.num_iter} AS done FROM (
+  SELECT sample, col, any_value(x) * sum(a * y / (t + 2.220446049250313e-16)) AS x, any_value(step) + 1 AS step, abs(1 - sum(a * y / (t + 2.220446049250313e-16))) * any_value(x) AS e
+  FROM (SELECT sample, col, a, y, x, step, sum(a * x) OVER (PARTITION BY sample, region, seq) AS t FROM sy JOIN em USING (sample, col) WHERE NOT done) GROUP BY sample, col)) {prune}),
+solved AS (SELECT sample, col, x / sum(x) OVER (PARTITION BY sample) AS x, step AS iterations FROM em WHERE done AND x > {cfg.zero!r})"""
+
+
+def recursive_query(cfg: AlgoConfig, sql: str):
+    def add(f):
+        query()(f)
+        ORACLE[f.__name__] = f"WITH RECURSIVE {STAGES},\n{_recursive(cfg)}\n{sql}"
+        return f
+
+    return add
+
+
+_SOLVED = "SELECT sample, col, round(x, 7) AS x, iterations FROM solved"
+SPREAD = AlgoConfig(distribute_above=0)
+#: A cut so high that columns of the fixture fall below it.
+PRUNED = AlgoConfig(prune_every=3, zero=0.034)
+
+
+@recursive_query(ALGO, "SELECT sample, col, round(x / norm / sum(x / norm) OVER (PARTITION BY sample), 6) AS freq FROM solved JOIN (SELECT DISTINCT sample, col, norm FROM sy) USING (sample, col)")
 def q30_em_converged(fx):
     system = fx.system
     return solve.frequencies(solve.em(system, ALGO), system, ALGO).withColumn("freq", F.round("freq", 6))
 
 
+@recursive_query(SPREAD, _SOLVED)
+def q50_em_distributed(fx):
+    """Each sample's rows in blocks over tasks, until it meets the tolerance."""
+    return solve.em(fx.system, SPREAD).where("x > 0").withColumn("x", F.round("x", 7))
+
+
+@recursive_query(PRUNED, _SOLVED)
+def q51_em_compacted(fx):
+    """Tiny columns leave the system every few updates."""
+    return solve.em(fx.system, PRUNED).where("x > 0").withColumn("x", F.round("x", 7))
+
+
+@recursive_query(replace(PRUNED, prune_every=2), _SOLVED)
+def q51_em_distributed_compacted(fx):
+    return mixture.solve_blocks(fx.system, replace(PRUNED, prune_every=2), block_entries=200).where("x > 0").withColumn("x", F.round("x", 7))
+
+
 @query("SELECT sample, col, reads FROM asg")
 def q31_read_assignment(fx):
     return solve.assigned_reads(fx.system, fx.frequencies())
@@ -576,6 +621,115 @@ def q49_group_regions(fx):
     return solve.amplified_regions(fx.groups, fx.ref).withColumn("amplified", flags)
 
 
+@query("SELECT * FROM uni")
+def q52_incremental_uniques(fx):
+    """Three batches, as of lanes, join a store one after another; it holds what one run over all gives."""
+    store = additive.UniqueStore(fx.spark, own_path(fx.spark, "unique-store"))
+    lane = F.pmod(F.crc32(F.col("pair_key").cast("binary")), F.lit(3))
+    for k in range(3):
+        store.add([f"lane {k}"], fx.reads.where(lane == k), PREP)
+        if k == 1:
+            store.compact()
+    return qc.tally_uniques(store.tally())
+
+
+@query("SELECT sample, count(*)::BIGINT AS loaded, count(*) FILTER (is_long)::BIGINT AS long, count(*) FILTER (is_long AND is_good)::BIGINT AS good FROM qc GROUP BY sample")
+def q52_tally_counts(fx):
+    """Read counts from the tally that unique reads come from too."""
+    return qc.tally_counts(qc.tally(fx.reads, PREP), PREP)
+
+
+@query("SELECT sample, concat(sample, '_L001_R1_001.fastq') AS pair_key, row_number() OVER (PARTITION BY sample ORDER BY pair_key, s1, q1, s2, q2) - 1 AS record_no, pair_key AS h1, s1, q1, pair_key AS h2, s2, q2 FROM fx_reads")
+def q53_split_files(fx):
+    """The fixture as a pair of FASTQ files a sample, read in ranges of some kilobytes."""
+    path = own_path(fx.spark, "fastq")
+    for mate in (1, 2):
+        record = F.format_string("@%s\n%s\n+\n%s", "pair_key", f"s{mate}", f"q{mate}")
+        rows = fx.reads.repartition("sample").sortWithinPartitions("sample", "pair_key", "s1", "q1", "s2", "q2").select("sample", record.alias("value"))
+        sinks.write_named_text(rows, path, "sample", lambda sample, mate=mate: f"{sample}/{sample}_L001_R{mate}_001.fastq")
+    return splits.read_files(fx.spark, path, range_bytes=100_000)
+
+
+_WARM = """rm AS (SELECT sample, col AS gone FROM x2),
+w0 AS (SELECT sample, gone, col, x / sum(x) OVER (PARTITION BY sample, gone) AS x FROM rm JOIN x2 USING (sample) WHERE col <> gone)"""
+
+
+def _warm_step(k: int) -> str:
+    return f"""w{k + 1} AS (SELECT sample, gone, col, any_value(x) * sum(a * y / (t + 2.220446049250313e-16)) AS x FROM (
+  SELECT sample, gone, col, a, y, x, sum(a * x) OVER (PARTITION BY sample, gone, region, seq) AS t FROM sy JOIN w{k} USING (sample, col)) GROUP BY sample, gone, col)"""
+
+
+@query()
+def q54_leave_one_out(fx):
+    """The log-likelihood without each column, two updates from where the others stood."""
+    x = solve.em_init(fx.system)
+    for _ in range(2):
+        x = solve.em_step(fx.system, x)
+    out = mixture.likelihood_without(fx.system, stage(x, "warm"), AlgoConfig(num_iter=2, tol=0.0), per_task=4)
+    return out.withColumn("loglik", F.round("loglik", 6))
+
+
+ORACLE["q54_leave_one_out"] = f"""WITH {STAGES}, {_WARM}, {_warm_step(0)}, {_warm_step(1)},
+wf AS (SELECT sample, gone, col, x / sum(x) OVER (PARTITION BY sample, gone) AS x FROM w2 WHERE x > 1e-10),
+th AS (SELECT sample, gone, region, seq, sum(a * x) AS t FROM sy JOIN wf USING (sample, col) GROUP BY ALL),
+rw AS (SELECT DISTINCT sample, region, seq, y FROM sy)
+SELECT sample, gone AS col, round(sum(y * ln(coalesce(t, 0) + 2.220446049250313e-16)), 6) AS loglik FROM rm JOIN rw USING (sample) LEFT JOIN th USING (sample, gone, region, seq) GROUP BY sample, gone"""
+
+
+def _augment_round(k: int, limit: int) -> str:
+    """Reads not near an older k-mer, against the newest."""
+    newest = "km" if k == 0 else f"nw{k - 1}"
+    known = " UNION ALL ".join(["SELECT region, kmer_id FROM km", *(f"SELECT region, kmer_id FROM nw{i}" for i in range(k))])
+    of = " UNION ALL ".join(["SELECT bact_id, region, kmer_id FROM bk", *(f"SELECT bact_id, region, kmer_id FROM bo{i}" for i in range(k))])
+    settled = " ".join(f"AND (region, seq) NOT IN (SELECT region, seq FROM nr{i})" for i in range(k))
+    return f"""nr{k} AS (SELECT region, seq, kmer_id, hamming(seq, kmer) AS d FROM frq JOIN {newest} USING (region) WHERE length(seq) = length(kmer) AND hamming(seq, kmer) <= {limit} {settled}),
+bs{k} AS (SELECT region, seq, min(d) AS d FROM nr{k} GROUP BY ALL),
+nw{k} AS (SELECT region, seq AS kmer, top + row_number() OVER (PARTITION BY region ORDER BY seq) AS kmer_id FROM bs{k} JOIN (SELECT region, max(kmer_id) AS top FROM ({known}) GROUP BY region) USING (region) WHERE d > 0),
+bo{k} AS (SELECT DISTINCT bact_id, region, nw{k}.kmer_id FROM nr{k} JOIN bs{k} USING (region, seq, d) JOIN nw{k} ON nw{k}.region = nr{k}.region AND nw{k}.kmer = nr{k}.seq
+  JOIN ({of}) o ON o.region = nr{k}.region AND o.kmer_id = nr{k}.kmer_id) """.replace("SELECT DISTINCT bact_id, region,", f"SELECT DISTINCT bact_id, nr{k}.region,")
+
+
+@query()
+def q55_augmented_reference(fx):
+    """Frequent reads one mismatch away join the reference, then those one away from them."""
+    of = refdb.bact_kmers(fx.ref, fx.kmers)
+    known, grown = refdb.augment(fx.kept_reads, fx.kmers, of, ALGO, MAX_LEN, least=2, limit=1, rounds=3)
+    return known.join(grown.groupBy("region", "kmer_id").agg(F.count("*").alias("n_bact"), F.sum("bact_id").alias("sum_bact")), ["region", "kmer_id"])
+
+
+ORACLE["q55_augmented_reference"] = f"""WITH {STAGES}, frq AS (SELECT DISTINCT region, seq FROM keep WHERE n > 2),
+{_augment_round(0, 1)}, {_augment_round(1, 1)}, {_augment_round(2, 1)}
+SELECT region, kmer_id::INT AS kmer_id, kmer, count(*)::BIGINT AS n_bact, sum(bact_id)::BIGINT AS sum_bact
+FROM (SELECT * FROM km UNION ALL SELECT region, kmer, kmer_id FROM nw0 UNION ALL SELECT region, kmer, kmer_id FROM nw1 UNION ALL SELECT region, kmer, kmer_id FROM nw2)
+JOIN (SELECT * FROM bk UNION ALL SELECT * FROM bo0 UNION ALL SELECT * FROM bo1 UNION ALL SELECT * FROM bo2) USING (region, kmer_id) GROUP BY ALL"""
+
+
+@query("""SELECT sample, 'loaded' AS metric, 0 AS region, -1::BIGINT AS n_unique, count(*)::BIGINT AS n_reads FROM qc GROUP BY sample
+UNION ALL SELECT sample, 'loaded', 0, -1, count(*) FILTER (is_long AND is_good) FROM qc GROUP BY sample
+UNION ALL SELECT coalesce(k.sample, r.sample), 'in region', coalesce(k.region, r.region), coalesce(k.u, r.u), coalesce(k.n, r.n)
+FROM (SELECT sample, region, count(*) AS u, sum(n)::BIGINT AS n FROM reg2 GROUP BY ALL) r FULL JOIN (SELECT sample, region, count(*) AS u, sum(n)::BIGINT AS n FROM keep WHERE region > 2 GROUP BY ALL) k ON k.sample = r.sample AND k.region = r.region""")
+def q56_stats_upsert(fx):
+    """Global counts append; regional ones replace those of their name and region."""
+    sizes, counted = regions.totals(fx.region_reads), qc.counts(fx.reads, PREP)
+    table = stats.ReadStats.empty(fx.spark).add("loaded", counted, None, "loaded").add("loaded", counted, None, "good")
+    table = table.add("in region", sizes, "n_unique", "n_reads", "region")
+    return table.add("in region", regions.totals(fx.kept_reads).where("region > 2"), "n_unique", "n_reads", "region").rows.na.fill({"region": 0, "n_unique": -1})
+
+
+ENDS = PrepConfig(read_len=K, paired=False, either_end=True)
+
+
+@query(f"""SELECT sample, region, CASE WHEN dr <= 2 THEN substr(r1, 1, length(r1) - length(rev)) ELSE substr(r1, length(fwd) + 1) END AS seq, CASE WHEN dr <= 2 THEN -1 ELSE 1 END::INT AS side, sum(n)::BIGINT AS n
+FROM (SELECT e.*, p.region, p.fwd, p.rev, (SELECT min(hamming(substr(e.r1, 1, length(v)), v)) FROM fv WHERE fv.region = p.region) AS df, (SELECT min(hamming(right(e.r1, length(v)), v)) FROM rv WHERE rv.region = p.region) AS dr
+  FROM (SELECT sample, r1, count(*) AS n FROM (SELECT sample, r1 FROM good UNION ALL SELECT sample, {fixture.rc('r2')} FROM good) GROUP BY ALL) e CROSS JOIN fx_primers p)
+WHERE dr <= 2 OR df <= 2 GROUP BY ALL""")
+def q57_either_end(fx):
+    """Single reads, the second mates turned round, routed by the primer that they begin or end with."""
+    good = qc.good_reads(fx.reads, PREP)
+    ends = good.select("sample", F.explode(F.array("r1", dna.revcomp(F.col("r2")))).alias("r1"), F.lit("").alias("r2"))
+    return regions.collapse(regions.assign(qc.unique_reads(ends), ENDS))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The read funnel of every sample."""
     return QUERIES["q39_stats_funnel"](spark, sf_dir)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import Config, db_paths, get_config
 from strandloom.operators import match, qc, refdb, regions, report, solve, stats, taxonomy
-from strandloom.sources import files, reference, sinks
+from strandloom.sources import additive, files, reference, sinks, splits
 
 log = logging.getLogger("strandloom")
 
@@ -40,9 +40,14 @@ class Profile:
 
 def profile(reads: DataFrame, ref: DataFrame, taxa: DataFrame, cfg: Config, keep=lambda df, name: df) -> Profile:
     """All stages. ``keep(df, name)`` may write a stage and read it back."""
-    spark = reads.sparkSession
-    counted = keep(qc.counts(reads, cfg.prep), "qc")
-    uni = keep(qc.unique_reads(qc.good_reads(reads, cfg.prep)), "unireads")
+    return profile_tally(keep(qc.tally(reads, cfg.prep), "tally"), ref, taxa, cfg, keep)
+
+
+def profile_tally(tallied: DataFrame, ref: DataFrame, taxa: DataFrame, cfg: Config, keep=lambda df, name: df) -> Profile:
+    """All stages from a tally of the reads on, which may come from a store of many batches."""
+    spark = tallied.sparkSession
+    counted = keep(qc.tally_counts(tallied, cfg.prep), "qc")
+    uni = keep(qc.tally_uniques(tallied), "unireads")
     region_reads = keep(regions.collapse(regions.assign(uni, cfg.prep, cfg.primers)), "region_reads")
     filtered = keep(match.abundant(region_reads, cfg.algo), "filtered")
     ref = refdb.subsample(ref, cfg.algo.prob_amp, cfg.algo.seed)
@@ -70,23 +75,25 @@ def run(
     generate_group_results: bool = False,
     cfg: Config | None = None,
     flat: bool = False,
+    store: str | None = None,
 ) -> dict[str, str]:
     """Profile every sample below ``reads_dir`` and write the reports; returns their paths.
 
     Without a taxonomy only ``groups`` is reported; with one ``species`` is, and
-    ``groups`` too if group results are asked for.
+    ``groups`` too if group results are asked for.  With a ``store`` only files
+    that it has not are read; they join it, and all it holds is profiled.
     """
     cfg = cfg or get_config(kmer_len)
     out_dir = os.path.dirname(results)
     if "://" not in results and out_dir and not os.path.isdir(out_dir):
         log.error("no such folder: %s", out_dir)
         return {}
-    good, bad = files.skip_invalid(spark, reads_dir)
+    good, bad = files.skip_invalid(spark, reads_dir, cfg.prep.paired)
     for d in [] if flat else bad:
         log.warning("skipped %s: no read files, an odd number, or a first one without its second", d)
     if not flat and not good:
         log.error("no sample below %s", reads_dir)
-    reads = files.read_files(spark, reads_dir, cfg.prep.paired, flat, [] if flat else bad)
+    skip = [] if flat else bad
     paths = db_paths(db_dir, db_name)
     halves = reference.read_reference(spark, paths["regions"], list(cfg.regions))
     ref = refdb.project(halves, cfg.prep.read_len, cfg.algo.const_len, cfg.prep.with_primer, cfg.primers)
@@ -94,7 +101,16 @@ def run(
     catalog = reference.read_catalog(spark, db_dir, db_name, generate_group_results)
     taxa, known = reference.read_taxonomy(spark, db_dir, catalog)
     stages = f"{results}_stages"
-    found = profile(reads, ref, taxa, cfg, keep=lambda df, name: sinks.save_stage(df, f"{stages}/{name}"))
+    sinks.clear(spark, results, stages)
+    keep = lambda df, name: sinks.save_stage(df, f"{stages}/{name}")
+    if store:
+        kept = additive.UniqueStore(spark, store)
+        new = kept.missing([p.r1 for p in files.read_pairs(reads_dir, cfg.prep.paired, flat, skip)])
+        if new:
+            kept.add(new, splits.read_files(spark, reads_dir, cfg.prep.paired, flat, skip, only=new), cfg.prep)
+        found = profile_tally(kept.tally(), ref, taxa, cfg, keep)
+    else:
+        found = profile(splits.read_files(spark, reads_dir, cfg.prep.paired, flat, skip), ref, taxa, cfg, keep)
     sinks.write_unique_fasta(found.unireads, f"{stages}/unique_fasta")
     samples = sorted(r["sample"] for r in found.qc.select("sample").collect())
     sources = report.group_sources(found.members, catalog) if cfg.report.print_resolution else None
@@ -108,7 +124,7 @@ def run(
         written[name] = sinks.report_path(results, name)
         sinks.write_table(report.community_rows(report.pivot(by, samples), samples, total, level, cfg.report), written[name])
         if sources is not None:
-            sizes = report.mean_sources(top, sources).join(by.select("path").distinct(), "path", "left_semi")
+            sizes = report.mean_sources(top, sources, strict=True).join(by.select("path").distinct(), "path", "left_semi")
             wide = report.pivot(sizes.withColumn("mean_sources", F.round("mean_sources")), samples, "mean_sources")
             written[f"{name} sizes"] = sinks.report_path(results, name, "GroupSizes_")
             rows = report.community_rows(wide, samples, total, level, replace(cfg.report, write_counts=False))
@@ -117,7 +133,7 @@ def run(
     rows = [["Sample name", *table.columns[1:]]] + [[r[0], *("NaN" if v is None else str(v) for v in r[1:])] for r in table.collect()]
     for r in rows[1:]:
         log.info("%s", report.progress(dict(zip(rows[0], r, strict=True)), cfg.regions))
-    written["stats"] = sinks.report_path(results, "ReadCountStats").replace("READCOUNTSTATS", "ReadCountStats")
+    written["stats"] = sinks.stats_path(results)
     sinks.write_table(rows, written["stats"])
     if generate_group_results:
         sinks.write_group_fasta(found.members, catalog, f"{stages}/group_fasta")

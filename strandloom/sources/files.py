@@ -74,23 +74,29 @@ def _fs(path: str):
     return fs.LocalFileSystem(), path
 
 
-def list_files(path: str) -> list[tuple[str, str]]:
-    """``(directory, name)`` of all files below a path of any store Arrow knows."""
+def sized_files(path: str) -> list[tuple[str, str, int]]:
+    """``(directory, name, size)`` of all files below a path of any store Arrow knows."""
     from pyarrow import fs
 
     store, base = _fs(path)
     found = store.get_file_info(fs.FileSelector(base, recursive=True))
-    return sorted((x.path.rsplit("/", 1)[0], x.base_name) for x in found if x.is_file)
+    return sorted((x.path.rsplit("/", 1)[0], x.base_name, x.size) for x in found if x.is_file)
+
+
+def list_files(path: str) -> list[tuple[str, str]]:
+    """``(directory, name)`` of all files below a path."""
+    return [(d, n) for d, n, _ in sized_files(path)]
 
 
 def open_text(path: str) -> Iterator[str]:
-    """Lines of a plain, gzipped or zipped file. Inputs are never changed."""
+    """Lines of a plain, gzipped or zipped file, streamed: no file is held whole. Inputs are never changed."""
     store, at = _fs(path)
-    with store.open_input_stream(at, compression=None) as raw:
-        if path.endswith(".gz"):
+    kind = path.lower()
+    with store.open_input_file(at) if kind.endswith(".zip") else store.open_input_stream(at, compression=None) as raw:
+        if kind.endswith(".gz"):
             raw = gzip.GzipFile(fileobj=raw)
-        elif path.endswith(".zip"):
-            held = zipfile.ZipFile(io.BytesIO(raw.read()))
+        elif kind.endswith(".zip"):
+            held = zipfile.ZipFile(raw)
             raw = held.open(held.namelist()[0])
         yield from (x.rstrip("\r\n") for x in io.TextIOWrapper(raw, encoding="ascii", errors="replace"))
 
@@ -125,8 +131,28 @@ def records(path: str) -> Iterator[tuple[str, str, str | None]]:
 
 
 class ReadPairs(InputPartition):
-    def __init__(self, sample: str, r1: str, r2: str | None) -> None:
-        self.sample, self.r1, self.r2 = sample, r1, r2
+    def __init__(self, sample: str, r1: str, r2: str | None, size1: int, size2: int | None) -> None:
+        self.sample, self.r1, self.r2, self.size1, self.size2 = sample, r1, r2, size1, size2
+
+
+def read_pairs(path: str, paired: bool = True, flat: bool = False, skip=()) -> list[ReadPairs]:
+    """Read files below ``path`` by sample, mates together, with their sizes."""
+    sizes = {(d, n): size for d, n, size in sized_files(path) if KINDS.search(n) and d not in skip}
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+    out = []
+    for (d, n), size in sizes.items():
+        sample = sample_name(n) if flat else (sample_name(n) or d.rsplit("/", 1)[-1])
+        if not sample:
+            continue
+        if not paired:
+            out.append(ReadPairs(sample, f"{scheme}{d}/{n}", None, size, None))
+        elif "_R1_" in n:
+            third, second = n.replace("_R1_", "_R3_"), n.replace("_R1_", "_R2_")
+            mate = third if flat and (d, third) in sizes else second
+            if (d, mate) not in sizes:
+                raise ValueError(f"no second reads for {n}")
+            out.append(ReadPairs(sample, f"{scheme}{d}/{n}", f"{scheme}{d}/{mate}", size, sizes[d, mate]))
+    return out
 
 
 class ReadsReader(DataSourceReader):
@@ -137,23 +163,7 @@ class ReadsReader(DataSourceReader):
         self.skip = set(json.loads(options.get("skip", "[]")))
 
     def partitions(self):
-        files = [(d, n) for d, n in list_files(self.path) if KINDS.search(n) and d not in self.skip]
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
-        names = set(files)
-        out = []
-        for d, n in files:
-            sample = sample_name(n) if self.flat else (sample_name(n) or d.rsplit("/", 1)[-1])
-            if not sample:
-                continue
-            if not self.paired:
-                out.append(ReadPairs(sample, f"{scheme}{d}/{n}", None))
-            elif "_R1_" in n:
-                third, second = n.replace("_R1_", "_R3_"), n.replace("_R1_", "_R2_")
-                mate = third if self.flat and (d, third) in names else second
-                if (d, mate) not in names:
-                    raise ValueError(f"no second reads for {n}")
-                out.append(ReadPairs(sample, f"{scheme}{d}/{n}", f"{scheme}{d}/{mate}"))
-        return out
+        return read_pairs(self.path, self.paired, self.flat, self.skip)
 
     def read(self, part):
         from itertools import zip_longest
@@ -204,16 +214,17 @@ def read_files(spark: SparkSession, path: str, paired: bool = True, flat: bool =
     return reader.option("skip", json.dumps(skip or [])).load(path)
 
 
-def skip_invalid(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+def skip_invalid(spark: SparkSession, path: str, paired: bool = True) -> tuple[list[str], list[str]]:
     """Sample directories below ``path`` that can be used, and those that can't.
 
-    A directory needs read files, an even number of them, and a second read file for each first one.
+    A directory needs read files of a kind that the reader takes; for pairs an
+    even number of them, and a second read file for each first one.
     """
-    files = [(d, n) for d, n in list_files(path)]
-    counts: dict[str, int] = {}
+    files = list_files(path)
+    reads: dict[str, set[str]] = {d: set() for d, _ in files}
     for d, n in files:
-        counts[d] = counts.get(d, 0) + ("fastq" in n)
-    names = set(files)
-    alone = {d for d, n in files if KINDS.search(n) and "_R1_" in n and (d, n.replace("_R1_", "_R2_")) not in names}
-    good = [d for d, n in counts.items() if n and n % 2 == 0 and d not in alone]
-    return sorted(good), sorted(set(counts) - set(good))
+        if KINDS.search(n):
+            reads[d].add(n)
+    usable = lambda names: len(names) % 2 == 0 and all(n.replace("_R1_", "_R2_") in names for n in names if "_R1_" in n)
+    good = [d for d, names in reads.items() if names and (not paired or usable(names))]
+    return sorted(good), sorted(set(reads) - set(good))

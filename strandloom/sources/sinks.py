@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 from strandloom.functions.hashing import members_hash
 from strandloom.operators.ordinal import ordinals
 from strandloom.operators.report import line
+from strandloom.plans.staging import _store
 from strandloom.sources.files import _fs
 
 
+def clear(spark, results: str, stages: str) -> None:
+    """Delete what an earlier run left under the same name: stages, also those this run does not write, and reports.
+
+    Reports are told by the names they get; other files of the folder stay.
+    """
+    reports = [report_path(results, n, k) for n in ("species", "groups") for k in ("", "GroupSizes_")] + [stats_path(results)]
+    for path in (stages, *reports):
+        at, fs = _store(spark, path)
+        if fs.exists(at):
+            fs.delete(at, True)
+
+
 def save_stage(df: DataFrame, path: str) -> DataFrame:
     """Write a stage by sample and region and read it back; what an earlier run left there goes.
 
@@ -30,6 +43,20 @@ def numbered(uni: DataFrame) -> DataFrame:
     return rows.join(width, "sample").withColumn("header", F.lpad(F.col("i").cast("string"), F.col("width"), F.lit("0"))).select(*uni.columns, "header")
 
 
+def write_named_text(rows: DataFrame, path: str, by: str, name) -> None:
+    """``value`` of each value of ``by`` as one text file, named by ``name(value)`` below ``path``; its rows must be in one task, in order."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").partitionBy(by).text(f"{path}/_writing")
+    at, fs = _store(spark, f"{path}/_writing/{by}=*/part-*")
+    for found in fs.globStatus(at) or []:
+        value = found.getPath().getParent().getName().split("=", 1)[1]
+        to, _ = _store(spark, f"{path}/{name(value)}")
+        fs.mkdirs(to.getParent())
+        if not fs.rename(found.getPath(), to):
+            raise OSError(f"could not write {to}")
+    fs.delete(_store(spark, f"{path}/_writing")[0], True)
+
+
 def fasta(header, seq):
     return F.concat(F.lit(">"), header, F.lit("\n"), seq)
 
@@ -61,3 +88,7 @@ def report_path(results: str, level: str, kind: str = "") -> str:
     """``dir/name`` to ``dir/<kind><LEVEL>_name``."""
     head, _, tail = results.rpartition("/")
     return f"{head}/{kind}{level.upper()}_{tail}" if head else f"{kind}{level.upper()}_{tail}"
+
+
+def stats_path(results: str) -> str:
+    return report_path(results, "", "ReadCountStats")

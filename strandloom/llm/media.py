@@ -4,8 +4,10 @@
 a program map table, and one elementary stream of packetised units, each with a
 presentation timestamp and a random-access point with a clock reference.
 ``read_stream`` parses any stream of that kind again: it follows the tables,
-checks table checksums and continuity counters, reassembles the elementary
-packets and lists timestamps and random-access points.
+whose sections may go over several packets, checks their checksums and all
+continuity counters, leaves out packets sent twice, reassembles the elementary
+packets and lists timestamps, clock references and random-access points, those
+that a unit begins at with its time.
 
 Defined results: null media give null columns; a null text is an empty payload;
 damaged streams raise no error but are counted in ``errors``; repeated rows give
@@ -115,70 +117,133 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packet: bytes) -> bytes | None:
-    """The section a table packet holds, without its checksum; None if damaged."""
-    at = 4
-    if packet[3] & 0x20:
-        at += 1 + packet[4]
-    at += 1 + packet[at]
-    if at + 3 > PACKET:
-        return None
-    size = 3 + ((packet[at + 1] & 0x0F) << 8 | packet[at + 2])
-    section = packet[at : at + size]
-    if len(section) < size or crc32_mpeg(section):
+def _bodies(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of one stream's packets: those that carry a body, where it begins, where the count breaks, and errors.
+
+    A packet may be sent twice, with the same counter and body; the copy is left
+    out.  A break of the count is an error, unless the packet announces it.
+    """
+    flags, field = rows[:, 3], (rows[:, 3] & 0x20) > 0
+    size = 4 + np.where(field, 1 + rows[:, 4].astype(np.int32), 0)
+    carries = np.flatnonzero((flags & 0x10) > 0)
+    size, counters = size[carries], (flags & 15).astype(np.int32)[carries]
+    if not len(carries):
+        return carries, size, np.zeros(0, bool), 0
+    body = np.where(np.arange(PACKET) >= size[:, None], rows[carries], 0)
+    step = np.append(1, (counters[1:] - counters[:-1]) % 16)
+    same = np.append(False, (size[1:] == size[:-1]) & (body[1:] == body[:-1]).all(axis=1)) & (step == 0)
+    # one copy is allowed, a copy of a copy is not
+    errors = int((same[1:] & same[:-1]).sum())
+    announced = field[carries] & (size > 5) & ((rows[carries, 5] & 0x80) > 0)
+    broken = ~same & (step != 1) & ~announced
+    keep = ~same
+    return carries[keep], size[keep], broken[keep], errors + int(broken.sum())
+
+
+def _sections(rows: np.ndarray) -> tuple[list[bytes], int]:
+    """The sections of a table's packets, without their checksums, and errors; a section may go over several packets."""
+    own, at, broken, errors = _bodies(rows)
+    found, held, is_open = [], b"", False
+
+    def take() -> None:
+        nonlocal held, is_open, errors
+        while len(held) >= 3 and held[0] != 0xFF:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if len(held) < size:
+                return
+            if crc32_mpeg(held[:size]):
+                errors += 1
+            else:
+                found.append(held[: size - 4])
+            held = held[size:]
+        if held[:1] == b"\xff" or not held:  # what follows the last section is filled up
+            held, is_open = b"", False
+
+    for i, a, gap in zip(own.tolist(), at.tolist(), broken.tolist(), strict=True):
+        body = rows[i, a:].tobytes()
+        if gap:
+            held, is_open = b"", False
+        if rows[i, 1] & 0x40:
+            pointer = body[0] if body else 0
+            if pointer >= max(len(body), 1):
+                errors, held, is_open = errors + 1, b"", False
+                continue
+            if is_open:
+                held += body[1 : 1 + pointer]
+                take()
+                errors += bool(held)
+            held, is_open = body[1 + pointer :], True
+        elif is_open:
+            held += body
+        else:  # in the middle of a section whose start is not there
+            errors += 1
+            continue
+        take()
+    return found, errors + bool(held)
+
+
+def _pts(unit: bytes) -> int | None:
+    if not unit[7] & 0x80 or len(unit) < 14:
         return None
-    return section[:-4]
+    p = unit[9:14]
+    return (p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1
 
 
 def demux(media: bytes) -> dict:
-    """Payload, timestamps, random-access points and errors of a stream.
+    """Payload, timestamps, random-access points, clock references and errors of a stream.
 
-    ``random_access`` holds the packet numbers whose adaptation field marks one.
+    ``random_access`` holds the packet numbers whose adaptation field marks one,
+    ``points`` those that a unit begins at, with its timestamp.  Bytes before the
+    first unit, as in a stream cut off at its start, are an error and ``lost``.
     """
     errors = int(len(media) % PACKET > 0)
     rows = np.frombuffer(media, np.uint8, len(media) // PACKET * PACKET).reshape(-1, PACKET)
-    good = rows[:, 0] == SYNC
+    # a receiver may mark a packet as damaged
+    good = (rows[:, 0] == SYNC) & ((rows[:, 1] & 0x80) == 0)
     errors += int((~good).sum())
     head = rows[:, 1:4].astype(np.int32)
     pids = (head[:, 0] & 0x1F) << 8 | head[:, 1]
     programs, streams = {}, {}
-    for i in np.flatnonzero(good & (pids == 0)):
-        section = _read_section(rows[i].tobytes())
-        if section is None:
-            errors += 1
-            continue
+    sections, wrong = _sections(rows[good & (pids == 0)])
+    errors += wrong
+    for section in sections:
         for j in range(8, len(section) - 3, 4):
             number, pid = struct.unpack_from(">HH", section, j)
-            if number:
+            if number and section[0] == 0:
                 programs[number] = pid & 0x1FFF
-    for pid in programs.values():
-        for i in np.flatnonzero(good & (pids == pid)):
-            section = _read_section(rows[i].tobytes())
-            if section is None:
-                errors += 1
+    for pid in sorted(set(programs.values())):
+        sections, wrong = _sections(rows[good & (pids == pid)])
+        errors += wrong
+        for section in sections:
+            if section[0] != 2 or len(section) < 12:
                 continue
             j = 12 + ((section[10] & 0x0F) << 8 | section[11])
             while j + 5 <= len(section):
                 kind, es, info = struct.unpack_from(">BHH", section, j)
                 streams[es & 0x1FFF] = kind
                 j += 5 + (info & 0x0FFF)
-    payload, stamps, access, units = [], [], [], 0
+    payload, stamps, access, points, clocks, units, lost = [], [], [], [], [], 0, 0
     for pid in sorted(streams):
         own = np.flatnonzero(good & (pids == pid))
-        flags = head[own, 2]
-        field = (flags & 0x20) > 0
-        carries = (flags & 0x10) > 0
-        size = np.where(field, 1 + rows[own, 4].astype(np.int32), 0)
-        marked = field & (size > 1) & ((rows[own, 5] & 0x40) > 0)
-        access += own[marked].tolist()
-        own, size, counters = own[carries], 4 + size[carries], (flags & 15)[carries]
-        errors += int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
+        adaptation = ((head[own, 2] & 0x20) > 0) & (rows[own, 4] > 0)
+        marked = own[adaptation & ((rows[own, 5] & 0x40) > 0)]
+        access += marked.tolist()
+        for i in own[adaptation & ((rows[own, 5] & 0x10) > 0) & (rows[own, 4] > 6)].tolist():
+            clock = int.from_bytes(rows[i, 6:12].tobytes())
+            clocks.append((clock >> 15) * 300 + (clock & 0x1FF))
+        kept, size, _, wrong = _bodies(rows[own])
+        errors += wrong
+        own = own[kept]
         body = rows[own]
         stream = body[np.arange(PACKET) >= size[:, None]].tobytes()
         ends = np.cumsum(np.maximum(PACKET - size, 0))
         begins = (head[own, 0] & 0x40) > 0
         starts = (ends - np.maximum(PACKET - size, 0))[begins].tolist() + [len(stream)]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
+        if starts[0]:
+            errors += 1
+            lost += starts[0]
+        is_marked = set(marked.tolist())
+        for i, a, b in zip(own[begins].tolist(), starts[:-1], starts[1:], strict=True):
             unit = stream[a:b]
             if len(unit) < 9 or unit[:3] != b"\0\0\1":
                 errors += 1
@@ -187,9 +252,11 @@ def demux(media: bytes) -> dict:
             declared = unit[4] << 8 | unit[5]
             if declared and declared + 6 != len(unit):
                 errors += 1
-            if unit[7] & 0x80:
-                p = unit[9:14]
-                stamps.append((p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1)
+            pts = _pts(unit)
+            if pts is not None:
+                stamps.append(pts)
+            if i in is_marked:
+                points.append({"packet": i, "pts": pts})
             payload.append(unit[9 + unit[8] :])
     return {
         "payload": b"".join(payload),
@@ -198,6 +265,9 @@ def demux(media: bytes) -> dict:
         "streams": [f"{p}:{k}" for p, k in sorted(streams.items())],
         "timestamps": stamps,
         "random_access": access,
+        "points": points,
+        "clocks": clocks,
+        "lost": lost,
         "errors": errors,
     }
 
@@ -210,10 +280,13 @@ PARTS = pa.struct(
         ("streams", pa.list_(pa.string())),
         ("timestamps", pa.list_(pa.int64())),
         ("random_access", pa.list_(pa.int64())),
+        ("points", pa.list_(pa.struct([("packet", pa.int64()), ("pts", pa.int64())]))),
+        ("clocks", pa.list_(pa.int64())),
+        ("lost", pa.int64()),
         ("errors", pa.int64()),
     ]
 )
-PARTS_SQL = "struct<payload: binary, packets: long, units: long, streams: array<string>, timestamps: array<long>, random_access: array<long>, errors: long>"
+PARTS_SQL = "struct<payload: binary, packets: long, units: long, streams: array<string>, timestamps: array<long>, random_access: array<long>, points: array<struct<packet: long, pts: long>>, clocks: array<long>, lost: long, errors: long>"
 
 
 def _mapped(df: DataFrame, id_col: str, value_col: str, out: str, kind: pa.DataType, kind_sql: str, step) -> DataFrame:

@@ -1,6 +1,6 @@
-"""The mixture solve across tasks, for samples too large for one.
+"""The mixture solve: of one system in arrays, and across tasks for samples too large for one.
 
-A sample's rows are dealt to blocks of bounded size.  A block is one row of
+Across tasks, a sample's rows are dealt to blocks of bounded size.  A block is one row of
 packed arrays: its columns, and its entries by place in them.  An update gives
 each block the frequencies of its columns, makes expected rows and partial
 factors within the block, and sums the factors by column; only frequencies and
@@ -33,6 +33,11 @@ def _packed_arrays(cols, row, col, a, y) -> dict:
     return {"cols": cols, "row": row.astype("<i4").tobytes(), "col": col.astype("<i4").tobytes(), "a": a.astype("<f8").tobytes(), "y": y.astype("<f8").tobytes()}
 
 
+def with_rows(sys: DataFrame) -> DataFrame:
+    """The system with a number for each row of a sample."""
+    return sys if "row" in sys.columns else sys.withColumn("row", F.xxhash64("region", "seq"))
+
+
 def pack_blocks(sys: DataFrame, block_entries: int | None = BLOCK_ENTRIES) -> DataFrame:
     """``sample, block, cols, row, col, a, y``: the system as blocks of whole rows; without ``block_entries``, one block a sample."""
 
@@ -45,7 +50,7 @@ def pack_blocks(sys: DataFrame, block_entries: int | None = BLOCK_ENTRIES) -> Da
         arrays = _packed_arrays(cols.tolist(), row[order], col[order], frame["a"].to_numpy()[order], y)
         return pd.DataFrame([{"sample": frame["sample"].iloc[0], "block": frame["block"].iloc[0], **arrays}])
 
-    rows = sys.select("sample", F.xxhash64("region", "seq").alias("row"), "col", "a", "y")
+    rows = with_rows(sys).select("sample", "row", "col", "a", "y")
     if block_entries is None:
         return rows.withColumn("block", F.lit(0)).groupBy("sample", "block").applyInPandas(pack, PACKED)
     size = rows.groupBy("sample").agg(F.ceil(F.count("*") / block_entries).cast("int").alias("blocks"))
@@ -72,6 +77,34 @@ def compact(row, col, a, y, alive: np.ndarray):
     return row, (np.cumsum(alive) - 1)[col], a, y[rows]
 
 
+def em_solve(row: np.ndarray, col: np.ndarray, a: np.ndarray, y: np.ndarray, cfg: AlgoConfig, x: np.ndarray | None = None):
+    """Mixture by expectation-maximisation on a sparse system; ``y`` per row.
+
+    Stops when the update moves less than ``tol`` in sum, measured before the
+    update, which still takes effect.  A pruning step takes columns below ``zero``
+    out of the arrays, with the rows that they empty, and numbers the rest anew.
+    Returns frequencies, 0 for columns taken out, and iterations.
+    """
+    n = int(col.max()) + 1
+    if x is None:
+        x = np.bincount(col, a * y[row], n)
+        x = x / x.sum()
+    steps, alive = 0, np.arange(n)
+    for steps in range(1, cfg.num_iter + 1):
+        factor = block_factors(row, col, a, y, x)
+        error = float(np.abs(1 - factor) @ x)
+        x = x * factor
+        if error < cfg.tol:
+            break
+        if cfg.prune_every and steps % cfg.prune_every == 0 and (x < cfg.zero).any():
+            stay = x >= cfg.zero
+            row, col, a, y = compact(row, col, a, y, stay)
+            x, alive = x[stay], alive[stay]
+    out = np.zeros(n)
+    out[alive] = np.where(x > cfg.zero, x, 0)
+    return out / out.sum(), steps
+
+
 def _routes(packed: DataFrame) -> DataFrame:
     """Which blocks a column's frequency goes to, and to which place."""
     return packed.select("sample", "block", F.posexplode("cols").alias("place", "col"))
@@ -196,8 +229,6 @@ def likelihood_without(sys: DataFrame, x: DataFrame, cfg: AlgoConfig, per_task:
 
 
 def _without(gone: int, row, col, a, y, start, cfg: AlgoConfig) -> float:
-    from strandloom.operators.solve import em_solve
-
     alive = np.arange(len(start)) != gone
     lost = np.delete(y, np.unique(row[alive[col]])).sum()
     if not alive.any():

@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandloom.config import EPS, AlgoConfig
-from strandloom.operators.mixture import block_factors, compact, solve_blocks
+from strandloom.operators.mixture import em_solve, scaled, solve_blocks, with_rows
 from strandloom.operators.refdb import FINGERPRINT, fingerprint
+from strandloom.plans.staging import stage
 
 
 def evidence(lik: DataFrame) -> DataFrame:
@@ -55,7 +55,8 @@ def ambiguity_groups(lik: DataFrame, kept: DataFrame) -> DataFrame:
     by those integers, as fingerprints.
     """
     own = lik.join(kept, ["sample", "bact_id"])
-    prints = own.groupBy("sample", "bact_id", "norm").agg(*fingerprint("region", "seq", "len", F.col("d"), F.round(F.log10("p"), 9)))
+    # written, as both sides of the join need it
+    prints = stage(own.groupBy("sample", "bact_id", "norm").agg(*fingerprint("region", "seq", "len", F.col("d"), F.round(F.log10("p"), 9))), "prints")
     least = prints.groupBy("sample", "norm", *FINGERPRINT).agg(F.min("bact_id").alias("representative"))
     return prints.join(least, ["sample", "norm", *FINGERPRINT]).select("sample", "bact_id", "representative", "norm")
 
@@ -125,55 +126,26 @@ def matched_totals(lik: DataFrame) -> DataFrame:
 
 
 def assemble(system: DataFrame, lik: DataFrame) -> DataFrame:
-    """``sample, region, seq, col, a, y``: the scaled system with its right-hand side."""
+    """``sample, region, seq, row, col, a, y``: the scaled system with its right-hand side; ``row`` is a number for region and read."""
     return system.join(matched_totals(lik), "sample").select(
-        "sample", "region", "seq", "col", (F.col("p") / F.col("norm")).alias("a"), (F.col("n") / F.col("matched")).alias("y"), "norm", "p", "n"
+        "sample", "region", "seq", F.xxhash64("region", "seq").alias("row"), "col", (F.col("p") / F.col("norm")).alias("a"), (F.col("n") / F.col("matched")).alias("y"), "norm", "p", "n"
     )
 
 
 def em_init(sys: DataFrame) -> DataFrame:
     """``sample, col, x``: the observations carried back, scaled to sum 1."""
-    x = sys.groupBy("sample", "col").agg(F.sum(F.col("a") * F.col("y")).alias("x"))
-    return x.withColumn("x", F.col("x") / F.sum("x").over(Window.partitionBy("sample")))
+    return scaled(sys.groupBy("sample", "col").agg(F.sum(F.col("a") * F.col("y")).alias("x")))
 
 
 def em_step(sys: DataFrame, x: DataFrame) -> DataFrame:
     """One multiplicative update as joins and sums."""
-    xs = sys.join(x, ["sample", "col"])
-    theta = xs.groupBy("sample", "region", "seq").agg(F.sum(F.col("a") * F.col("x")).alias("theta"))
-    ratio = xs.join(theta, ["sample", "region", "seq"])
+    xs = with_rows(sys).select("sample", "row", "col", "a", "y").join(x, ["sample", "col"])
+    theta = xs.groupBy("sample", "row").agg(F.sum(F.col("a") * F.col("x")).alias("theta"))
+    ratio = xs.join(theta, ["sample", "row"])
     factor = ratio.groupBy("sample", "col", "x").agg(F.sum(F.col("a") * F.col("y") / (F.col("theta") + F.lit(EPS))).alias("f"))
     return factor.select("sample", "col", (F.col("x") * F.col("f")).alias("x"))
 
 
-def em_solve(row: np.ndarray, col: np.ndarray, a: np.ndarray, y: np.ndarray, cfg: AlgoConfig, x: np.ndarray | None = None):
-    """Mixture by expectation-maximisation on a sparse system; ``y`` per row.
-
-    Stops when the update moves less than ``tol`` in sum, measured before the
-    update, which still takes effect.  A pruning step takes columns below ``zero``
-    out of the arrays, with the rows that they empty, and numbers the rest anew.
-    Returns frequencies, 0 for columns taken out, and iterations.
-    """
-    n = int(col.max()) + 1
-    if x is None:
-        x = np.bincount(col, a * y[row], n)
-        x = x / x.sum()
-    steps, alive = 0, np.arange(n)
-    for steps in range(1, cfg.num_iter + 1):
-        factor = block_factors(row, col, a, y, x)
-        error = float(np.abs(1 - factor) @ x)
-        x = x * factor
-        if error < cfg.tol:
-            break
-        if cfg.prune_every and steps % cfg.prune_every == 0 and (x < cfg.zero).any():
-            stay = x >= cfg.zero
-            row, col, a, y = compact(row, col, a, y, stay)
-            x, alive = x[stay], alive[stay]
-    out = np.zeros(n)
-    out[alive] = np.where(x > cfg.zero, x, 0)
-    return out / out.sum(), steps
-
-
 def em(sys: DataFrame, cfg: AlgoConfig) -> DataFrame:
     """``sample, col, x, iterations``, a task per sample; those of more than ``distribute_above`` entries by blocks across tasks."""
     if cfg.distribute_above is None:
@@ -195,22 +167,22 @@ def em_tasks(sys: DataFrame, cfg: AlgoConfig) -> DataFrame:
         x, steps = em_solve(row, col, frame["a"].to_numpy(), y, cfg)
         return pd.DataFrame({"sample": frame["sample"].iloc[0], "col": cols, "x": x, "iterations": steps})
 
-    rows = sys.select("sample", F.xxhash64("region", "seq").alias("row"), "col", "a", "y")
+    rows = with_rows(sys).select("sample", "row", "col", "a", "y")
     return rows.groupBy("sample").applyInPandas(solve, "sample string, col long, x double, iterations int")
 
 
 def frequencies(x: DataFrame, sys: DataFrame, cfg: AlgoConfig) -> DataFrame:
     """``sample, col, freq``: per amplified region, tiny ones cut, scaled to sum 1."""
     norm = sys.select("sample", "col", "norm").distinct()
-    f = x.where(F.col("x") > cfg.zero).join(norm, ["sample", "col"]).withColumn("f", F.col("x") / F.col("norm"))
-    return f.select("sample", "col", (F.col("f") / F.sum("f").over(Window.partitionBy("sample"))).alias("freq"))
+    f = x.where(F.col("x") > cfg.zero).join(norm, ["sample", "col"]).select("sample", "col", (F.col("x") / F.col("norm")).alias("x"))
+    return scaled(f).withColumnRenamed("x", "freq")
 
 
 def assigned_reads(sys: DataFrame, freq: DataFrame) -> DataFrame:
     """``sample, col, reads``: each read shared out by posterior, rounded in each region, then summed."""
-    joint = sys.join(freq, ["sample", "col"]).withColumn("j", F.col("p") * F.col("freq"))
-    total = joint.groupBy("sample", "region", "seq").agg(F.sum("j").alias("t"))
-    shares = joint.join(total, ["sample", "region", "seq"]).withColumn("r", F.col("n") * F.col("j") / (F.col("t") + F.lit(EPS)))
+    joint = with_rows(sys).select("sample", "region", "row", "col", "p", "n").join(freq, ["sample", "col"]).withColumn("j", F.col("p") * F.col("freq"))
+    total = joint.groupBy("sample", "row").agg(F.sum("j").alias("t"))
+    shares = joint.join(total, ["sample", "row"]).withColumn("r", F.col("n") * F.col("j") / (F.col("t") + F.lit(EPS)))
     by_region = shares.groupBy("sample", "col", "region").agg(F.round(F.sum("r")).cast("long").alias("r"))
     return by_region.groupBy("sample", "col").agg(F.sum("r").alias("reads"))
 

@@ -716,6 +716,26 @@ def q56_stats_upsert(fx):
     return table.add("in region", regions.totals(fx.kept_reads).where("region > 2"), "n_unique", "n_reads", "region").rows.na.fill({"region": 0, "n_unique": -1})
 
 
+def _laid_out(fx: Fixture) -> match.Catalogue:
+    """The fixture's reference, bucketed in the shared folder."""
+    path = own_path(fx.spark, "catalogue")
+    buckets = max(8, int(fx.spark.conf.get("spark.sql.shuffle.partitions")))
+    return match.Catalogue.write(fx.kmers, refdb.bact_kmers(fx.ref, fx.kmers), "fx_" + path.rsplit("-", 1)[1], path, ALGO, MAX_LEN, buckets)
+
+
+@query("SELECT sample, region, seq, n, kmer_id::INT AS kmer_id, d FROM mt")
+def q58_match_laid_out(fx):
+    """Matches against a reference that is bucketed by its keys and not shuffled."""
+    return _laid_out(fx).matches(fx.kept_reads).drop("kmer")
+
+
+@query("SELECT sample, region, seq, bact_id, d, len::INT AS len, round(log10(p), 6) AS log_p FROM lik")
+def q58_likelihood_laid_out(fx):
+    known = _laid_out(fx)
+    lik = known.likelihoods(known.matches(fx.kept_reads), ALGO)
+    return lik.select("sample", "region", "seq", "bact_id", "d", "len", F.round(F.log10("p"), 6).alias("log_p"))
+
+
 ENDS = PrepConfig(read_len=K, paired=False, either_end=True)
 
 

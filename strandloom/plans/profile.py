@@ -43,17 +43,24 @@ def profile(reads: DataFrame, ref: DataFrame, taxa: DataFrame, cfg: Config, keep
     return profile_tally(keep(qc.tally(reads, cfg.prep), "tally"), ref, taxa, cfg, keep)
 
 
-def profile_tally(tallied: DataFrame, ref: DataFrame, taxa: DataFrame, cfg: Config, keep=lambda df, name: df) -> Profile:
-    """All stages from a tally of the reads on, which may come from a store of many batches."""
+def profile_tally(tallied: DataFrame, ref: DataFrame, taxa: DataFrame, cfg: Config, keep=lambda df, name: df, catalogue: match.Catalogue | None = None) -> Profile:
+    """All stages from a tally of the reads on, which may come from a store of many batches.
+
+    A ``catalogue`` is ``ref`` laid out for the joins, so that no batch shuffles it.
+    """
     spark = tallied.sparkSession
     counted = keep(qc.tally_counts(tallied, cfg.prep), "qc")
     uni = keep(qc.tally_uniques(tallied), "unireads")
     region_reads = keep(regions.collapse(regions.assign(uni, cfg.prep, cfg.primers)), "region_reads")
     filtered = keep(match.abundant(region_reads, cfg.algo), "filtered")
     ref = refdb.subsample(ref, cfg.algo.prob_amp, cfg.algo.seed)
-    known = refdb.kmers(ref)
-    found = keep(match.matches(filtered, known, cfg.algo, 2 * cfg.prep.read_len), "matches")
-    lik = keep(match.likelihoods(found, refdb.bact_kmers(ref, known), cfg.algo), "lik")
+    if catalogue:
+        found = keep(catalogue.matches(filtered), "matches")
+        lik = keep(catalogue.likelihoods(found, cfg.algo), "lik")
+    else:
+        known = refdb.kmers(ref)
+        found = keep(match.matches(filtered, known, cfg.algo, 2 * cfg.prep.read_len), "matches")
+        lik = keep(match.likelihoods(found, refdb.bact_kmers(ref, known), cfg.algo), "lik")
     norm = refdb.amplified(ref)
     groups = keep(solve.ambiguity_groups(lik, solve.present_everywhere(lik, ref, norm, cfg.algo)), "groups")
     system = keep(solve.assemble(solve.without_included(solve.supports(lik, groups), cfg.algo), lik), "system")

@@ -213,30 +213,34 @@ def _cut(joined: DataFrame, kind: str, width: int) -> DataFrame:
                 for column, v in zip(out, values, strict=True):
                     column.append(v)
 
-            for r in range(batch.num_rows):
-                i, raw = batch.column(0)[r].as_py(), batch.column(1)[r].as_py().encode()
+            texts, runs = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)
+            bounds, fields = runs.offsets.to_pylist(), [runs.values.field(c).to_pylist() for c in ("key", "start", "n", "hot")]
+            for r, (i, raw) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
                 words = raw.split()
                 data = b" ".join(words) + b" "
-                offsets = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
+                offsets = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)).tolist()
                 known, mine, own = [], _place(i), {}
-                for run_ in batch.column(2)[r].as_py():
-                    start, n = run_["start"], run_["n"]
-                    parts = [(run_["key"], start, data[offsets[start] : offsets[start + n + width - 1]])]
-                    if run_["hot"]:
+                for key, start, n, hot in zip(*(f[bounds[r] : bounds[r + 1]] for f in fields), strict=True):
+                    if hot:
                         single = [(s, data[offsets[s] : offsets[s + width]]) for s in range(start, start + n)]
                         parts = [(int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True), s, b) for s, b in single]
-                    for key, s, b in parts:
-                        first = seen.get((key, b))
+                        long = width
+                    else:
+                        long = n + width - 1
+                        parts = ((key, start, data[offsets[start] : offsets[start + long]]),)
+                    for part in parts:
+                        k, s, b = part
+                        first = seen.get((k, b))
                         if first is not None and first < mine:
-                            known.append((s, s + (width if run_["hot"] else n + width - 1)))
+                            known.append((s, s + long))
                             continue
                         if first is None:
                             if held > SEEN_BYTES:
                                 seen.clear()
                                 held = 0
-                            seen[key, b] = mine
+                            seen[k, b] = mine
                             held += len(b) + 200
-                        own.setdefault((key, b), []).append(s)
+                        own.setdefault((k, b), []).append(s)
                 for (key, b), starts in own.items():
                     row(key, i, starts, 0, b)
                 for low, high in _merged(known):
@@ -263,7 +267,10 @@ def _parse(met: DataFrame, kind: str, width: int) -> DataFrame:
         block, key = Block(width), None
         for batch in batches:
             out: list[list] = [[], [], []]
-            for k, i, starts, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            places = batch.column(2)
+            bounds, flat = places.offsets.to_pylist(), places.values.to_pylist()
+            for r, (k, i, n, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "id", "n", "words")), strict=True)):
+                starts = flat[bounds[r] : bounds[r + 1]]
                 if words is None:
                     found = [(0, n)]
                 else:

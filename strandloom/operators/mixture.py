@@ -3,12 +3,12 @@
 Across tasks, a sample's rows are dealt to blocks of bounded size.  A block is one row of
 packed arrays: its columns, and its entries by place in them.  An update gives
 each block the frequencies of its columns, makes expected rows and partial
-factors within the block, and sums the factors by column; only frequencies and
-factors are shuffled, never entries.  Updates are chained, some at a time, then
-the frequencies are written, which ends their lineage, and samples that met the
-tolerance leave with the frequencies of the very update that met it.  At a
-pruning step columns below ``zero`` are taken out of the blocks for good, with
-the rows that they empty.
+factors within the block, and sums the factors by column.  Blocks are bucketed as
+updates join them, so only frequencies and factors are shuffled, never entries.  The frequencies are
+written after each update, which ends their lineage; samples that met the
+tolerance leave, and once half are gone their blocks do too.  At a pruning step
+columns below ``zero`` are taken out of the blocks for good, with the rows that
+they empty.
 """
 
 from __future__ import annotations
@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.config import EPS, AlgoConfig
-from strandloom.plans.staging import own_path, stage, unstage
+from strandloom.plans.staging import own_path, stage, stage_bucketed, unstage
 
 #: Entries of a block, about; a row is never split.
 BLOCK_ENTRIES = 100_000
-#: Updates between two writes.
-CHAIN = 6
 PACKED = "sample string, block int, cols array<long>, row binary, col binary, a binary, y binary"
 
 
@@ -143,55 +141,53 @@ def _compacted(packed: DataFrame, routes: DataFrame, x: DataFrame) -> DataFrame:
     return _with_x(packed, routes, x, "left").mapInArrow(run, PACKED)
 
 
+def _laid_out(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks by sample and block, and their routes by sample and column, as updates join them."""
+    packed = stage_bucketed(packed, "mixture-blocks", "sample", "block")
+    return packed, stage_bucketed(_routes(packed), "mixture-routes", "sample", "col")
+
+
 def scaled(x: DataFrame) -> DataFrame:
     """``sample, col, x`` scaled to sum 1; sums combine before the shuffle, where a window would gather a sample."""
     total = x.groupBy("sample").agg(F.sum("x").alias("t"))
     return x.join(total, "sample").withColumn("x", F.col("x") / F.col("t")).drop("t")
 
 
-def solve_blocks(sys: DataFrame, cfg: AlgoConfig, chain: int = CHAIN, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+def solve_blocks(sys: DataFrame, cfg: AlgoConfig, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """``sample, col, x, iterations``: what a task per sample gives, with each sample spread over tasks."""
     spark = sys.sparkSession
     done = own_path(spark, "mixture-done")
     schema = "sample string, col long, x double, iterations int"
-    packed = stage(pack_blocks(sys, block_entries), "mixture-blocks")
-    routes = stage(_routes(packed), "mixture-routes")
+    packed, routes = _laid_out(pack_blocks(sys, block_entries))
     x = stage(scaled(sys.groupBy("sample", "col").agg(F.sum(F.col("a") * F.col("y")).alias("x"))), "mixture-x")
     spark.createDataFrame([], schema).write.parquet(done)
     steps, active = 0, x.select("sample").distinct().count()
     held = active
     while active and steps < cfg.num_iter:
-        n = min(chain, cfg.num_iter - steps)
-        if cfg.prune_every:
-            n = min(n, cfg.prune_every - steps % cfg.prune_every)
-        state = x.withColumn("seen", F.array().cast("array<struct<x:double,e:double>>"))
-        for _ in range(n):
-            state = state.join(_factors(packed, routes, state), ["sample", "col"])
-            moved = F.struct((F.col("x") * F.col("f")).alias("x"), (F.abs(1 - F.col("f")) * F.col("x")).alias("e"))
-            state = state.select("sample", "col", (F.col("x") * F.col("f")).alias("x"), F.array_append("seen", moved).alias("seen"))
-        state = stage(state, "mixture-state")
-        errors = state.select("sample", F.posexplode("seen").alias("step", "s")).groupBy("sample", "step").agg(F.sum("s.e").alias("error"))
-        stop = errors.groupBy("sample").agg(F.min(F.when(F.col("error") < cfg.tol, F.col("step"))).alias("stop"))
-        steps += n
-        if steps == cfg.num_iter:
-            stop = stop.withColumn("stop", F.coalesce("stop", F.lit(n - 1)))
-        stop = stage(stop, "mixture-stop")
-        ended = state.join(stop.where("stop is not null"), "sample")
-        at = (F.col("stop") + (steps - n + 1)).cast("int")
-        ended.select("sample", "col", F.get("seen", F.col("stop"))["x"].alias("x"), at.alias("iterations")).write.mode("append").parquet(done)
-        rest = state.join(stop.where("stop is null"), "sample").select("sample", "col", "x")
-        prune = bool(cfg.prune_every) and steps % cfg.prune_every == 0
-        if prune:
-            rest = rest.where(F.col("x") >= cfg.zero)
-        rest = stage(rest, "mixture-x")
-        unstage(x, state, stop)
+        steps += 1
+        moved = x.join(_factors(packed, routes, x), ["sample", "col"])
+        # written after each update: used twice in the next one, it would double the plan every time
+        state = stage(moved.select("sample", "col", (F.col("x") * F.col("f")).alias("x"), (F.abs(1 - F.col("f")) * F.col("x")).alias("e")), "mixture-x")
+        unstage(x)
+        x = state
+        errors = x.groupBy("sample").agg(F.sum("e").alias("error"))
+        last, prune = steps == cfg.num_iter, bool(cfg.prune_every) and steps % cfg.prune_every == 0
+        ending = last or errors.agg(F.min("error")).first()[0] < cfg.tol
+        if not ending and not prune:
+            continue
+        rest = x
+        if ending:
+            ended = stage(errors.where((F.col("error") < cfg.tol) | F.lit(last)).select("sample"), "mixture-ended")
+            x.join(ended, "sample", "left_semi").select("sample", "col", "x", F.lit(steps).alias("iterations")).write.mode("append").parquet(done)
+            rest = x.join(ended, "sample", "left_anti")
+        rest = stage(rest.where(F.col("x") >= cfg.zero) if prune else rest, "mixture-x")
+        unstage(x)
         x = rest
         active = x.select("sample").distinct().count()
         if active and (prune or 2 * active <= held):
-            smaller = stage(_compacted(packed, routes, x) if prune else packed.join(x.select("sample").distinct(), "sample", "left_semi"), "mixture-blocks")
+            smaller = _laid_out(_compacted(packed, routes, x) if prune else packed.join(x.select("sample").distinct(), "sample", "left_semi"))
             unstage(packed, routes)
-            packed, held = smaller, active
-            routes = stage(_routes(packed), "mixture-routes")
+            (packed, routes), held = smaller, active
     unstage(packed, routes, x)
     found = spark.read.schema(schema).parquet(done)
     kept = found.where(F.col("x") > cfg.zero)

@@ -48,8 +48,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """A stage laid out by ``by``: joins and aggregates on these columns don't shuffle it, however often they read it.
+
+    There are as many buckets as shuffles have partitions.
+    """
+    spark = df.sparkSession
+    path, n = own_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, *by).write.option("path", path).bucketBy(n, *by).sortBy(*by).saveAsTable(table)
+    out = spark.table(table)
+    out.staged_at, out.staged_as = path, table
+    return out
+
+
 def unstage(*staged: DataFrame) -> None:
     """Delete the files of stages that nothing reads any more."""
     for df in staged:
+        if hasattr(df, "staged_as"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.staged_as}")
         at, fs = _store(df.sparkSession, df.staged_at)
         fs.delete(at, True)

@@ -56,7 +56,7 @@ CONFIGS = [AlgoConfig(num_iter=7, tol=2e-2), AlgoConfig(num_iter=10, prune_every
 def test_blocks_equal_tasks_and_dense(spark, cfg):
     systems = dense_systems(samples=3)
     sys = frame_of(spark, systems).repartition(4).cache()
-    blocks = {(r["sample"], r.col): (r.x, r.iterations) for r in mixture.solve_blocks(sys, cfg, chain=4, block_entries=60).collect()}
+    blocks = {(r["sample"], r.col): (r.x, r.iterations) for r in mixture.solve_blocks(sys, cfg, block_entries=60).collect()}
     tasks = {(r["sample"], r.col): (r.x, r.iterations) for r in solve.em_tasks(sys, cfg).collect()}
     assert blocks.keys() == tasks.keys()
     for s, (a, y) in systems.items():
@@ -83,6 +83,20 @@ def test_large_samples_are_spread_and_small_ones_not(spark, monkeypatch):
     assert mixed.keys() == plain.keys() and max(abs(mixed[k] - plain[k]) for k in plain) < 1e-9
 
 
+def test_an_update_shuffles_no_entries(spark):
+    sys = frame_of(spark, dense_systems(samples=2))
+    packed, routes = mixture._laid_out(mixture.pack_blocks(sys, 30))
+    x = mixture.stage(solve.em_init(sys), "x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixture._factors(packed, routes, x)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    # frequencies to routes, frequencies to blocks, factors to columns
+    assert len(moved) == 3 and plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2
+
+
 def test_nothing_to_solve(spark):
     none = spark.createDataFrame([], SYSTEM)
     assert mixture.solve_blocks(none, AlgoConfig()).count() == 0 and solve.em(none, AlgoConfig(distribute_above=0)).count() == 0

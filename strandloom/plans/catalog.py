@@ -313,6 +313,15 @@ def q14_region_unireads(fx):
     return regions.totals(fx.region_reads)
 
 
+@query("""SELECT g.sample, g.region, coalesce(n_unique, 0)::BIGINT AS n_unique, coalesce(n_reads, 0)::BIGINT AS n_reads
+FROM (SELECT * FROM (SELECT DISTINCT sample FROM fx_reads UNION ALL SELECT 'empty') s CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5])::INT AS region) r) g
+LEFT JOIN (SELECT sample, region, count(*) AS n_unique, sum(n) AS n_reads FROM reg2 GROUP BY ALL) t USING (sample, region)""")
+def q14_empty_sample(fx):
+    """Every sample has every region, one without reads too."""
+    samples = fx.reads.select("sample").distinct().unionByName(fx.spark.range(1).select(F.lit("empty").alias("sample")))
+    return regions.totals(fx.region_reads, samples)
+
+
 @query("SELECT * FROM keep")
 def q15_abundance_filter(fx):
     return fx.kept_reads
@@ -601,6 +610,12 @@ def q46_totals_row(fx):
     return report.totals(top, fx.reads.select("sample").distinct())
 
 
+@query("SELECT sample, sum(reads)::BIGINT AS reads FROM top GROUP BY sample UNION ALL SELECT 'empty', 0")
+def q46_empty_sample(fx):
+    samples = fx.reads.select("sample").distinct().unionByName(fx.spark.range(1).select(F.lit("empty").alias("sample")))
+    return report.totals(fx.top, samples)
+
+
 @query("""SELECT p_brand AS brand, count(*)::INT AS n_headers, count(DISTINCT floor(h))::INT AS n_sources FROM (SELECT p_brand, unnest([p_partkey::DOUBLE, p_partkey % 7 + (p_partkey % 3) / 1000]) AS h FROM part) GROUP BY p_brand""", False)
 def q47_fractional_headers(fx):
     brands = fx.table("part").select(F.lit("S").alias("sample"), F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("bact_id"))

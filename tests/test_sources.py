@@ -8,7 +8,7 @@ from strandloom.config import Config, PrepConfig, ReportConfig
 from strandloom.operators import refdb, report
 from strandloom.operators.ordinal import ordinals
 from strandloom.plans import catalog, fixture, profile
-from strandloom.sources import files, reference, sinks
+from strandloom.sources import additive, files, reference, sinks, splits
 
 DATA = "/root/testdata/sf0.001"
 
@@ -106,6 +106,14 @@ def test_whole_profile_from_files(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/res_stages/unique_fasta").count() > 0
     rows = [x.split("\t") for x in open(out["species"]).read().splitlines()]
     assert rows[1][-2:] == ["S0", "S1"] and abs(sum(float(r[-1]) for r in rows[2:]) - 1) < 1e-4
+    # the same lanes by way of a store, in two batches and a run that finds nothing new; what the runs before left is gone
+    (tmp_path / "res_stages/left_behind").mkdir()
+    kept = additive.UniqueStore(spark, str(tmp_path / "store"))
+    first = [p.r1 for p in files.read_pairs(str(tmp_path / "in"), skip=[str(bad)])][:1]
+    kept.add(first, splits.read_files(spark, str(tmp_path / "in"), skip=[str(bad)], only=first), cfg.prep)
+    again = profile.run(spark, str(tmp_path / "in"), str(tmp_path / "db"), "x", str(tmp_path / "res"), cfg=cfg, generate_group_results=True, store=str(tmp_path / "store"))
+    assert set(again) == set(out) and kept.manifest().count() == 2 and not (tmp_path / "res_stages/left_behind").exists()
+    assert [x.split("\t") for x in open(again["species"]).read().splitlines()] == rows
     stats = [x.split("\t") for x in open(out["stats"]).read().splitlines()]
     assert len(stats[0]) == 29 and [r[0] for r in stats[1:]] == ["S0", "S1"]
     for r in stats[1:]:

@@ -187,7 +187,7 @@ nz AS (SELECT sample, col, count(*) AS nnz FROM spp GROUP BY ALL),
 inc AS (SELECT DISTINCT sample, i AS col FROM (SELECT a.sample, a.col AS i, b.col AS j, count(*) AS c FROM spp a JOIN spp b ON a.sample = b.sample AND a.region = b.region AND a.seq = b.seq AND a.col <> b.col GROUP BY ALL) q
   JOIN nz ni USING (sample) JOIN nz nj USING (sample) WHERE ni.col = i AND nj.col = j AND c = ni.nnz AND nj.nnz > ni.nnz),
 mtot AS (SELECT sample, sum(n) AS matched FROM (SELECT DISTINCT sample, region, seq, n FROM lik) GROUP BY ALL),
-sy AS MATERIALIZED (SELECT spp.sample, region, seq, spp.col, p / norm AS a, n / matched AS y, norm, p, n FROM spp JOIN mtot USING (sample) WHERE (spp.sample, spp.col) NOT IN (SELECT sample, col FROM inc)),
+sy AS (SELECT spp.sample, region, seq, spp.col, p / norm AS a, n / matched AS y, norm, p, n FROM spp JOIN mtot USING (sample) WHERE (spp.sample, spp.col) NOT IN (SELECT sample, col FROM inc)),
 x0 AS (SELECT sample, col, s / sum(s) OVER (PARTITION BY sample) AS x FROM (SELECT sample, col, sum(a * y) AS s FROM sy GROUP BY ALL)),
 {_step(0)},
 {_step(1)},
@@ -432,7 +432,9 @@ solved AS (SELECT sample, col, x / sum(x) OVER (PARTITION BY sample) AS x, step
 def recursive_query(cfg: AlgoConfig, sql: str):
     def add(f):
         query()(f)
-        ORACLE[f.__name__] = f"WITH RECURSIVE {STAGES},\n{_recursive(cfg)}\n{sql}"
+        # every update reads the system again
+        stages = STAGES.replace("sy AS (", "sy AS MATERIALIZED (")
+        ORACLE[f.__name__] = f"WITH RECURSIVE {stages},\n{_recursive(cfg)}\n{sql}"
         return f
 
     return add

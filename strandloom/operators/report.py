@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.config import EPS, FILTERED, GLOBAL_METRICS, GOOD, LOADED, MAPPED, MATCHED, RANKS, REGION_METRICS, ReportConfig
 from strandloom.functions.dna import significant
+from strandloom.plans.staging import large
 
 PREFIXES = "kpcofgs"
 
@@ -76,7 +77,7 @@ def counts(by: DataFrame, total: DataFrame) -> DataFrame:
 def group_sources(members: DataFrame, catalog: DataFrame) -> DataFrame:
     """``sample, group_id, headers``: all source headers of a group's members."""
     return (
-        members.join(catalog.select("bact_id", "headers"), "bact_id")
+        members.join(large(catalog.select("bact_id", "headers")), "bact_id")
         .groupBy("sample", "group_id")
         .agg(F.flatten(F.collect_list("headers")).alias("headers"))
     )

@@ -44,8 +44,9 @@ FEW_CHARS = 32
 GRAM_KEEP, GRAM_AGREE = 8, 4
 #: Keys are dealt into so many passes, one after another, so that their shuffles need not be on disk together.
 PASSES = 2
-#: Longs of a line's bit sets: of its words, its pairs of characters and its characters.
-BAGS = {"t": 16, "p": 16, "c": 6}
+#: Longs of a line's bit sets: of its words, its pairs of characters and its characters.  Two lines have more than 100
+#: columns together, so Spark compiles the bound on a pair in parts; as one method it is too long for the JVM to compile.
+BAGS = {"t": 32, "p": 16, "c": 6}
 #: Letters beyond the first plane.
 LETTERS = 0xF0000
 
@@ -188,18 +189,24 @@ def _here(p: str, q: str) -> Column:
     return ~(least & many & (F.size(shared) >= AGREE) & turn) | (F.col("key") == first)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, linked`` for pairs of lines."""
+def _like(a: str, b: str) -> str:
+    """Whether two texts' edit distance allows the similarity."""
+    far = f"cast(floor(greatest(char_length({a}), char_length({b})) * {1 - SIMILAR:.4f} + 1e-9) as int)"
+    return f"levenshtein({a}, {b}, {far}) >= 0"
+
 
-    def like(a: str, b: str) -> str:
-        far = f"cast(floor(greatest(char_length({a}), char_length({b})) * {1 - SIMILAR:.4f} + 1e-9) as int)"
-        return f"levenshtein({a}, {b}, {far}) >= 0"
+def _alike(p: str, q: str) -> Column:
+    """Whether lines with their texts at hand are like, by words or, where ``short`` is given, by characters."""
+    return F.expr(f"{_like(f'{p}code', f'{q}code')} or ({p}short is not null and {q}short is not null and {_like(f'{p}short', f'{q}short')})")
 
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, linked`` for pairs of lines."""
     return (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("code").alias("ta"), F.col("norm").alias("na")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("code").alias("tb"), F.col("norm").alias("nb")), "b")
         # the words are the shorter: letters are compared only where words do not decide
-        .select("a", "b", F.expr(f"{like('ta', 'tb')} or (greatest(char_length(na), char_length(nb)) <= {MOST_CHARS} and {like('na', 'nb')})").alias("linked"))
+        .select("a", "b", F.expr(f"{_like('ta', 'tb')} or (greatest(char_length(na), char_length(nb)) <= {MOST_CHARS} and {_like('na', 'nb')})").alias("linked"))
     )
 
 
@@ -239,8 +246,10 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = _texts(docs, nodes.join(wanted, "node", "left_semi"), id_col, text_col)
     texts = stage(texts.withColumn("code", word_code(F.col("norm"))), "line-texts", free=True)
     blocks = nodes.select("node", F.array_compact(F.array(*(f"b{i}" for i in range(KEEP)))).alias("blocks"))
-    more = lambda some: bags(texts.join(some, "node", "left_semi")).join(blocks, "node")
-    roots = settle(sized(members), ["size"], _fits, lambda pairs: _verified(pairs, texts), more, lambda p, q: _tight(p, q) & _here(p, q), twos=sized(twos))
+    # texts go along, so that what leaves a bucket is links, not pairs that may be: lines around one passage are many pairs just too far apart
+    whole = texts.select("node", "code", F.when(F.char_length("norm") <= MOST_CHARS, F.col("norm")).alias("short"))
+    more = lambda some: bags(texts.join(some, "node", "left_semi")).join(blocks, "node").join(whole, "node")
+    roots = settle(sized(members), ["size"], _fits, lambda pairs: _verified(pairs, texts), more, lambda p, q: _tight(p, q) & _here(p, q) & _alike(p, q), twos=sized(twos))
     grouped = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").where("n > 1 or root is not null")
     return lines.select("r1", "r2", "id", "pos", "l1", "l2"), grouped.select("l1", "l2", F.coalesce("root", "node").alias("root"))
 

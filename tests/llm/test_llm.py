@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import bytehash, langid, linededup, media, mixing, neardup, packing, qda, quality, sharding, suffix
+from strandloom.llm import bytehash, common, langid, linededup, media, mixing, neardup, packing, qda, quality, sharding, suffix
 from strandloom.llm.common import components
 from strandloom.llm.queries import ORACLE_SQL, QUERIES
 
@@ -300,6 +300,30 @@ def test_lines_with_typos_and_few_words(spark):
     assert len(removed) >= 79 and all(x == [1] for x in removed)
 
 
+def test_lines_around_one_passage_leave_buckets_as_links(spark, monkeypatch):
+    """Three of four words are the same passage; hardly any two lines are like, and pairs that are not leave no bucket."""
+    rng, left = random.Random(9), {}
+    stage = common.stage
+
+    def kept(df, name, free=False):
+        left[name] = stage(df, name, free)
+        return left[name]
+
+    monkeypatch.setattr(common, "stage", kept)
+    monkeypatch.setattr(linededup, "stage", kept)
+    own = ["the", "and", "of", "to", *(f"own{k}" for k in range(60))]
+    passage, lines = [f"passage{k}" for k in range(60)], []
+    for _ in range(120):
+        words = rng.choices(own, weights=[12] * 4 + [1] * 60, k=rng.randrange(16, 20))
+        at = rng.randrange(len(words) + 1)
+        lines.append(" ".join(words[:at] + passage + words[at:]))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    root = {lines[r.doc_id]: r.root for r in linededup.line_groups(docs)[1].join(linededup.line_marks(docs, "doc_id", "text").withColumnRenamed("id", "doc_id"), ["l1", "l2"]).collect()}
+    pairs = like_pairs(sorted(lines))
+    assert sum(a in root and root[a] == root.get(b) for a, b in pairs) >= 0.97 * len(pairs) > 0
+    assert left["settle-last"].count() <= len(pairs)
+
+
 def test_near_line_of_repeated_rows(spark):
     # ten words with one longer: alike by words, not by characters
     words = [f"word{k}" for k in range(10)]

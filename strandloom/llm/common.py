@@ -113,7 +113,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
-def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more=None, rounds: int = 4, twos: DataFrame | None = None) -> DataFrame:
+def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more=None, rounds: int = 4, twos: DataFrame | None = None, hubs: int = 0) -> DataFrame:
     """Groups of like nodes as ``id, root``, from buckets of candidates; nodes without a link are not returned.
 
     ``members`` has ``key, node, leader, c``, the columns ``info`` and, with the
@@ -126,7 +126,8 @@ def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more
 
     Nodes are compared with their bucket's leader first.  Then, for at most
     ``rounds`` times and while it pays, those in another group than it are compared
-    with a leader of their own.  Last, what is still in another group than the
+    with a leader of their own.  Where some still are, the bucket's nodes are, at
+    most ``hubs`` times, compared with one of the first leader's group and one of the largest other.  Last, what is still in another group than the
     first leader is compared with all of the bucket that is not in its own
     group.  So every pair of a bucket is compared, found unlike by a bound, or in
     one group already: no bucket emits all its pairs, and no link that could
@@ -173,6 +174,24 @@ def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more
     wide = stage(unsettled(wide), "settle-wide")
     keys = wide.where("root <> lead_root").select("key").distinct()
     wide = wide.join(keys, "key", "left_semi")
+    # nodes that are like most of a group, but not its leader, would all be links of the last join
+    for _ in range(hubs):
+        # of a group the least by its columns: short texts are like more of the others
+        held = wide.withColumn("own", F.col("root") == F.col("lead_root")).groupBy("key", "root", "own").agg(F.count("*").alias("n"), F.min(F.struct(*info, "node")).alias("h"))
+        heads = held.groupBy("key", "own").agg(F.min_by(F.struct("h", "root"), F.struct(-F.col("n"), "h")).alias("of"))
+        heads = heads.select("key", F.col("of.h.node").alias("leader"), F.col("of.root").alias("lead_root"), *(F.col(f"of.h.{c}").alias(f"lead_{c}") for c in info))
+        led = wide.drop("leader", "lead_root").join(heads, "key").where("root <> lead_root")
+        new = pair(led.where(may("", "lead_")), "node", "leader").join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        found = stage(verify(stage(new, "settle-first")), "settle-found")
+        seen, links = seen.unionByName(found), found.where("linked")
+        n = links.count()
+        if not n:
+            break
+        roots = merged(links)
+        wide = stage(unsettled(wide), "settle-wide")
+        wide = wide.join(wide.where("root <> lead_root").select("key").distinct(), "key", "left_semi")
+        if n * 20 < wide.select("node").distinct().count():
+            break
     if more is not None:
         extra = stage(more(wide.select("node").distinct()), "settle-more")
         info = [*info, *(c for c in extra.columns if c != "node")]

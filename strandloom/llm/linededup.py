@@ -42,6 +42,8 @@ MOST_CHARS = 128
 #: Lines of at most so many characters also meet by their trigrams: blocks, and blocks in a key.
 FEW_CHARS = 32
 GRAM_KEEP, GRAM_AGREE = 8, 4
+#: At most so many times lines are compared with the largest groups of their buckets before all that are left are paired.
+HUBS = 2
 #: Keys are dealt into so many passes, one after another, so that their shuffles need not be on disk together.
 PASSES = 2
 #: Longs of a line's bit sets: of its words, its pairs of characters and its characters.  Two lines have more than 100
@@ -138,24 +140,24 @@ def _fits(p: str, q: str) -> Column:
     return near(lambda c: F.shiftrightunsigned(c, 32)) | (by_chars & near(chars))
 
 
-def _bits(texts: DataFrame, tokens: Column, name: str) -> DataFrame:
-    """``node`` and the longs of a bit set of a text's tokens; the second of equal ones is a token of its own, and so on."""
-    rows = texts.select("node", F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t))).alias("all"))
-    rows = rows.select("node", "all", F.posexplode("all").alias("at", "token"))
+def _bits(tokens: Column, n: int) -> Column:
+    """The longs of a bit set of a text's tokens; the second of equal ones is a token of its own, and so on."""
     # equal tokens stand together
-    rows = rows.select("node", F.pmod(F.xxhash64("token", F.col("at") - F.array_position("all", F.col("token"))), F.lit(64 * BAGS[name])).cast("int").alias("h"))
-    bit = [F.when(F.shiftright("h", 6) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long")) for i in range(BAGS[name])]
-    return rows.groupBy("node").agg(*(F.bit_or(b).alias(f"{name}{i}") for i, b in enumerate(bit)))
+    own = lambda all: F.transform(all, lambda t, i: F.pmod(F.xxhash64(t, i.cast("long") - F.array_position(all, t)), F.lit(64 * n)).cast("int"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))
+    long = lambda bits, i: F.aggregate(F.filter(bits, lambda h: F.shiftright(h, 6) == i), F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(bit(h)))
+    # one after another as elements of an array: each is worked out once, however often it is read
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    bits = once(F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t))), own)
+    return once(bits, lambda b: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: long(b, i)))
 
 
 def bags(texts: DataFrame) -> DataFrame:
     """``node, t0.., p0.., c0..``: bit sets of the words of ``node, norm`` and, for lines compared by characters, of their pairs of characters and characters."""
-    words = _bits(texts, F.split("norm", " "), "t")
-    short = texts.where(F.char_length("norm") <= MOST_CHARS)
-    pairs = _bits(short, F.regexp_extract_all("norm", F.lit("(?=(..))"), F.lit(1)), "p")
-    chars = _bits(short, F.regexp_extract_all("norm", F.lit("(.)"), F.lit(1)), "c")
-    return words.join(pairs, "node", "left").join(chars, "node", "left").na.fill(0, [f"{n}{i}" for n in "pc" for i in range(BAGS[n])])
-
+    short = F.when(F.char_length("norm") <= MOST_CHARS, F.col("norm"))
+    tokens = {"t": F.split("norm", " "), "p": F.regexp_extract_all(short, F.lit("(?=(..))"), F.lit(1)), "c": F.regexp_extract_all(short, F.lit("(.)"), F.lit(1))}
+    rows = texts.select("node", *(_bits(x, BAGS[n]).alias(n) for n, x in tokens.items()))
+    return rows.select("node", *(F.coalesce(F.get(n, F.lit(i)), F.lit(0)).cast("long").alias(f"{n}{i}") for n in BAGS for i in range(BAGS[n])))
 
 
 def _tight(p: str, q: str) -> Column:
@@ -249,7 +251,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # texts go along, so that what leaves a bucket is links, not pairs that may be: lines around one passage are many pairs just too far apart
     whole = texts.select("node", "code", F.when(F.char_length("norm") <= MOST_CHARS, F.col("norm")).alias("short"))
     more = lambda some: bags(texts.join(some, "node", "left_semi")).join(blocks, "node").join(whole, "node")
-    roots = settle(sized(members), ["size"], _fits, lambda pairs: _verified(pairs, texts), more, lambda p, q: _tight(p, q) & _here(p, q) & _alike(p, q), twos=sized(twos))
+    roots = settle(sized(members), ["size"], _fits, lambda pairs: _verified(pairs, texts), more, lambda p, q: _tight(p, q) & _here(p, q) & _alike(p, q), twos=sized(twos), hubs=HUBS)
     grouped = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").where("n > 1 or root is not null")
     return lines.select("r1", "r2", "id", "pos", "l1", "l2"), grouped.select("l1", "l2", F.coalesce("root", "node").alias("root"))
 

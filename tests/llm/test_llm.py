@@ -324,6 +324,26 @@ def test_lines_around_one_passage_leave_buckets_as_links(spark, monkeypatch):
     assert left["settle-last"].count() <= len(pairs)
 
 
+def test_nodes_unlike_their_leaders_are_not_all_paired(spark, monkeypatch):
+    """Two leaders are like no other node, all others like one another: hardly any of their pairs are left to the last join."""
+    left, stage = {}, common.stage
+
+    def kept(df, name, free=False):
+        left[name] = stage(df, name, free)
+        return left[name]
+
+    monkeypatch.setattr(common, "stage", kept)
+    # node 100 is like the last one only, 101 like none
+    rows = [(1, n, 0, 102, 9 if n < 2 or n > 99 else 5, 9) for n in range(102)]
+    members = spark.createDataFrame(rows, "key long, node long, leader long, c long, size long, lead_size long")
+    like = F.greatest("a", "b").between(2, 99) & F.least("a", "b").between(2, 99) | (F.col("a") == 100) & (F.col("b") == 99)
+    verify = lambda pairs: pairs.select("a", "b", like.alias("linked"))
+    link = lambda p, q: (F.col(f"{p}node").between(2, 99) & F.col(f"{q}node").between(2, 99)) | (F.array_sort(F.array(f"{p}node", f"{q}node")) == F.array(F.lit(99).cast("long"), F.lit(100).cast("long")))
+    roots = common.settle(members, ["size"], lambda p, q: F.lit(True), verify, None, link, hubs=linededup.HUBS)
+    assert {(r.id, r.root) for r in roots.collect()} == {(n, 2) for n in range(2, 101)}
+    assert left["settle-last"].count() == 1
+
+
 def test_near_line_of_repeated_rows(spark):
     # ten words with one longer: alike by words, not by characters
     words = [f"word{k}" for k in range(10)]

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word, and the white space between words, as every contract here has them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,10 +65,11 @@ def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a stage that nothing reads any more."""
-    at, fs = _path(df.sparkSession, df.staged_at)
-    fs.delete(at, True)
+def unstage(*staged: DataFrame) -> None:
+    """Delete the files of stages that nothing reads any more."""
+    for df in staged:
+        at, fs = _path(df.sparkSession, df.staged_at)
+        fs.delete(at, True)
 
 
 def row_marks(id_col: str, text_col: str) -> list[Column]:
@@ -83,24 +85,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, root)``.
 
     ``root`` is the smallest id of the component.  Alternates large-star and
-    small-star steps until no edge changes.  Every step is a min-aggregate with
-    map-side combine and an equi-join with its result, one row per id, so that
-    adaptive execution can split a star's hub.  Ids without an edge are not
-    returned.
+    small-star steps until no edge changes.  Each is one shuffle by node: a row
+    becomes one row, so equal edges need no shuffle of their own and go at the
+    end.  The rows of a hub are sorted, and spilled, in one task.  Ids without an
+    edge are not returned.
     """
-    edges = old = stage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
-    mark = None
+    lowest = F.min("v").over(Window.partitionBy("u"))
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    old = mark = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        unstage(old)
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        large = both.withColumn("m", F.least("u", lowest)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", lowest).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = stage(small, "edges")
+        if old:
+            unstage(old)
         old = edges
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
@@ -108,9 +107,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-    )
+    ids = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("root")), F.struct(F.col("v").alias("id"), F.col("v").alias("root"))))
+    found = stage(edges.select(ids.alias("x")).select("x.*").distinct(), "roots", free=True)
+    unstage(edges)
+    return found
 
 
 def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more=None, rounds: int = 4, twos: DataFrame | None = None, hubs: int = 0) -> DataFrame:
@@ -138,15 +138,20 @@ def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more
     first = members.where(F.col("node") != F.col("leader")).where(may("", "lead_")).select("node", "leader")
     if twos is not None:
         first = first.unionByName(twos.where(may("", "lead_")).select("node", "leader"))
-    seen = stage(verify(stage(pair(first, "node", "leader"), "settle-first")), "settle-found")
-    roots = stage(components(seen.where("linked").select("a", "b")), "settle-roots")
+    first = stage(pair(first, "node", "leader"), "settle-first")
+    seen = stage(verify(first), "settle-found")
+    done = [members, seen]
+    unstage(first)
+    roots = components(seen.where("linked").select("a", "b"))
 
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
         found = roots.select(F.col("id").alias(node), F.col("root").alias(root))
         return df.drop(root).join(found, node, "left").withColumn(root, F.coalesce(root, node))
 
     def merged(links: DataFrame) -> DataFrame:
-        return stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b"))), "settle-roots")
+        found = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b")))
+        unstage(roots)
+        return found
 
     def unsettled(df: DataFrame) -> DataFrame:
         return rooted(rooted(df, "node", "root"), "leader", "lead_root")
@@ -162,16 +167,20 @@ def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more
         led = stage(rest.join(heads, "key").where("root <> lead_root"), "settle-led")
         new = pair(led.where(may("", "lead_")), "node", "leader").join(seen.select("a", "b"), ["a", "b"], "left_anti")
         found = stage(verify(new), "settle-found")
+        done.append(found)
         links = found.where("linked")
         n = links.count()
         seen = seen.unionByName(found)
         if n:
             roots = merged(links)
+        unstage(rest)
         rest = stage(unsettled(led).where("root <> lead_root").select("key", "node", *info, "root"), "settle-rest")
+        unstage(led)
         before, left = left, rest.count()
         if n * 20 < before:
             break
-    wide = stage(unsettled(wide), "settle-wide")
+    unstage(rest)
+    kept = wide = stage(unsettled(wide), "settle-wide")
     keys = wide.where("root <> lead_root").select("key").distinct()
     wide = wide.join(keys, "key", "left_semi")
     # nodes that are like most of a group, but not its leader, would all be links of the last join
@@ -182,23 +191,31 @@ def settle(members: DataFrame, info: list[str], may, verify, more=None, may_more
         heads = heads.select("key", F.col("of.h.node").alias("leader"), F.col("of.root").alias("lead_root"), *(F.col(f"of.h.{c}").alias(f"lead_{c}") for c in info))
         led = wide.drop("leader", "lead_root").join(heads, "key").where("root <> lead_root")
         new = pair(led.where(may("", "lead_")), "node", "leader").join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        found = stage(verify(stage(new, "settle-first")), "settle-found")
+        first = stage(new, "settle-first")
+        found = stage(verify(first), "settle-found")
+        done.append(found)
+        unstage(first)
         seen, links = seen.unionByName(found), found.where("linked")
         n = links.count()
         if not n:
             break
-        roots = merged(links)
-        wide = stage(unsettled(wide), "settle-wide")
+        roots, old = merged(links), kept
+        kept = wide = stage(unsettled(wide), "settle-wide")
+        unstage(old)
         wide = wide.join(wide.where("root <> lead_root").select("key").distinct(), "key", "left_semi")
         if n * 20 < wide.select("node").distinct().count():
             break
     if more is not None:
         extra = stage(more(wide.select("node").distinct()), "settle-more")
         info = [*info, *(c for c in extra.columns if c != "node")]
-        wide = stage(wide.join(extra, "node"), "settle-wide")
+        wide, old = stage(wide.join(extra, "node"), "settle-wide"), kept
+        kept = wide
+        unstage(old, extra)
     apart = wide.where("root <> lead_root").select("key", *(F.col(c).alias(f"f_{c}") for c in ("node", "root", *info)))
     # each pair comes from one side only
     one_side = (F.col("root") == F.col("lead_root")) | (F.col("f_node") > F.col("node"))
     last = wide.join(apart, "key").where((F.col("f_root") != F.col("root")) & one_side & may("", "f_") & (may_more or may)("", "f_"))
     last = pair(last, "node", "f_node").join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    return merged(verify(stage(last, "settle-last")).where("linked"))
+    last = stage(last, "settle-last", free=True)
+    unstage(*done, kept)
+    return merged(verify(last).where("linked"))

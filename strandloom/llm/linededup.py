@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import row_marks, settle, stage, table
+from strandloom.llm.common import row_marks, settle, stage, table, unstage
 
 SIMILAR = 0.8
 #: Blocks of a line, and how many of them make a key.
@@ -234,11 +234,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # written: every pass over the keys reads them, and they come from a shuffle of texts
     grams = stage(_blocks(short, _grams(F.col("norm")), GRAM_KEEP, lambda g: F.xxhash64(g), "g").drop("norm"), "line-grams", free=True)
     keys, bucket = line_keys(nodes, grams), Window.partitionBy("key")
-    members = None
+    members, passes = None, []
     for i in range(PASSES):
         own = keys.where(F.pmod("key", F.lit(PASSES)) == i).withColumn("c", F.count("*").over(bucket)).withColumn("leader", F.min("node").over(bucket))
         own = stage(own.where("c > 2 or c = 2 and node <> leader"), "line-members", free=True)
         members = members.unionByName(own) if members else own
+        passes.append(own)
+    unstage(grams)
     # like lines share many keys, most of them with no other line: such a pair counts once
     twos = stage(members.where("c = 2").select("node", "leader").distinct(), "line-twos")
     members = members.where("c > 2")
@@ -252,6 +254,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = texts.select("node", "code", F.when(F.char_length("norm") <= MOST_CHARS, F.col("norm")).alias("short"))
     more = lambda some: bags(texts.join(some, "node", "left_semi")).join(blocks, "node").join(whole, "node")
     roots = settle(sized(members), ["size"], _fits, lambda pairs: _verified(pairs, texts), more, lambda p, q: _tight(p, q) & _here(p, q) & _alike(p, q), twos=sized(twos), hubs=HUBS)
+    unstage(*passes, twos, texts)
     grouped = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").where("n > 1 or root is not null")
     return lines.select("r1", "r2", "id", "pos", "l1", "l2"), grouped.select("l1", "l2", F.coalesce("root", "node").alias("root"))
 

@@ -95,6 +95,37 @@ def test_components_are_brute_force(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_rounds_of_components_are_two_shuffles(spark, monkeypatch):
+    stage, shuffles = common.stage, []
+
+    def counted(df, name, free=False):
+        if name == "edges":
+            shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return stage(df, name, free)
+
+    monkeypatch.setattr(common, "stage", counted)
+    got = {r.id: r.root for r in components(spark.createDataFrame([(k, k + 1) for k in range(9)] + [(3, 2), (2, 3), (20, 20)], "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(10), 0)
+    assert shuffles and max(shuffles) <= 2
+
+
+def test_line_groups_leave_no_stages_behind(spark, monkeypatch):
+    stage, made = common.stage, []
+
+    def kept(df, name, free=False):
+        made.append((name, stage(df, name, free)))
+        return made[-1][1]
+
+    monkeypatch.setattr(common, "stage", kept)
+    monkeypatch.setattr(linededup, "stage", kept)
+    words = [f"word{k}" for k in range(20)]
+    lines = [" ".join([*words[:k], f"own{k}", *words[k + 1 :]]) for k in range(20)]
+    groups = linededup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))[1]
+    assert groups.count() == 20 and groups.select("root").distinct().count() == 1
+    there = [name for name, df in made if common._path(spark, df.staged_at)[1].exists(common._path(spark, df.staged_at)[0])]
+    assert sorted(there) == ["line-marks", "line-nodes", "roots", "settle-last"]
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(3)
     for _ in range(60):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.bytehash import Powers, mix, word_hashes
-from strandloom.llm.common import row_marks, settle, stage, table
+from strandloom.llm.common import row_marks, settle, stage, table, unstage
 
 K = 5
 PICK = 3
@@ -310,6 +310,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, n: int = SKETCHES, pic
         return bags(texts.join(some, "node", "left_semi")).join(nodes.select("node", "marks"), "node")
 
     roots = settle(members, ["n_words"], fits, lambda pairs: verify(pairs, texts), more, tight)
+    unstage(shared, texts)
     of_node = stage(nodes.select("node", "w1", "w2", "first").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
     of_root = of_node.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("n_texts"))
     of_node = of_node.join(of_root, "root").select("w1", "w2", F.col("keep.id").alias("class_id"), "keep", "n_texts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from strandloom.operators.report import line
 from strandloom.plans.staging import _store
 from strandloom.sources.files import _fs
 
+#: Bytes copied at once.
+PIECE = 1 << 22
+
 
 def clear(spark, results: str, stages: str) -> None:
     """Delete what an earlier run left under the same name: stages, also those this run does not write, and reports.
@@ -43,17 +48,44 @@ def numbered(uni: DataFrame) -> DataFrame:
     return rows.join(width, "sample").withColumn("header", F.lpad(F.col("i").cast("string"), F.col("width"), F.lit("0"))).select(*uni.columns, "header")
 
 
-def write_named_text(rows: DataFrame, path: str, by: str, name) -> None:
-    """``value`` of each value of ``by`` as one text file, named by ``name(value)`` below ``path``; its rows must be in one task, in order."""
+def _join_files(path: str, files: DataFrame) -> None:
+    """Make each file ``to`` below ``path`` of its ``parts``, one after another; a task streams a file's bytes, as a file has one writer."""
+
+    def run(frames):
+        for frame in frames:
+            for to, parts in zip(frame["to"], frame["parts"], strict=True):
+                store, at = _fs(path)
+                to, parts = f"{at}/{to}", [f"{at}/{p}" for p in parts]
+                # a task that is run again finds what an earlier one has finished
+                if not store.get_file_info(to).is_file:
+                    store.create_dir(to.rsplit("/", 1)[0])
+                    whole = f"{at}/_writing/{uuid.uuid4().hex}"
+                    with store.open_output_stream(whole) as out:
+                        for p in parts:
+                            with store.open_input_stream(p, compression=None) as part:
+                                while data := part.read(PIECE):
+                                    out.write(data)
+                    store.move(whole, to)
+                for p in parts:
+                    if store.get_file_info(p).is_file:
+                        store.delete_file(p)
+            yield frame[["to"]]
+
+    files.mapInPandas(run, "to string").write.format("noop").mode("overwrite").save()
+
+
+def write_named_text(rows: DataFrame, path: str, by: list[str], name) -> None:
+    """``value`` of each ``by`` as one text file, named by ``name(*by)`` below ``path``; its rows must be in order within tasks and from task to task."""
     spark = rows.sparkSession
-    rows.write.mode("overwrite").partitionBy(by).text(f"{path}/_writing")
-    at, fs = _store(spark, f"{path}/_writing/{by}=*/part-*")
+    rows.write.mode("overwrite").partitionBy(*by).text(f"{path}/_writing")
+    at, fs = _store(spark, f"{path}/_writing/{'/'.join(f'{c}=*' for c in by)}/part-*")
+    parts: dict[str, list] = {}
     for found in fs.globStatus(at) or []:
-        value = found.getPath().getParent().getName().split("=", 1)[1]
-        to, _ = _store(spark, f"{path}/{name(value)}")
-        fs.mkdirs(to.getParent())
-        if not fs.rename(found.getPath(), to):
-            raise OSError(f"could not write {to}")
+        *folders, file = found.getPath().toString().split("/")[-len(by) - 1 :]
+        task, piece = int(file.split("-")[1]), int(file.rsplit(".c", 1)[1].split(".")[0])
+        parts.setdefault(name(*(x.split("=", 1)[1] for x in folders)), []).append((task, piece, "/".join(("_writing", *folders, file))))
+    rows = [(to, [p for _, _, p in sorted(of)]) for to, of in parts.items()]
+    _join_files(path, spark.createDataFrame(rows, "to string, parts array<string>").repartition(max(1, len(rows))))
     fs.delete(_store(spark, f"{path}/_writing")[0], True)
 
 

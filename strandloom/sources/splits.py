@@ -13,26 +13,31 @@ are, so a range of such a file begins at its first member.
 
 Files that can't be cut (other gzip, zip, FASTA) are read by one task, streamed
 and never held whole.
+
+Lines are counted and records are split by blocks of bytes, not one by one, and
+a task takes many ranges where they are short.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice, zip_longest
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.plans.staging import stage
 from strandloom.sources.files import BLOCK, KINDS, READS_SCHEMA, _fs, fastq_records, read_pairs, records
 
-#: Bytes of a range, and bytes read at once.
+#: Bytes of a range, and bytes read at once; those after a range, of which little may be wanted, are read by pieces that grow from TAIL.
 RANGE_BYTES = 64 << 20
 PIECE = 1 << 20
+TAIL = 1 << 12
 #: A member of block-gzip is no longer than this.
 MEMBER = 1 << 16
 PARTS = "pair long, mate int, path string, part long, low long, high long"
@@ -93,28 +98,46 @@ def pieces(path: str, low: int, high: int) -> Iterator[tuple[bytes, bool]]:
                 here += n
             return
         file.seek(low)
-        here = low
-        while data := file.read(min(PIECE, high - here) if here < high else PIECE):
+        here, tail = low, TAIL
+        while data := file.read(min(PIECE, high - here) if here < high else tail):
             yield data, here < high
+            if here >= high:
+                tail = min(2 * tail, PIECE)
             here += len(data)
 
 
-def owned_lines(parts: Iterator[tuple[bytes, bool]], first: bool) -> Iterator[tuple[bytes, bool]]:
-    """Lines from a range on, and whether they belong to it; but for the ``first`` range, the line it begins in does not."""
+def line_blocks(parts: Iterator[tuple[bytes, bool]], first: bool) -> Iterator[tuple[bytes, bool]]:
+    """Blocks of whole lines from a range on, and whether these belong to it; but for the ``first`` range, the line it begins in does not."""
     rest, own_rest, skip = [], True, not first
     for data, own in parts:
-        ends = data.split(b"\n")
-        if len(ends) == 1:
-            rest.append(data)
-            continue
-        if not skip:
-            yield b"".join((*rest, ends[0])).rstrip(b"\r"), own_rest
-        skip = False
-        for line in ends[1:-1]:
-            yield line.rstrip(b"\r"), own
-        rest, own_rest = [ends[-1]], own
+        at = 0
+        if skip or own != own_rest:
+            at = data.find(b"\n") + 1
+            if not at:
+                rest.append(data)
+                continue
+            if not skip:
+                yield b"".join((*rest, data[:at])), own_rest
+            rest, own_rest, skip = [], own, False
+        end = data.rfind(b"\n") + 1
+        if end > at:
+            yield b"".join((*rest, data[at:end])), own
+            rest, at = [], end
+        rest.append(data[at:])
     if not skip and any(rest):
-        yield b"".join(rest).rstrip(b"\r"), own_rest
+        yield b"".join(rest), own_rest
+
+
+def count_lines(block: bytes) -> tuple[int, list[int]]:
+    """The number of lines of a block, and the numbers of the empty ones."""
+    codes = np.frombuffer(block, np.uint8)
+    ends = np.flatnonzero(codes == 10)
+    if not block.endswith(b"\n"):
+        ends = np.append(ends, len(block))
+    begins = np.append(0, ends[:-1] + 1)
+    # a line of feeds and returns alone is empty
+    maybe = np.flatnonzero((begins == ends) | (codes[np.minimum(begins, len(block) - 1)] == 13))
+    return len(ends), [int(i) for i in maybe if not block[begins[i] : ends[i]].rstrip(b"\r")]
 
 
 def passage(n: int, blanks: list[int], state: int) -> tuple[int, int]:
@@ -154,12 +177,12 @@ def index(parts: DataFrame) -> DataFrame:
                 if not cut(r.path):
                     continue
                 n, blanks = 0, []
-                for line, own in owned_lines(pieces(r.path, r.low, r.high), r.low == 0):
+                for block, own in line_blocks(pieces(r.path, r.low, r.high), r.low == 0):
                     if not own:
                         break
-                    if not line:
-                        blanks.append(n)
-                    n += 1
+                    more, empty = count_lines(block)
+                    blanks += [n + i for i in empty]
+                    n += more
                 by = [passage(n, blanks, s) for s in range(4)]
                 out.append((*r, [b for b, _ in by], [s for _, s in by]))
             yield pd.DataFrame(out, columns=[*frame.columns, "begun", "left"])
@@ -197,50 +220,104 @@ def ranges(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("pair").applyInPandas(run, RANGES)
 
 
-def records_from(path: str, low: int, high: int, state: int) -> Iterator[tuple[str, str, str | None]]:
-    """Records that begin in a range, entered at line ``state`` of one, and all after it."""
-    lines = owned_lines(pieces(path, low, high), low == 0)
-    if state:
-        lines = islice(lines, 4 - state, None)
-    return fastq_records(x.decode("ascii", "replace") for x, _ in lines)
+def split_lines(block: bytes) -> pa.Array:
+    """The lines of a block as an array of strings."""
+    if not block.isascii():
+        block = block.decode("ascii", "replace").encode()
+    lines = pc.split_pattern(pa.array([block.removesuffix(b"\n")], pa.string()), "\n").values
+    return pc.ascii_rtrim(lines, "\r") if b"\r" in block else lines
+
+
+def _columns(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, names=["h", "s", "q"])
+
+
+def records_of(lines: pa.Array, last: bool) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Records of lines that begin between two records, and the lines of one not ended; all must end if these are the ``last``."""
+    n = len(lines) // 4 * 4
+    h, s, plus, q = (lines.take(np.arange(k, n, 4)) for k in range(4))
+    if pc.all(pc.and_(pc.and_(pc.starts_with(h, "@"), pc.starts_with(plus, "+")), pc.equal(pc.binary_length(s), pc.binary_length(q))), min_count=0).as_py() and (n == len(lines) or not last):
+        yield pa.RecordBatch.from_arrays([pc.utf8_slice_codeunits(h, 1), s, q], names=["h", "s", "q"]), lines.slice(n)
+        return
+    # blank lines between records, or a damaged one, which is an error after those before it
+    held, at, rows = lines.to_pylist(), 0, []
+    while at < len(held) and (last or not held[at] or at + 4 <= len(held)):
+        if held[at]:
+            try:
+                rows += fastq_records(held[at : at + 4])
+            except ValueError:
+                yield _columns(rows), lines.slice(0, 0)
+                raise
+        at += 4 if held[at] else 1
+    yield _columns(rows), lines.slice(min(at, len(held)))
+
+
+def records_from(path: str, low: int, high: int, state: int) -> Iterator[pa.RecordBatch]:
+    """Records that begin in a range, entered at line ``state`` of one, and all after it, by blocks."""
+    drop, rest = -state % 4, pa.array([], pa.string())
+    for block, _ in line_blocks(pieces(path, low, high), low == 0):
+        lines = split_lines(block)
+        gone = min(drop, len(lines))
+        drop -= gone
+        for found, rest in records_of(pa.concat_arrays([rest, lines.slice(gone)]), False):
+            yield found
+    for found, _ in records_of(rest, True):
+        yield found
+
+
+def some(blocks: Iterator[pa.RecordBatch], skip: int, n: int) -> Iterator[pa.RecordBatch]:
+    """``n`` rows after the first ``skip``."""
+    for block in blocks:
+        part = block.slice(min(skip, block.num_rows), n)
+        skip -= min(skip, block.num_rows)
+        n -= part.num_rows
+        yield part
+        if not n:
+            return
+
+
+def side_by_side(ones: Iterator[pa.RecordBatch], twos: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, pa.RecordBatch | None]]:
+    """Blocks of as many rows of both; none for the one that ends first."""
+    a = b = None
+    while True:
+        a = a if a is not None else next((x for x in ones if x.num_rows), None)
+        b = b if b is not None else next((x for x in twos if x.num_rows), None)
+        if a is None or b is None:
+            if a is not None or b is not None:
+                yield a, b
+            return
+        n = min(a.num_rows, b.num_rows)
+        yield a.slice(0, n), b.slice(0, n)
+        a, b = (x.slice(n) if x.num_rows > n else None for x in (a, b))
 
 
 def _read(tasks: DataFrame) -> DataFrame:
     """Reads of rows ``sample`` and those of ``RANGES``; a row without ``n`` is a whole pair of files."""
     names = READS_SCHEMA.replace(",", "").split()[::2]
-    kinds = [pa.int64() if n == "record_no" else pa.string() for n in names]
 
-    def pairs(r: dict):
+    def mate(r: dict, k: int) -> Iterator[pa.RecordBatch]:
         if r["n"] is None:
-            if r["r2"] is None:
-                return ((x, (None,) * 3) for x in records(r["r1"]))
-            return zip_longest(records(r["r1"]), records(r["r2"]))
-        ones = islice(records_from(r["r1"], r["low1"], r["high1"], r["state1"]), r["n"])
-        if r["r2"] is None:
-            return ((x, (None,) * 3) for x in ones)
-        return zip_longest(ones, islice(records_from(r["r2"], r["low2"], r["high2"], r["state2"]), r["skip2"], r["skip2"] + r["n"]))
+            return (_columns(rows) for rows in batched(records(r[f"r{k}"]), BLOCK))
+        found = records_from(r[f"r{k}"], r[f"low{k}"], r[f"high{k}"], r[f"state{k}"])
+        return some(found, r["skip2"] if k == 2 else 0, r["n"])
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                key, rows = r["r1"].rsplit("/", 1)[-1], []
-                for i, (a, b) in enumerate(pairs(r), r["first"] or 0):
+                key, i = r["r1"].rsplit("/", 1)[-1], r["first"] or 0
+                none = lambda a: pa.RecordBatch.from_arrays([pa.nulls(a.num_rows, pa.string())] * 3, names=a.schema.names)
+                pairs = ((a, none(a)) for a in mate(r, 1)) if r["r2"] is None else side_by_side(mate(r, 1), mate(r, 2))
+                for a, b in pairs:
                     if a is None or b is None:
                         raise ValueError(f"{r['r1']} and {r['r2']} differ in their number of records")
-                    rows.append((r["sample"], key, i, *a, *b))
-                    if len(rows) == BLOCK:
-                        yield _batch(rows, names, kinds)
-                        rows = []
-                if rows:
-                    yield _batch(rows, names, kinds)
+                    n = a.num_rows
+                    same = [pa.repeat(pa.scalar(x, pa.string()), n) for x in (r["sample"], key)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(i, i + n)), *a.columns, *b.columns], names=names)
+                    i += n
 
     return tasks.mapInArrow(run, READS_SCHEMA)
 
 
-def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
 def read_files(
     spark: SparkSession, path: str, paired: bool = True, flat: bool = False, skip: list[str] | None = None, range_bytes: int = RANGE_BYTES, only: list[str] | None = None
 ) -> DataFrame:
@@ -257,9 +334,11 @@ def read_files(
     parts = mates.where("path is not null").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / range_bytes))))
     low = F.col("part") * range_bytes
     parts = parts.select("pair", "mate", "path", "part", low.alias("low"), F.least(low + range_bytes, "size").alias("high"))
-    # a task for each range: a small table that stands for much work is not to be packed into few tasks
+    # a small table that stands for much work is not to be packed into few tasks: one for each range, or for RANGE_BYTES of short ones
+    few, many = 4 * spark.sparkContext.defaultParallelism, max(1, RANGE_BYTES // range_bytes)
+    n_tasks = lambda n: max(1, min(n, few), -(-n // many))
     n_parts = sum(-(-x // range_bytes) for _, _, _, _, a, b in rows if a > range_bytes for x in (a, b or 0))
-    indexed = stage(index(parts.repartition(max(1, n_parts))), "reads-index")
+    indexed = stage(index(parts.repartition(n_tasks(n_parts))), "reads-index")
     n_mates = indexed.groupBy("pair").agg(F.count_distinct("mate").alias("n")).join(pairs, "pair").where(F.col("n") == F.when(F.col("r2").isNull(), 1).otherwise(2)).select("pair")
     tasks = ranges(indexed.join(n_mates, "pair", "left_semi")).join(pairs.select("pair", "sample"), "pair")
     whole = pairs.join(tasks.select("pair").distinct(), "pair", "left_anti")
@@ -267,4 +346,5 @@ def read_files(
     plan = [(x.split()[0], x.split()[1]) for x in RANGES.split(", ")]
     whole = whole.select("sample", *(F.col(c) if c in ("pair", "r1", "r2") else null(c, k) for c, k in plan))
     tasks = stage(tasks.select("sample", *(c for c, _ in plan)).unionByName(whole), "reads-tasks")
-    return _read(tasks.repartition(max(1, tasks.count())))
+    n_whole, n_ranges = tasks.agg(F.count_if(F.col("n").isNull()), F.count("n")).first()
+    return _read(tasks.repartition(n_whole + n_tasks(n_ranges)))

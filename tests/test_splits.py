@@ -91,6 +91,54 @@ def test_blank_lines_and_empty_reads(spark, tmp_path):
             assert splits.passage(len(own), [i for i, x in enumerate(own) if not x], state) == (begun, now)
 
 
+@pytest.mark.parametrize("end", [b"\n", b"\r\n"])
+def test_blocks_hold_the_lines_of_a_range(end):
+    """Whatever the pieces: a line belongs to the range with the feed before it."""
+    draw = random.Random(5)
+    for _ in range(300):
+        data = b"".join(b"x" * draw.choice((0, 0, 1, 5)) + end for _ in range(draw.randrange(1, 12))) + draw.choice((b"", b"last"))
+        high = draw.randrange(1, len(data) + 1)
+        cuts = sorted({0, high, len(data), *(draw.randrange(len(data)) for _ in range(4))})
+        parts = [(data[a:b], a < high) for a, b in zip(cuts, cuts[1:], strict=False)]
+        begins = [0, *(i + 1 for i, c in enumerate(data) if c == 10)]
+        lines = [(a, x) for a, x in zip(begins, data.split(b"\n"), strict=True) if a < len(data)]
+        for first in (True, False):
+            blocks = list(splits.line_blocks(iter(parts), first))
+            for own in (True, False):
+                want = [x for a, x in lines[not first :] if (a <= high) == own]
+                got = [b for b, o in blocks if o == own]
+                assert b"".join(got).removesuffix(b"\n") == b"\n".join(want)
+                n, empty = 0, []
+                for b in got:
+                    more, at = splits.count_lines(b)
+                    empty += [n + i for i in at]
+                    n += more
+                assert (n, empty) == (len(want), [i for i, x in enumerate(want) if not x.rstrip(b"\r")])
+
+
+def test_short_ranges_share_tasks_and_read_little_more(spark, tmp_path):
+    """Neither tasks nor bytes grow with the number of ranges alone."""
+    for n in (1, 2):
+        put(tmp_path / "A", f"A_L001_R{n}_001.fastq", fastq(some_reads(3000, n)).encode(), "plain")
+    path = str(tmp_path / "A/A_L001_R1_001.fastq")
+    size = (tmp_path / "A/A_L001_R1_001.fastq").stat().st_size
+    got = splits.read_files(spark, str(tmp_path), range_bytes=1000)
+    assert size > 200_000 and 4 <= got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert taken(got) == taken(files.read_files(spark, str(tmp_path)))
+    after = [len(data) for data, own in splits.pieces(path, 5000, 6000) if not own]
+    assert after[0] <= 4096 and 6000 + sum(after) == size
+
+
+def test_a_file_is_joined_from_many_tasks(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("sample"), F.format_string("%05d", "id").alias("value"))
+    rows = rows.repartitionByRange(7, "sample", "value").sortWithinPartitions("sample", "value")
+    assert rows.where("sample = 1").select(F.spark_partition_id()).distinct().count() > 2
+    sinks.write_named_text(rows, f"file://{tmp_path}/out", ["sample"], lambda sample: f"S{sample}/{sample}.txt")
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["out/S0/0.txt", "out/S1/1.txt"]
+    for k in (0, 1):
+        assert (tmp_path / f"out/S{k}/{k}.txt").read_text().split() == [f"{i:05d}" for i in range(k, 5000, 2)]
+
+
 def test_damaged_files_are_errors(spark, tmp_path):
     rows = some_reads(200)
     put(tmp_path / "A", "A_L001_R1_001.fastq", fastq(rows).encode(), "plain")
